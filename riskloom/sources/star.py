@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import policy
+from riskloom.functions.rules import RULES
+
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -64,7 +67,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("merchant_category"),
         ((F.col("value") > 200) | ((F.col("event_type") == "error") & (F.col("value") > 60))).alias("is_fraud"),
         F.lit(None).cast("string").alias("scenario"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("value") - 120.0) / 40.0))).alias("p_raw"),
+        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("value") - 120.0) / 40.0)), 6).alias("p_raw"),
         F.least(F.lit(1.0), F.col("value") / 500.0).alias("anomaly"),
         (eid * 5 + F.col("i")).alias("ingest_order"),
         "event_id",
@@ -92,10 +95,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merchant dimension: the merchants of even number that appear in the events."""
+    """Merchant dimension: the merchants of a known category that appear in the events."""
     mk = ((F.col("event_id") * 31) % 50).alias("mk")
-    seen = table(spark, sf_dir, "events").select(mk).distinct().where(F.col("mk") % 2 == 0)
-    return seen.select(
+    seen = table(spark, sf_dir, "events").select(mk).distinct()
+    named = seen.select(
         F.concat(F.lit("MERCH-"), F.col("mk")).alias("merchant_id"),
         F.concat(F.lit("Merchant "), F.col("mk")).alias("name"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORY_BY_SLOT]), (F.col("mk") % 10 + 1).cast("int")).alias("category"),
@@ -104,6 +107,58 @@ def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("New York").alias("city"),
         F.lit("STANDARD").alias("risk_tier"),
     )
+    return named.where(F.col("category") != "OTHER")
+
+
+def predictions(txn: DataFrame) -> DataFrame:
+    """Stored predictions: the stand-in scores of the transactions that carry a network address."""
+    drivers = F.array(F.struct(F.lit("amount").alias("feature"), F.round(F.col("p_raw") - 0.5, 4).alias("impact")))
+    none = F.array().cast("array<struct<feature:string,impact:double>>")
+    up = F.col("p_raw") > 0.5
+    return txn.where(F.col("ip_address").isNotNull()).select(
+        "transaction_id", F.lit("v1.0.0").alias("model_version_id"), F.col("p_raw").alias("raw_score"),
+        F.col("p_raw").alias("calibrated_probability"), F.col("anomaly").alias("anomaly_score"),
+        (F.col("anomaly") * 100.0).alias("inference_latency_ms"),
+        F.when(up, drivers).otherwise(none).alias("shap_positive_drivers"),
+        F.when(up, none).otherwise(drivers).alias("shap_negative_drivers"))
+
+
+def decisions(txn: DataFrame) -> DataFrame:
+    """Stored decisions: score 100 x p for the transactions at merchants of a known category."""
+    score = F.round(F.col("p_raw") * 100.0, 2)
+    costs = policy.expected_costs(F.col("amount"), F.col("p_raw"))
+    fired = F.when(score >= 75, F.array(rule_struct("R07_HIGH_AMOUNT_ZSCORE"))).otherwise(
+        F.array().cast("array<struct<rule_code:string,description:string,severity_penalty:double,category:string>>"))
+    return txn.where(F.col("merchant_category") != "OTHER").select(
+        "transaction_id", "timestamp", "customer_id", score.cast("decimal(5,2)").alias("risk_score"), policy.decision(score).alias("decision"),
+        fired.alias("triggered_rules"), costs["cost_approve"].cast("decimal(12,2)").alias("cost_estimate_fn"),
+        costs["cost_block"].cast("decimal(12,2)").alias("cost_estimate_fp"), F.lit("FINAL").alias("status"))
+
+
+def rule_struct(code: str):
+    _, category, penalty, text, _ = next(r for r in RULES if r[0] == code)
+    return F.struct(F.lit(code).alias("rule_code"), F.lit(text).alias("description"),
+                    F.lit(penalty).alias("severity_penalty"), F.lit(category).alias("category"))
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyst feedback: purchases and errors are reviewed by two analysts, the second one an hour later."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+    first = F.struct(F.lit("A1").alias("analyst_id"), (F.col("value") > 60).alias("guilty"), F.lit(1).alias("hours"))
+    second = F.struct(F.lit("A2").alias("analyst_id"), (F.col("value") > 90).alias("guilty"), F.lit(2).alias("hours"))
+    both = events.select("event_id", "ts", "event_type", F.explode(F.array(first, second)).alias("f"))
+    return both.select(
+        F.concat(F.lit("TXN-"), F.col("event_id"), F.lit("-0")).alias("transaction_id"),
+        F.col("f.analyst_id").alias("analyst_id"),
+        F.when(F.col("f.guilty"), "FRAUD").otherwise("LEGITIMATE").alias("actual_label"),
+        F.concat(F.lit("reviewed "), F.col("event_type")).alias("notes"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("f.hours") * 3_600_000_000).alias("created_at"))
+
+
+def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage latencies: the event type names the step, the value is milliseconds."""
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("step"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("timestamp"))
 
 
 def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
