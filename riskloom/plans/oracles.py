@@ -57,7 +57,7 @@ def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 
 
 def r(x: str, d: int) -> str:
-    return f"round(CAST({x} AS DOUBLE) + 1e-9::DOUBLE, {d})"
+    return f"(round(CAST({x} AS DOUBLE) + 1e-9::DOUBLE, {d}) + 0.0::DOUBLE)"
 
 
 def _windows(source: str, has_category: bool = True, profiles: bool = True) -> str:
