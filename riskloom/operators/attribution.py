@@ -40,7 +40,7 @@ def tree_table(path: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and tree weights of a saved Spark ML tree ensemble (its own storage format)."""
     spark = df.sparkSession
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    weights = spark.read.parquet(f"{path}/treesMetadata").select("treeID", "weights")
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights").select("treeID", "weights")
     return nodes, weights
 
 

@@ -202,9 +202,9 @@ predictions AS (
   SELECT transaction_id, p_raw AS calibrated_probability, anomaly AS anomaly_score, anomaly * 100.0::DOUBLE AS inference_latency_ms
   FROM txn WHERE ip_address IS NOT NULL),
 decisions AS (
-  SELECT transaction_id, "timestamp", customer_id, CAST(round(p_raw * 100, 2) AS DECIMAL(5,2)) AS risk_score,
-         {decision('round(p_raw * 100, 2)')} AS decision,
-         CASE WHEN round(p_raw * 100, 2) >= 75 THEN 'R07_HIGH_AMOUNT_ZSCORE' ELSE '' END AS rules,
+  SELECT transaction_id, "timestamp", customer_id, CAST({r('p_raw * 100', 2)} AS DECIMAL(5,2)) AS risk_score,
+         {decision(r('p_raw * 100', 2))} AS decision,
+         CASE WHEN {r('p_raw * 100', 2)} >= 75 THEN 'R07_HIGH_AMOUNT_ZSCORE' ELSE '' END AS rules,
          CAST({_C['cost_approve']} AS DECIMAL(12,2)) AS cost_estimate_fn, CAST({_C['cost_block']} AS DECIMAL(12,2)) AS cost_estimate_fp
   FROM txn WHERE merchant_category <> 'OTHER')
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions import policy
+from riskloom.functions.columns import rounded
 from riskloom.functions.rules import RULES
 
 EVENTS = T.StructType([
@@ -125,7 +126,7 @@ def predictions(txn: DataFrame) -> DataFrame:
 
 def decisions(txn: DataFrame) -> DataFrame:
     """Stored decisions: score 100 x p for the transactions at merchants of a known category."""
-    score = F.round(F.col("p_raw") * 100.0, 2)
+    score = rounded(F.col("p_raw") * 100.0, 2)
     costs = policy.expected_costs(F.col("amount"), F.col("p_raw"))
     fired = F.when(score >= 75, F.array(rule_struct("R07_HIGH_AMOUNT_ZSCORE"))).otherwise(
         F.array().cast("array<struct<rule_code:string,description:string,severity_penalty:double,category:string>>"))

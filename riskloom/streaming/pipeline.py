@@ -99,10 +99,12 @@ def decision_query(spark: SparkSession, layout: Layout, scorer: Scorer | None =
 
 
 def run_chain(spark: SparkSession, layout: Layout, scorer: Scorer | None = None, options=None) -> None:
-    """Drive everything available through the chain once."""
-    for start in (dead_letter_query, customer_feature_query, device_feature_query):
-        start(spark, layout, options).awaitTermination()
-    decision_query(spark, layout, scorer, options).awaitTermination()
+    """Drive everything available through the chain once. ``options`` pace the raw source only; a hop takes
+    whatever its writer has finished."""
+    dead_letter_query(spark, layout, options).awaitTermination()
+    customer_feature_query(spark, layout, options).awaitTermination()
+    device_feature_query(spark, layout).awaitTermination()
+    decision_query(spark, layout, scorer).awaitTermination()
 
 
 def stream_kpis(decisions: DataFrame, window: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
