@@ -20,15 +20,19 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("riskloom-bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("OFF")
-    rows = catalog.txn(spark, sf_dir).count()  # also warms the session up
+    rows = catalog.txn(spark, sf_dir).count()
 
-    seconds = {}
-    for name in HEADLINE:
+    def once(name: str) -> float:
         started = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - started, 3)
+        return round(time.time() - started, 3)
+
+    # The first pass pays for starting up and compiling; the second one is reported, the first kept aside.
+    cold = {name: once(name) for name in HEADLINE}
+    seconds = {name: once(name) for name in HEADLINE}
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+        "first_pass": cold,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "transactions": rows,
         "feature_rows_per_sec": round(rows / seconds["H15_build_features"], 1),
         "scored_rows_per_sec": round(rows / seconds["D4_score_transactions"], 1),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
 from riskloom.operators.history import COLD_START
+from riskloom.operators.ordered import materialise
 from riskloom.plans import oracles as o
 from riskloom.plans.catalog import query, sel, txn
 from riskloom.schemas import RAW_EVENT
@@ -168,5 +169,6 @@ def _(spark, sf):
 def _(spark, sf):
     t = txn(spark, sf)
     _, dead = events.route_dead_letters(events.parse_events(as_json(t, broken=True)))
-    fixed = as_json(t).select(F.get_json_object("value", "$.transaction_id").alias("key"), F.col("value").alias("payload"))
+    dead = materialise(dead, "dead-letters")
+    fixed = materialise(as_json(t), "repaired").select(F.get_json_object("value", "$.transaction_id").alias("key"), F.col("value").alias("payload"))
     return events.parse_events(events.replay_dead_letters(dead, fixed)).select("transaction_id", "customer_id", "amount")

@@ -58,3 +58,14 @@ def test_split_rejects_bad_input(spark):
         temporal_split(df, 0.5, 0.1, 0.1)
     with pytest.raises(ValueError):
         temporal_split(df.where("false"))
+
+
+def test_first_row_per_key_is_pruned_before_the_shuffle(spark):
+    from riskloom.operators.store import first_per_key
+    from riskloom.streaming.events import dedupe_events
+
+    df = spark.range(100).select(
+        F.lit("hot").alias("idempotency_key"), F.col("id").cast("string").alias("transaction_id"), F.timestamp_seconds("id").alias("timestamp"))
+    for out in (dedupe_events(df), first_per_key(df, "idempotency_key", ["timestamp"])):
+        assert out.count() == 1
+        assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
