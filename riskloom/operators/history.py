@@ -40,6 +40,7 @@ DEVICE_WINDOW = 86_400
 
 NOVELTY = {"is_new_device": "device_id", "is_new_country": "country", "is_new_city": "city"}
 PREVIOUS = ["us", "transaction_id", "lat", "lon"]
+DEVICE_KEY = "_device"
 
 
 def _with_axis(df: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def _window_stats(df: DataFrame) -> DataFrame:
     windowed = placed.withColumns(stats)
     # (customer, value) windows reuse the customer exchange.
     for name, column in NOVELTY.items():
-        first = F.min("us").over(Window.partitionBy("customer_id", column))
+        first = F.min("us").over(Window.partitionBy("customer_id", F.coalesce(F.col(column), F.lit(""))))
         windowed = windowed.withColumn(f"new_{name}", F.col("us") <= first)
     return windowed.withColumn("cents_past", F.col("cents_past").cast("double"))
 
@@ -147,11 +148,12 @@ def _event_stats(df: DataFrame) -> DataFrame:
         "row.*", F.col("before_previous").alias("previous"), *[F.col(f"before_{s}").alias(s) for s in sums]
     )
     for name, column in NOVELTY.items():
-        first = df.groupBy("customer_id", column).agg(F.min("us").alias("first_us"))
+        value = F.coalesce(F.col(column), F.lit("")).alias("_value")
+        first = df.groupBy("customer_id", value).agg(F.min("us").alias("first_us"))
         rows = (
-            rows.join(first, ["customer_id", column], "left")
-            .withColumn(f"new_{name}", F.coalesce(F.col("us") <= F.col("first_us"), F.lit(True)))
-            .drop("first_us")
+            rows.withColumn("_value", value).join(first, ["customer_id", "_value"])
+            .withColumn(f"new_{name}", F.col("us") <= F.col("first_us"))
+            .drop("first_us", "_value")
         )
     n, total = F.col("n_past"), F.col("cents_past")
     # Exact integers until the last step: n * sum(x^2) - sum(x)^2 cannot cancel.
@@ -203,14 +205,9 @@ RAW_STATS = [
 
 def customer_history_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Raw strictly-past statistics per row (counts, sums, spread, previous event, novelty)."""
-    axis = _with_axis(df)
-    ordinary, hot = split_hot(axis, "customer_id", skew)
-    parts = []
-    if ordinary is not None:
-        parts.append(_window_stats(ordinary))
-    if hot is not None:
-        parts.append(_event_stats(materialise(hot, "hot-customers")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    ordinary, hot = split_hot(_with_axis(df), "customer_id", skew)
+    stats = _window_stats(ordinary)
+    return stats if hot is None else stats.unionByName(_event_stats(materialise(hot, "hot-customers")))
 
 
 def history_features(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
@@ -221,7 +218,7 @@ def history_features(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFram
 # -- devices ----------------------------------------------------------------------------------------
 
 def _device_window_stats(df: DataFrame) -> DataFrame:
-    frame = Window.partitionBy("device_id").orderBy("us").rangeBetween(-DEVICE_WINDOW * SECOND, -1)
+    frame = Window.partitionBy(DEVICE_KEY).orderBy("us").rangeBetween(-DEVICE_WINDOW * SECOND, -1)
     seen = df.withColumn("_customers", F.collect_set("customer_id").over(frame))
     return seen.withColumns({
         "device_customers": F.size("_customers").cast("long"),
@@ -231,17 +228,17 @@ def _device_window_stats(df: DataFrame) -> DataFrame:
 
 def _device_event_stats(df: DataFrame) -> DataFrame:
     columns = df.columns
-    base = df.select("device_id", "us", F.struct(*columns).alias("row"))
+    base = df.select(DEVICE_KEY, "us", F.struct(*columns).alias("row"))
     events = base.unionByName(
-        _presence_events(df, ["device_id"], "customer_id", DEVICE_WINDOW, "device_customers"),
+        _presence_events(df, [DEVICE_KEY], "customer_id", DEVICE_WINDOW, "device_customers"),
         allowMissingColumns=True,
     )
-    counted = strict_prefix(events, ["device_id"], "us", ["device_customers"], (), (MINUTE_US, DAY_US))
+    counted = strict_prefix(events, [DEVICE_KEY], "us", ["device_customers"], (), (MINUTE_US, DAY_US))
     rows = counted.where(F.col("row").isNotNull()).select(
         "row.*", F.col("before_device_customers").alias("device_customers")
     ).withColumn("_seen", F.col("us"))
     # Did this very customer use the device inside the window? Last use before the row, per pair.
-    paired = strict_prefix(rows, ["device_id", "customer_id"], "us", (), ["_seen"], (MINUTE_US, DAY_US))
+    paired = strict_prefix(rows, [DEVICE_KEY, "customer_id"], "us", (), ["_seen"], (MINUTE_US, DAY_US))
     recent = F.col("before__seen") >= F.col("us") - DEVICE_WINDOW * SECOND
     return paired.withColumn("device_knows_customer", F.coalesce(recent, F.lit(False))).drop("_seen", "before__seen")
 
@@ -249,13 +246,12 @@ def _device_event_stats(df: DataFrame) -> DataFrame:
 def device_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Distinct customers on the row's device in the 24 h before it; one exchange on the device."""
     axis = df if "us" in df.columns else df.withColumn("us", micros(F.col("timestamp")))
-    ordinary, hot = split_hot(axis, "device_id", skew)
-    parts = []
-    if ordinary is not None:
-        parts.append(_device_window_stats(ordinary))
+    # Rows without a device share one key, so that they cannot escape the split.
+    ordinary, hot = split_hot(axis.withColumn(DEVICE_KEY, F.coalesce("device_id", F.lit(""))), DEVICE_KEY, skew)
+    stats = _device_window_stats(ordinary)
     if hot is not None:
-        parts.append(_device_event_stats(materialise(hot, "hot-devices")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        stats = stats.unionByName(_device_event_stats(materialise(hot, "hot-devices")))
+    return stats.drop(DEVICE_KEY)
 
 
 def device_customer_count(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:

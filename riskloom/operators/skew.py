@@ -8,31 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators.ordered import materialise
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """``hot_rows``: a key with more rows than this is split. ``max_hot_keys``: largest set of hot keys
-    that is broadcast; with more of them every key takes the splitting path, which has no size limit."""
+    """``hot_rows``: a key with more rows than this is split. ``max_hot_keys``: the largest set of hot keys
+    that is broadcast; a larger set is written as a table and joined without a hint."""
 
-    hot_rows: int = 20_000
+    hot_rows: int = 10_000
     max_hot_keys: int = 10_000
 
 
 def split_hot(df: DataFrame, key: str, policy: SkewPolicy = SkewPolicy()) -> tuple[DataFrame | None, DataFrame | None]:
-    """Return (ordinary rows, hot rows); either may be None when it is known to be empty.
+    """Return (ordinary rows, hot rows); hot is None when no key is hot. ``key`` must not be null.
 
     One pass over the key column alone, with map-side combine. At most ``max_hot_keys + 1`` key values
     reach the driver.
     """
-    hot = (
-        df.groupBy(key).count().where(F.col("count") > policy.hot_rows)
-        .select(key).limit(policy.max_hot_keys + 1).collect()
-    )
-    if not hot:
+    hot = df.groupBy(key).count().where(F.col("count") > policy.hot_rows).select(key)
+    known = hot.limit(policy.max_hot_keys + 1).collect()
+    if not known:
         return df, None
-    if len(hot) > policy.max_hot_keys:
-        return None, df
-    known = [row[0] for row in hot if row[0] is not None]
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType)])
-    keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in known], schema))
+    if len(known) > policy.max_hot_keys:
+        # Spark picks the join from the size of the written table; AQE splits a skewed side.
+        keys = materialise(hot, "hot-keys")
+    else:
+        schema = T.StructType([T.StructField(key, df.schema[key].dataType)])
+        keys = F.broadcast(df.sparkSession.createDataFrame([(r[0],) for r in known], schema))
     return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
