@@ -42,6 +42,17 @@ STATS = T.StructType([
 ])
 
 
+def _worth_rewriting(expired: int, held: int) -> bool:
+    """Appending is cheap; the list is rewritten only once a quarter of it has expired."""
+    return expired > 0 and expired * 4 >= held
+
+
+def _state_rows(events: pd.DataFrame) -> list[tuple]:
+    return [
+        (int(e.us), e.transaction_id, int(e.cents), float(e.lat), float(e.lon), e.merchant_id, e.country, e.city, e.device_id)
+        for e in events.itertuples()]
+
+
 class CustomerHistory(StatefulProcessor):
     """Per customer: events of the last 30 days, totals of older ones, first sight of each entity."""
 
@@ -67,16 +78,15 @@ class CustomerHistory(StatefulProcessor):
 
         cutoff = int(events["us"].iloc[-1]) - HORIZON_US
         expired = events[events["us"] < cutoff]
-        if len(expired):
-            cents = [int(c) for c in expired["cents"]]
-            last = expired.iloc[-1]
-            self.older.update((
-                int(old[0]) + len(expired), str(int(old[1]) + sum(cents)), str(int(old[2]) + sum(c * c for c in cents)),
-                int(last["us"]), last["transaction_id"], float(last["lat"]), float(last["lon"])))
-        kept = events[events["us"] >= cutoff]
-        self.recent.put([
-            (int(e.us), e.transaction_id, int(e.cents), float(e.lat), float(e.lon), e.merchant_id, e.country, e.city, e.device_id)
-            for e in kept.itertuples()])
+        if not _worth_rewriting(len(expired), len(events)):
+            self.recent.appendList(_state_rows(batch))
+            return
+        cents = [int(c) for c in expired["cents"]]
+        last = expired.iloc[-1]
+        self.older.update((
+            int(old[0]) + len(expired), str(int(old[1]) + sum(cents)), str(int(old[2]) + sum(c * c for c in cents)),
+            int(last["us"]), last["transaction_id"], float(last["lat"]), float(last["lon"])))
+        self.recent.put(_state_rows(events[events["us"] >= cutoff]))
 
     def _answer(self, customer: str, batch: pd.DataFrame, events: pd.DataFrame, old) -> pd.DataFrame:
         us, now = events["us"].to_numpy(np.int64), batch["us"].to_numpy(np.int64)
@@ -138,7 +148,11 @@ class DeviceCustomers(StatefulProcessor):
             "transaction_id": batch["transaction_id"], "device_id": key[0],
             "device_customers": [len({c for _, c in events[s:e]}) for s, e in zip(start, end)], "row": batch["row"]})
         cutoff = int(us[-1]) - DEVICE_WINDOW * SECOND
-        self.recent.put([e for e in events if e[0] >= cutoff])
+        kept = [e for e in events if e[0] >= cutoff]
+        if _worth_rewriting(len(events) - len(kept), len(events)):
+            self.recent.put(kept)
+        else:
+            self.recent.appendList(list(zip(now.tolist(), batch["customer_id"])))
 
     def close(self) -> None:
         pass
