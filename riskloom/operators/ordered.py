@@ -91,11 +91,8 @@ def range_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     (keys + shuffle partitions). Keys must not be null.
     """
     keys, order = list(keys), list(order)
-    spark = df.sparkSession
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = materialise(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()), "range"
-    )
+    # No fixed number: AQE may merge neighbouring ranges of small inputs, which keeps their order.
+    cut = materialise(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "range")
     totals = cut.groupBy(*keys, "_slice").agg(*[F.sum(s).alias(s) for s in sums])
     # Without keys this window is not partitioned: it sees one row per slice.
     per_key = Window.partitionBy(*keys)
