@@ -203,16 +203,16 @@ RAW_STATS = [
 ]
 
 
-def customer_history_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
+def customer_history_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy(), probe: DataFrame | None = None) -> DataFrame:
     """Raw strictly-past statistics per row (counts, sums, spread, previous event, novelty)."""
-    ordinary, hot = split_hot(_with_axis(df), "customer_id", skew)
+    ordinary, hot = split_hot(_with_axis(df), "customer_id", skew, probe)
     stats = _window_stats(ordinary)
     return stats if hot is None else stats.unionByName(_event_stats(materialise(hot, "hot-customers")))
 
 
-def history_features(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
+def history_features(df: DataFrame, skew: SkewPolicy = SkewPolicy(), probe: DataFrame | None = None) -> DataFrame:
     """Input columns plus the 22 customer-history features, ``n_past`` and ``previous``."""
-    return finish_history(customer_history_stats(df, skew)).drop(*RAW_STATS, "cents_past", "us")
+    return finish_history(customer_history_stats(df, skew, probe)).drop(*RAW_STATS, "cents_past", "us")
 
 
 # -- devices ----------------------------------------------------------------------------------------
@@ -243,19 +243,21 @@ def _device_event_stats(df: DataFrame) -> DataFrame:
     return paired.withColumn("device_knows_customer", F.coalesce(recent, F.lit(False))).drop("_seen", "before__seen")
 
 
-def device_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
+def device_stats(df: DataFrame, skew: SkewPolicy = SkewPolicy(), probe: DataFrame | None = None) -> DataFrame:
     """Distinct customers on the row's device in the 24 h before it; one exchange on the device."""
     axis = df if "us" in df.columns else df.withColumn("us", micros(F.col("timestamp")))
     # Rows without a device share one key, so that they cannot escape the split.
-    ordinary, hot = split_hot(axis.withColumn(DEVICE_KEY, F.coalesce("device_id", F.lit(""))), DEVICE_KEY, skew)
+    device = F.coalesce("device_id", F.lit(""))
+    counted = None if probe is None else probe.select(device.alias(DEVICE_KEY))
+    ordinary, hot = split_hot(axis.withColumn(DEVICE_KEY, device), DEVICE_KEY, skew, counted)
     stats = _device_window_stats(ordinary)
     if hot is not None:
         stats = stats.unionByName(_device_event_stats(materialise(hot, "hot-devices")))
     return stats.drop(DEVICE_KEY)
 
 
-def device_customer_count(df: DataFrame, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
-    stats = device_stats(df, skew)
+def device_customer_count(df: DataFrame, skew: SkewPolicy = SkewPolicy(), probe: DataFrame | None = None) -> DataFrame:
+    stats = device_stats(df, skew, probe)
     return stats.withColumn("device_customer_count", F.greatest(F.lit(1), F.col("device_customers"))).drop(
         "device_customers", "device_knows_customer", "us"
     )
@@ -286,7 +288,7 @@ def point_features(df: DataFrame, profiles: DataFrame | None = None) -> DataFram
 
 def all_features(df: DataFrame, profiles: DataFrame | None = None, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
     """Input columns plus all 30 features. Exchanges: customer, device (and the profile join)."""
-    return device_customer_count(history_features(point_features(df, profiles), skew), skew)
+    return device_customer_count(history_features(point_features(df, profiles), skew, df), skew, df)
 
 
 def build_features(df: DataFrame, profiles: DataFrame | None = None, skew: SkewPolicy = SkewPolicy()) -> DataFrame:

@@ -20,13 +20,15 @@ class SkewPolicy:
     max_hot_keys: int = 10_000
 
 
-def split_hot(df: DataFrame, key: str, policy: SkewPolicy = SkewPolicy()) -> tuple[DataFrame | None, DataFrame | None]:
+def split_hot(df: DataFrame, key: str, policy: SkewPolicy = SkewPolicy(),
+              probe: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Return (ordinary rows, hot rows); hot is None when no key is hot. ``key`` must not be null.
 
+    ``probe``: a cheaper table with the same keys to count, such as the input that ``df`` was derived from.
     One pass over the key column alone, with map-side combine. At most ``max_hot_keys + 1`` key values
     reach the driver.
     """
-    hot = df.groupBy(key).count().where(F.col("count") > policy.hot_rows).select(key)
+    hot = (df if probe is None else probe).groupBy(key).count().where(F.col("count") > policy.hot_rows).select(key)
     known = hot.limit(policy.max_hot_keys + 1).collect()
     if not known:
         return df, None
