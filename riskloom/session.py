@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 #: Settings that change results or plans; safe to apply to a running session.
@@ -29,13 +31,20 @@ def local_session(app: str = "riskloom", cores: str = "8", memory: str = "20g")
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package()
     return spark
 
 
+def ship_package() -> None:
+    """Send this package's functions to Python workers by value: they need no installed copy."""
+    cloudpickle.register_pickle_by_value(sys.modules["riskloom"])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the engine relies on to a given session."""
+    """Apply the runtime settings the engine relies on to a given session and ship the package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package()
     return spark
 
 
