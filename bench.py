@@ -7,7 +7,7 @@ import os
 import time
 
 from riskloom.plans import catalog
-from riskloom.session import local_session
+from riskloom.session import local_session, release
 
 HEADLINE = [
     "H15_build_features", "D4_score_transactions", "E3_device_syndicates", "X3_drift_report", "T2_split_boundaries",
@@ -37,6 +37,7 @@ def main() -> None:
         "feature_rows_per_sec": round(rows / seconds["H15_build_features"], 1),
         "scored_rows_per_sec": round(rows / seconds["D4_score_transactions"], 1),
     }))
+    release(spark)
     spark.stop()
 
 

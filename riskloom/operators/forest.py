@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clip
-from riskloom.operators.ordered import exact_percentiles, materialise
+from riskloom.operators.ordered import exact_percentiles
 from riskloom.schemas import ANOMALY_FEATURES
+from riskloom.session import materialise
 
 NODES = "tree int, node int, feature int, threshold double, left_node int, right_node int, path double, n_rows long"
 EULER = 0.5772156649015329

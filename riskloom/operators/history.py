@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import (
     SECOND, haversine_km, hour_is_unusual, merchant_risk, micros, rounded,
 )
-from riskloom.operators.ordered import DAY_US, MINUTE_US, materialise, strict_prefix
+from riskloom.operators.ordered import DAY_US, MINUTE_US, strict_prefix
 from riskloom.operators.skew import SkewPolicy, split_hot
 from riskloom.schemas import FEATURES, ID_COLUMNS
+from riskloom.session import materialise
 
 # Window widths in seconds, cold-start defaults. --------------------------------------
 COUNT_WINDOWS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "24h": 86_400, "7d": 604_800}

@@ -14,26 +14,17 @@ A window over a key puts the whole key into one task. Two forms here avoid that:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import shared_dir
+from riskloom.session import materialise
 
 MINUTE_US = 60 * 1_000_000
 DAY_US = 86_400 * 1_000_000
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strict_prefix(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.operators.ordered import materialise
+from riskloom.session import materialise
 
 
 @dataclass(frozen=True)

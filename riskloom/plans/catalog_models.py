@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from riskloom.plans import oracles as o
 from riskloom.plans import training
 from riskloom.plans.catalog import query, scored, sel, txn
 from riskloom.plans.scoring import score_transactions
-from riskloom.session import shared_dir
+from riskloom.session import scratch_path
 from riskloom.sources import star, tables
 
 _FITTED: dict[tuple[str, str, str], object] = {}
@@ -49,7 +48,7 @@ def champion(spark, sf):
 
 def champion_path(spark, sf) -> str:
     def build():
-        path = f"{shared_dir(spark)}/models/champion-{uuid.uuid4().hex}"
+        path = scratch_path(spark, "champion")
         models.save_model(champion(spark, sf), path)
         return path
 
@@ -61,7 +60,7 @@ def isolation(spark, sf) -> forest.IsolationForest:
 
 
 def scratch(spark, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, label)
 
 
 # -- sources and sinks ------------------------------------------------------------------------------

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
 from riskloom.operators.history import COLD_START
-from riskloom.operators.ordered import materialise
 from riskloom.plans import oracles as o
 from riskloom.plans.catalog import query, sel, txn
 from riskloom.schemas import RAW_EVENT
-from riskloom.session import shared_dir
+from riskloom.session import materialise, scratch_path
 from riskloom.sources import star
 from riskloom.streaming import events, pipeline
 
@@ -37,7 +35,7 @@ def as_json(df, broken: bool = False):
 
 def raw_topic(spark, sf, broken: bool = False, repeat: bool = False) -> pipeline.Layout:
     """The transactions as JSON files in event-time order, one file set per ten days."""
-    layout = pipeline.Layout(f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    layout = pipeline.Layout(scratch_path(spark, "stream"))
     t = txn(spark, sf)
     if repeat:
         t = t.unionByName(t.where("is_fraud"))
@@ -156,7 +154,7 @@ def _(spark, sf):
 @query("Z7_stream_kpis", f"WITH {o.STORE} SELECT CAST(date_trunc('hour', \"timestamp\") AS TIMESTAMP) AS window_start, count(*) AS events, count(*) FILTER (decision = 'BLOCK') AS blocked, {o.r('avg(CAST(risk_score AS DOUBLE))', 4)} AS mean_score "
        "FROM decisions GROUP BY 1 HAVING date_trunc('hour', min(\"timestamp\")) + INTERVAL 1 HOUR <= (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE FROM decisions)")
 def _(spark, sf):
-    layout = pipeline.Layout(f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    layout = pipeline.Layout(scratch_path(spark, "stream"))
     rows = star.decisions(txn(spark, sf)).select("transaction_id", "timestamp", F.col("risk_score").cast("double").alias("risk_score"), "decision")
     rows.coalesce(1).write.parquet(layout.at("decisions"))
     stream = spark.readStream.schema(rows.schema).parquet(layout.at("decisions"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import calibration, evaluate, forest, history, models, split
 from riskloom.operators.attribution import tree_contributions, with_top_drivers
-from riskloom.operators.ordered import materialise
-from riskloom.session import shared_dir
+from riskloom.session import materialise, scratch_path
 
 
 def training_table(txn: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -68,7 +67,7 @@ def train_scorer(table: DataFrame, label: str, explain: bool = True, **params) -
     spark = table.sparkSession
     train, val = part(table, "train"), part(table, "val")
     champion = models.boosted_champion(train, **params)
-    path = f"{shared_dir(spark)}/models/{label}"
+    path = scratch_path(spark, label)
     models.save_model(champion, path)
     calibrator = calibration.isotonic_fit(models.score_with(champion, val), "raw_score")
     anomalies = forest.isolation_forest_fit(train)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import sys
 import tempfile
+import uuid
 
-from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark import SparkConf, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans; safe to apply to a running session.
 RUNTIME_CONF = {
@@ -29,6 +29,8 @@ def local_session(app: str = "riskloom", cores: str = "8", memory: str = "20g")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    if not SparkConf().get("spark.checkpoint.dir", None):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskloom-", dir="/tmp"))  # one machine only
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package()
@@ -49,15 +51,31 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for materialised intermediates.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local runs) a
-    temporary folder is created and recorded, once per session.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share, as named in ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="riskloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate. All of an application lie in one folder, which ``release`` removes."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives executor loss."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this application's intermediates. Results that still read them must have been stored before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/riskloom-{spark.sparkContext.applicationId}"

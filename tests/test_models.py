@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import attribution, evaluate, forest, models
 from riskloom.plans import training
-from riskloom.session import shared_dir
+from riskloom.session import scratch_path
 
 NAMES = ["amount", "txn_count_1h", "customer_amount_zscore"]
 
@@ -34,7 +34,7 @@ def test_models_reach_the_floor(table):
 def test_champion_and_attribution_add_up(spark, table):
     champion = models.boosted_champion(table, NAMES, trees=8, depth=3, step=0.3)
     assert auc(models.score_with(champion, table)) >= 0.94
-    path = f"{shared_dir(spark)}/models/test-champion"
+    path = scratch_path(spark, "test-champion")
     models.save_model(champion, path)
     tree_path = training.champion_tree_path(spark, path)
     out = attribution.tree_contributions(table, tree_path, NAMES)
