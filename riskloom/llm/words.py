@@ -35,6 +35,8 @@ class Words(NamedTuple):
     ids: np.ndarray  #: of each word, its place in ``distinct``
     distinct: pa.Array
     bounds: np.ndarray  #: where each text's words begin, and the end
+    starts: np.ndarray  #: byte of the slice at which a word begins
+    ends: np.ndarray
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each distinct word."""
@@ -71,7 +73,7 @@ def words(texts: pa.Array, table: bytes) -> Words:
     last[cuts - 1] |= inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     ids, distinct = dictionary(raw[inside].tobytes(), np.concatenate([[0], np.cumsum(ends - starts)]))
-    return Words(ids, distinct, np.searchsorted(starts, offsets))
+    return Words(ids, distinct, np.searchsorted(starts, offsets), starts, ends)
 
 
 def dictionary(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
