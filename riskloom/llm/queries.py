@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, packing, token_files
+from riskloom.llm import decontaminate, host_rules, packing, token_files
 from riskloom.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,41 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.token_digests(spark, path)
+
+
+@query
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = host_rules.with_rules(table(spark, sf_dir, "documents")).select("doc_id", "source", *host_rules.RULES)
+    return host_rules.judge_counted(docs).select("doc_id", *host_rules.RULES, "kept")
+
+
+ORACLES["op9_host_rules"] = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM d
+), g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, ws FROM w WHERE len(ws) >= 8
+), gg AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(ws, p, p + 7), ' ')) AS n FROM g
+), r AS (
+  SELECT doc_id, sum(least(8, coalesce(nxt - p, 8))) AS n_repeat_words
+  FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM gg WHERE n > 1) GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+), h AS (
+  SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source
+), s AS (
+  SELECT avg(f / n) AS m, CASE WHEN coalesce(var_pop(f / n), 0) > 0 THEN greatest(1, avg(f / n) * (1 - avg(f / n)) / var_pop(f / n) - 1) ELSE 1 END AS k FROM h
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (f + k * m) / (n + k) <= 0.5 AS kept
+FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, s
+"""
