@@ -12,11 +12,10 @@ replace columns of the same name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.columns import let
 from riskloom.session import materialise
 
 WINDOW = 8
@@ -49,11 +48,6 @@ def with_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 3
     return counted.drop("_words").withColumn("base_failed", failed)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` or a function within it names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _windows(tokens: Column) -> Column:
     """A hash of every 8-word window."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, host_rules, packing, token_files
+from riskloom.llm import decontaminate, host_rules, packing, token_files, warc
 from riskloom.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,35 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    warc.register(spark)
+    records = spark.read.format("warc").load(path)
+    read = F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long")
+    return records.select(
+        warc.page_number("record_id").alias("page_id"), read.alias("payload_bytes"),
+        F.when(F.col("record_type") == "response", warc.payload_digest(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top,
+         array_to_string(list_transform(range(4), lambda k: substr((('0x' || substr(d, (1 + 10 * k)::INT, 10))::BIGINT)::BIT::VARCHAR, 25)), '') AS bits
+  FROM p
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, (i * 5 + j + 1)::INT, 1)::INT * (16 >> j::INT)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM b
+"""
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
