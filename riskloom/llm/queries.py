@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, host_rules, packing, token_files, warc
+from riskloom.llm import decontaminate, host_rules, packing, superminhash, token_files, warc
 from riskloom.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND (f + k * m) / (n + k) <= 0.5 AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, s
 """
+
+
+@query
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
