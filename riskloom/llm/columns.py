@@ -1,13 +1,18 @@
-"""Helpers for column expressions."""
+"""Helpers for column expressions and sessions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` or a function within it names it."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of a query when it ends: steps here store what later ones read."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
