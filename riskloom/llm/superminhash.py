@@ -9,10 +9,10 @@ shingle; without words it is empty and linked with nothing. Documents are linked
   need one round, and places are correlated so that estimates vary less than with independent hashes.
 * Equal sets form a class; its smallest id stands for it from then on.
 * Banding: 32 bands of 4 places. A pair at the limit shares none with probability 5e-6.
-* In a bucket no pairs of all members are formed. A few rounds compare members with one pivot each, until the large
-  groups are joined; what is left are pairs between different groups, of which the sketches drop those estimated
-  more than five deviations under the limit, and the rest is verified on full sets, the best pair of two groups first,
-  until no untested pair is left. A link within a group changes nothing and is not looked for.
+* In a bucket no pairs of all members are formed. In a few rounds each member is compared with its most similar
+  pivot, which joins the large groups. What may still be linked are documents of different groups in one bucket:
+  they are compared in blocks, by sketches (which drop pairs estimated more than five deviations under the limit)
+  and then on full sets. A link within a group changes nothing and is not looked for.
 
 Nulls: a null text is an empty one; a row without an id is linked with nothing (component null, kept). Rows that
 repeat an id share a component. An empty table gives no rows. Other columns are ignored here and kept by
@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.columns import tidy
 from riskloom.llm.words import BY_WHITE_SPACE, mix, shingles, slices, words
 from riskloom.session import materialise
 
 PLACES = 128
 BANDS = 32
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Documents in a block of the last comparison.
+BLOCK = 256
 #: Shingles whose permutations are held at once.
 HELD = 60_000
 FRACTION_BITS = 24
@@ -134,6 +137,7 @@ def sign(docs: DataFrame, places: int = PLACES, bands: int = BANDS) -> DataFrame
 
 def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
+    tidy(docs.sparkSession)
     signed = materialise(sign(docs), "near-signatures")
     whole = ["n_shingles", "low", "high"]
     linkable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -161,91 +165,182 @@ def _components(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent:
     """(rep, component) of the classes' representatives that are linked with others."""
     spark = docs.sparkSession
     ids = classes.select("rep")
-    reps = signed.join(ids.distinct(), signed["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch")
+    reps = signed.join(ids, signed["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").drop("top")
-    members = materialise(banded.join(shared, "key"), "near-members")
-    candidates = members.select("rep").distinct()
-    sketches = materialise(reps.join(candidates, "rep", "left_semi").select("rep", "sketch"), "near-sketches")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(candidates, "rep", "left_semi")
-    texts = materialise(texts, "near-texts")
+    members = materialise(banded.join(shared, "key").distinct(), "near-members")
+    home = materialise(members.groupBy("rep").agg(F.min("pivot").alias("home")), "near-homes")
+    sketches = materialise(reps.join(home, "rep", "left_semi").select("rep", "sketch").dropDuplicates(["rep"]), "near-sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(home, "rep", "left_semi")
+    sets = materialise(texts.mapInArrow(_sets, "rep long, elements binary").dropDuplicates(["rep"]), "near-sets")
     labels = spark.createDataFrame([], "rep long, component long")
-
     # Same id, different texts: linked by the id.
     twice = linked_by_id(signed, classes)
     if twice is not None:
         labels = merge(labels, twice)
 
-    tested: DataFrame | None = None
-    pairs = members.where("rep <> pivot").groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    turn = 0
-    while True:
-        pairs = materialise(pairs, "near-pairs")
-        if not pairs.limit(1).count():
-            return labels
-        links = materialise(verified(pairs, texts, percent), "near-links")
-        labels = merge(labels, links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-        pairs = _next_pairs(members, labels, sketches, tested, percent, turn if turn <= star_rounds else None)
-        if turn <= star_rounds and not pairs.limit(1).count():
-            turn = star_rounds + 1
-            pairs = _next_pairs(members, labels, sketches, tested, percent, None)
-
-
-def _next_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """Untested pairs of different groups that share a bucket: with the bucket's pivot of this turn, or all of them."""
-    known = members.select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    for turn in range(star_rounds):
+        known = _known(members, labels)
+        if turn == 0:
+            pivots = known.select("key", F.col("pivot").alias("r")).distinct()
+        else:
+            rank = F.xxhash64("rep", F.lit(turn))
+            pivots = known.groupBy("key").agg(F.min(F.struct(rank, F.col("rep").alias("r"))).alias("p")).select("key", "p.r")
+        group = labels.select(F.col("rep").alias("r"), F.col("component").alias("c"))
+        pairs = known.join(pivots, "key").where("rep <> r").select("rep", "component", "r").distinct().join(group, "r", "left").where("component <> coalesce(c, r)")
+        near = materialise(_estimated(pairs.select(F.col("rep").alias("a"), F.col("r").alias("b")), sketches, percent), "near-pairs")
+        best = near.groupBy("a").agg(F.max(F.struct("same", "b")).alias("p")).select("a", "p.b")
+        labels = merge(labels, materialise(_verified(best, sets, percent), "near-links"))
+    return merge(labels, materialise(_sweep(members, labels, home, sketches, sets, percent), "near-links"))
+
+
+def _known(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their groups, of the buckets that hold several groups."""
+    known = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    known = known.join(mixed, "key", "left_semi")
-    if turn is None:
-        other = known.select("key", F.col("rep").alias("r"), F.col("component").alias("c"))
-        pairs = known.join(other, "key").where("component < c")
-    else:
-        rank = F.xxhash64("rep", F.lit(turn))
-        pivots = known.groupBy("key").agg(F.min(F.struct(rank, F.col("rep").alias("r"), F.col("component").alias("c"))).alias("p")).select("key", "p.r", "p.c")
-        pairs = known.join(pivots, "key").where("component <> c")
-    pairs = pairs.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), F.least("component", "c").alias("ca"), F.greatest("component", "c").alias("cb")).distinct()
-    pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    near = estimated(pairs, sketches, percent)
-    best = near.groupBy("ca", "cb").agg(F.max(F.struct("same", "a", "b")).alias("p"))
-    return best.select("p.a", "p.b")
-
-
-def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    return known.join(mixed, "key", "left_semi")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        elements, bounds = shingle_sets(batch.column("text"))
+        packed = [elements[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(packed, pa.binary())], names=["rep", "elements"])
+
+
+def _least_same(percent: int) -> int:
+    """Equal sketch bytes that a pair at the limit has but for one time in ten millions."""
+    j = percent / 100
+    return int(PLACES * (j - 5.2 * (j * (1 - j) / PLACES) ** 0.5))
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs with the number of equal sketch bytes, without those far under the limit."""
-    least = int(PLACES * (percent / 100 - 5.2 * (percent / 100 * (1 - percent / 100) / PLACES) ** 0.5))
+    least = _least_same(percent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
             same = (x == y).sum(axis=1)
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "ca", "cb")), pa.array(same.astype(np.int32))], names=["a", "b", "ca", "cb", "same"])
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same.astype(np.int32))], names=["a", "b", "same"])
             yield out.filter(pa.array(same >= least))
 
     x = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
     y = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", "x", "y").mapInArrow(count, "a long, b long, ca long, cb long, same int")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, same int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "x"):
-            (xs, xb), (ys, yb) = shingle_sets(batch.column("x")), shingle_sets(batch.column("y"))
+        for batch in batches:
             linked = []
-            for i in range(batch.num_rows):
-                x, y = xs[xb[i] : xb[i + 1]], ys[yb[i] : yb[i + 1]]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                linked.append(bool(_similar(x, y, np.array([0, len(y)]), percent)[0]))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    x = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
+    x = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _similar(x: np.ndarray, others: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
+    """Which of several sorted sets (none empty) are similar enough to the sorted set x."""
+    at = np.minimum(np.searchsorted(x, others), len(x) - 1)
+    common = np.add.reduceat((x[at] == others).astype(np.int64), bounds[:-1])
+    return (common > 0) & (100 * common >= percent * (len(x) + np.diff(bounds) - common))
+
+
+def _sweep(members: DataFrame, labels: DataFrame, home: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among all pairs of different groups that share a bucket, tested block by block.
+
+    Documents of one home (the group, or that of the first pivot) are dealt to blocks of about BLOCK. Two blocks that
+    meet in a bucket are a unit: its sketches are compared at once, and the pairs that pass are verified in one task
+    on the sets of the documents concerned. However many buckets two blocks share, they are compared once.
+    """
+    least = _least_same(percent)
+    known = _known(members, labels)
+    group = labels.select(F.col("rep").alias("home"), F.col("component").alias("of_home"))
+    placed = known.select("rep", "component").distinct().join(home, "rep").join(group, "home", "left").withColumn("home", F.coalesce("of_home", "home"))
+    placed = placed.withColumn("home", F.when(F.col("component") < F.col("rep"), F.col("component")).otherwise(F.col("home")))
+    sizes = placed.groupBy("home").agg(F.count("*").alias("n"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
+    placed = materialise(placed.join(sizes, "home").select("rep", "component", block.alias("block")), "near-blocks")
+    in_bucket = materialise(known.select("key", "rep").join(placed, "rep").select("key", "block").distinct(), "near-bucket-blocks")
+    other = in_bucket.select("key", F.col("block").alias("right"))
+    units = materialise(in_bucket.withColumnRenamed("block", "left").join(other, "key").where("left <= right").select("left", "right").distinct(), "near-units")
+    full = placed.join(sketches, "rep").groupBy("block").agg(F.collect_list(F.struct("rep", "component", "sketch")).alias("docs"))
+    left, right = (full.select(F.col("block").alias(k), F.col("docs").alias(c)) for k, c in (("left", "x"), ("right", "y")))
+    close = materialise(units.join(left, "left").join(right, "right").select("left", "right", "x", "y").mapInArrow(_close(least), "left long, right long, a array<long>, b array<long>"), "near-close")
+
+    needed = close.select(F.col("left").alias("l"), F.col("right").alias("r"), F.explode(F.array_distinct(F.concat("a", "b"))).alias("rep"))
+    carried = needed.join(sets, "rep").join(placed.select("rep", "component"), "rep")
+    return close.groupBy("left", "right").cogroup(carried.groupBy("l", "r")).applyInArrow(_exact(percent), "a long, b long")
+
+
+def _close(least: int):
+    """Pairs of two blocks, of different groups, whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (ids, of, x), (others, others_of, y) = (_columns(row[c]) for c in ("x", "y"))
+                a, b = [], []
+                for i in range(len(ids)):
+                    near = ((y == x[i]).sum(axis=1) >= least) & (others_of != of[i])
+                    if row["left"] == row["right"]:
+                        near &= others > ids[i]
+                    b.append(others[near])
+                    a.append(np.full(len(b[-1]), ids[i]))
+                a, b = np.concatenate(a), np.concatenate(b)
+                if len(a):
+                    kind = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([row["left"]]), pa.array([row["right"]]), pa.array([a], kind), pa.array([b], kind)], names=["left", "right", "a", "b"])
+
+    return run
+
+
+def _columns(docs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sketch = np.frombuffer(b"".join(d["sketch"] for d in docs), np.uint8).reshape(len(docs), -1)
+    return np.array([d["rep"] for d in docs]), np.array([d["component"] for d in docs]), sketch
+
+
+def _exact(percent: int):
+    """Of a unit's pairs, links that join its groups as all its links would: a forest of them."""
+
+    def run(close: pa.Table, carried: pa.Table) -> pa.Table:
+        sets = {r: np.frombuffer(e, np.uint64) for r, e in zip(carried["rep"].to_pylist(), carried["elements"].to_pylist(), strict=True)}
+        group = dict(zip(carried["rep"].to_pylist(), carried["component"].to_pylist(), strict=True))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links = []
+        for pairs_a, pairs_b in zip(close["a"].to_pylist(), close["b"].to_pylist(), strict=True):
+            a, b = np.array(pairs_a), np.array(pairs_b)
+            cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], strict=True):
+                x = int(a[start])
+                others = [y for y in b[start:end].tolist() if root(group[y]) != root(group[x])]
+                if not others:
+                    continue
+                bounds = np.cumsum([0, *(len(sets[y]) for y in others)])
+                for y in np.array(others)[_similar(sets[x], np.concatenate([sets[y] for y in others]), bounds, percent)].tolist():
+                    p, q = root(group[x]), root(group[y])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append((x, y))
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def linked_by_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Links between classes that hold different texts of one id, if there are any."""
     whole = ["n_shingles", "low", "high"]
