@@ -37,15 +37,19 @@ class Plain:
         self.n, self.v = sum(ones), len(ones)
         n1, n2 = ones.count(1), ones.count(2)
         self.d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.u = {}
+        self.x = [0, 0]
         for n in range(2, order + 1):
-            once, seen = Counter(), Counter()
-            for g, v in self.c[n].items():
-                if g != ("<s>",) * n:
-                    b = int(math.log2(self.c[n - 1][g[:-1]]))
-                    seen[b] += v
-                    once[b] += v == 1
-            self.u.update({(n, b): (once[b] + 0.5) / (seen[b] + 1) for b in seen})
+            buckets = {}
+            for v in self.c[n - 1].values():
+                if v:
+                    t, k = buckets.get(int(math.log2(v) * 8 + 1e-9), (0, 0))
+                    buckets[int(math.log2(v) * 8 + 1e-9)] = (t + 1, k + v)
+            low, high = 0.0, 1.0
+            for _ in range(50):
+                x = (low + high) / 2
+                enough = sum(t * (k / t) ** x for t, k in buckets.values()) >= sum(v > 0 for g, v in self.c[n].items())
+                low, high = (low, x) if enough else (x, high)
+            self.x.append(low)
 
     def p(self, history, word):
         k = self.c[1][(word,)]
@@ -53,7 +57,7 @@ class Plain:
         for n in range(2, self.order + 1):
             h = tuple(history[len(history) - n + 1 :])
             if whole := self.c[n - 1][h]:
-                u = self.u.get((n, int(math.log2(whole))), 0.5)
+                u = whole ** self.x[n] / (whole + whole ** self.x[n])
                 p = (1 - u) * self.c[n][(*h, word)] / whole + u * p
         return p
 
