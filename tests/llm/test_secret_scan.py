@@ -68,5 +68,10 @@ def test_query(spark, sf):
     want = {(d, m.span("value" if m["assigned"] else m.lastgroup)) for d, t in texts.items() for m in secret_scan.RULES.finditer(t)}
     rows = queries.QUERIES["op5_secret_scan"](spark, sf).collect()
     assert {(r["doc_id"], (r["start"], r["start"] + r["length"])) for r in rows} == want
+
+
+def test_known_formats_are_kept(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op5_secret_scan"](spark, sf).collect()
     known = [r for r in rows if r["rule"] in (*secret_scan.FORMATS, "assigned")]
     assert known and all(r["kept"] for r in known)
