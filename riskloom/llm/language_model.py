@@ -165,8 +165,26 @@ def _block(table: pa.Table, order: int) -> list[Counts]:
     return [Counts.of_tokens(g, f) for g, f in zip(grams, flags, strict=True)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, of which the high ones are all zero and cost nothing once compressed."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _packed(n: int, span: int, block: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
-    return n, span, block, keys.tobytes(), counts.astype(np.int64).tobytes()
+    """Ascending keys as differences, which are short, and their counts."""
+    return n, span, block, _planes(np.diff(keys, prepend=np.uint64(0))), _planes(counts)
+
+
+def _keys(planes: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(planes), dtype=np.uint64)
+
+
+def _totals(planes: bytes) -> np.ndarray:
+    return _numbers(planes).astype(np.int64)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -193,8 +211,8 @@ def _sums(table: pa.Table) -> pa.Table:
     """Of one key range: for each block, sums that differ from its own counts; and the histogram of the sums."""
     n, span = table["n"][0].as_py(), table["span"][0].as_py()
     blocks = table["block"].to_pylist()
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    own = np.concatenate([np.frombuffer(c, np.int64) for c in table["counts"].to_pylist()])
+    keys = [_keys(k) for k in table["keys"].to_pylist()]
+    own = np.concatenate([_totals(c) for c in table["counts"].to_pylist()])
     of = np.repeat(np.arange(len(blocks)), [len(k) for k in keys])
     keys = np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
@@ -224,7 +242,7 @@ def _joined(table: pa.Table, answers: pa.Table, order: int) -> list[Counts]:
     """The block's n-grams with their counts in all training texts."""
     out = _block(table, order)
     for n, keys, counts in zip(answers["n"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-        out[n - 1].replaced(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+        out[n - 1].replaced(_keys(keys), _totals(counts))
     return out
 
 
