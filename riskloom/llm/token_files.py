@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.token_ids import Encoder
@@ -80,8 +80,8 @@ def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
     """(part, ids_before): one row for each file, from the length column alone."""
     totals = read_tokens(spark, path, ("part", "n_tokens")).groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    earlier = totals.select(F.col("part").alias("other"), F.col("total").alias("before"))
-    return totals.join(earlier, earlier["other"] < totals["part"], "left").groupBy("part").agg(F.coalesce(F.sum("before"), F.lit(0)).alias("ids_before"))
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("part", F.coalesce(before, F.lit(0)).alias("ids_before"))
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
