@@ -107,7 +107,8 @@ def deduplicate_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool =
     With ``drop_emptied``, documents that lose all their words go.
     """
     runs = materialise(repeated_runs(docs, min_words), "line-runs").select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
-    joined = docs.withColumn("_place", _place()).join(runs, F.col("_place") == F.col("_doc"), "left")
+    # A merge join at every size: a broadcast for small inputs alone would hide what the texts cost to move.
+    joined = docs.withColumn("_place", _place()).join(runs.hint("merge"), F.col("_place") == F.col("_doc"), "left")
     text = F.col("text").cast("string")
 
     def without(lines: Column) -> Column:
