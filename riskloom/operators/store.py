@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
+from riskloom.session import materialise
 
 DRIVERS = "array<struct<feature:string,impact:double>>"
 RULES = "array<struct<rule_code:string,description:string,severity_penalty:double,category:string>>"
@@ -80,14 +82,41 @@ def first_per_key(rows: DataFrame, key: str, order: Sequence[str | Column]) -> D
     return rows.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
 
 
+def first_write_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The rows that stay if all are written in order and a row is rejected that shares any key with one that stayed.
+
+    Rows that share keys form chains, which are resolved in rounds: a row that is first on all its keys stays, and
+    those that share a key with it go. The first row of all always stays, so every round decides some; there are as
+    many rounds as the longest chain needs. A null key is shared with nothing.
+    """
+    if len(keys) == 1:
+        return first_per_key(rows.where(F.col(keys[0]).isNotNull()), keys[0], order).unionByName(rows.where(F.col(keys[0]).isNull()))
+    placed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "write-order")
+    left = placed.select("_row", *keys, F.struct(*order, "_row").alias("_place"))
+    stayed = []
+    while True:
+        for key in keys:
+            first = F.min("_place").over(Window.partitionBy(key))
+            left = left.withColumn(f"_first_{key}", F.col(key).isNull() | (F.col("_place") == first))
+        first_on_all = F.expr(" and ".join(f"`_first_{key}`" for key in keys))
+        left = materialise(left, "write-order")
+        stayed.append(left.where(first_on_all).select("_row", *keys))
+        rest = left.where(~first_on_all).select("_row", *keys, "_place")
+        for key in keys:
+            rest = rest.join(stayed[-1].select(key).where(F.col(key).isNotNull()), key, "left_anti")
+        left = materialise(rest, "write-order")
+        if not left.limit(1).count():
+            break
+    ids = reduce(DataFrame.unionByName, [s.select("_row") for s in stayed])
+    return placed.join(ids, "_row", "left_semi").select(*rows.columns)
+
+
 def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The rows to append: first per key within the batch, and not present under any key in the table."""
+    """The rows to append: not present under any key in the table, and of the batch's rows those whose write wins."""
     fresh = rows
     for key in keys:
         fresh = fresh.join(existing.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    for key in keys:
-        fresh = first_per_key(fresh, key, order)
-    return fresh.select(*rows.columns)
+    return first_write_wins(fresh, keys, order).select(*rows.columns)
 
 
 def consolidate_labels(feedback: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -114,7 +143,7 @@ def champion_model(registry: DataFrame) -> DataFrame:
 
 
 def model_versions(registry: DataFrame) -> DataFrame:
-    return registry.select("version_id", "model_name", "algorithm", "is_champion", "pr_auc", "roc_auc", "brier_score").orderBy("version_id")
+    return registry.select("version_id", "model_name", "algorithm", "is_champion", "pr_auc", "roc_auc", "brier_score", "parameters").orderBy("version_id")
 
 
 def summary_kpis(txn: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -207,10 +236,13 @@ def constraint_report(txn: DataFrame, customers: DataFrame, merchants: DataFrame
     return report
 
 
-def audit_rows(df: DataFrame, actor: str, action: str, target: str, details: Mapping[str, str] | None = None) -> DataFrame:
-    """Audit events for the rows of ``df``; ``target`` names the column with the resource id."""
+def audit_rows(df: DataFrame, actor: str, action: str, target: str, details: Mapping[str, str] | None = None,
+               ip_address: str | None = None) -> DataFrame:
+    """Audit events for the rows of ``df``; ``target`` and ``ip_address`` name the columns with the resource id and
+    the address that the action came from."""
     return df.select(
         F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.col(target).alias("target_resource"),
         F.to_json(F.struct(*[F.col(c).alias(k) for k, c in (details or {}).items()])).alias("details") if details
         else F.lit(None).cast("string").alias("details"),
+        (F.lit(None).cast("string") if ip_address is None else F.col(ip_address)).alias("ip_address"),
         F.current_timestamp().alias("created_at"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
-from riskloom.operators.history import COLD_START
+from riskloom.operators.history import COLD_START, all_features
 from riskloom.plans import oracles as o
 from riskloom.plans.catalog import query, sel, txn
 from riskloom.schemas import RAW_EVENT
@@ -33,20 +31,36 @@ def as_json(df, broken: bool = False):
     return shaped.select(F.to_json(F.struct(*FIELDS)).alias("value"))
 
 
-def raw_topic(spark, sf, broken: bool = False, repeat: bool = False) -> pipeline.Layout:
-    """The transactions as JSON files in event-time order, one file set per ten days."""
+#: The topic is written in so many parts of equal time, one after the other, each in so many files: a trigger of
+#: SLICE takes one part.
+PARTS, FILES = 3, 4
+SLICE = {"maxFilesPerTrigger": str(FILES)}
+
+
+def raw_topic(spark, sf, broken: bool = False, repeat: bool = False, change=None) -> pipeline.Layout:
+    """All transactions as JSON files in event-time order."""
     layout = pipeline.Layout(scratch_path(spark, "stream"))
-    t = txn(spark, sf)
+    t = txn(spark, sf) if change is None else change(txn(spark, sf))
     if repeat:
         t = t.unionByName(t.where("is_fraud"))
-    cuts = [datetime(2023, 12, 31), datetime(2024, 1, 11), datetime(2024, 1, 21), datetime(2024, 3, 1)]
-    for low, high in zip(cuts, cuts[1:]):
-        span = t.where((F.col("timestamp") >= F.lit(low)) & (F.col("timestamp") < F.lit(high)))
-        as_json(span, broken).coalesce(1).write.mode("append").text(layout.at("raw"))
+    low, high = t.select(F.unix_micros(F.min("timestamp")), F.unix_micros(F.max("timestamp"))).first()
+    part = F.floor((F.unix_micros("timestamp") - low) * PARTS / (high - low + 1))
+    for k in range(PARTS):
+        as_json(t.where(part == k), broken).repartition(FILES).write.mode("append").text(layout.at("raw"))
     return layout
 
 
-ONE_FILE = {"maxFilesPerTrigger": "1"}
+def shared_keys(t):
+    """One idempotency key for all transactions of a customer in an hour."""
+    return t.withColumn("idempotency_key", F.concat("customer_id", F.lit("|"), F.date_format("timestamp", "yyyy-MM-dd HH")))
+
+
+def without_optional(t):
+    """Some events lack their device, country and city."""
+    lost = F.substring("transaction_id", -3, 1) == "7"
+    return t.withColumns({c: F.when(~lost, F.col(c)) for c in ("device_id", "country", "city")})
+
+
 _TYPED = 'transaction_id, customer_id, "timestamp", CAST(amount AS DOUBLE) AS amount, lat, lon, transaction_id AS idempotency_key'
 
 
@@ -77,7 +91,7 @@ def _(spark, sf):
 def _(spark, sf):
     pipeline.use_rocksdb(spark)
     layout = raw_topic(spark, sf, repeat=True)
-    good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), ONE_FILE)))
+    good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE)))
     q = pipeline._run(events.dedupe_stream(good).select("transaction_id"), layout.at("out"), layout.checkpoint("out"))
     q.awaitTermination()
     return spark.read.schema("transaction_id string").parquet(layout.at("out"))
@@ -94,7 +108,7 @@ def _plain_feat():
 @query("Z4_stream_customer_features", sel(_plain_feat(), f"transaction_id, {_HIST}", "feat"))
 def _(spark, sf):
     layout = raw_topic(spark, sf)
-    pipeline.customer_feature_query(spark, layout, ONE_FILE).awaitTermination()
+    pipeline.customer_feature_query(spark, layout, SLICE).awaitTermination()
     return spark.read.parquet(layout.at("customer_features")).select("transaction_id", *COLD_START)
 
 
@@ -102,7 +116,7 @@ def _(spark, sf):
 def _(spark, sf):
     layout = raw_topic(spark, sf)
     pipeline.use_rocksdb(spark)
-    good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), ONE_FILE)))
+    good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE)))
     from riskloom.streaming.state import stream_device_features
 
     pipeline._run(stream_device_features(good.drop("payload")), layout.at("out"), layout.checkpoint("out")).awaitTermination()
@@ -116,28 +130,52 @@ _STREAM_SCORE = f"""{_plain_feat()}, sc AS (SELECT transaction_id, {o.BEHAVIOR}
 @query("Z6_stream_score", f"WITH {_STREAM_SCORE} SELECT transaction_id, risk_score, {o.decision('risk_score')} AS decision FROM f")
 def _(spark, sf):
     layout = raw_topic(spark, sf)
-    pipeline.run_chain(spark, layout, options=ONE_FILE)
+    pipeline.run_chain(spark, layout, options=SLICE)
     # A second run over the same checkpoints and a repeated batch must add nothing.
-    pipeline.persist_decision(layout)(
-        pipeline.stream_score(spark.read.parquet(layout.at("features"))), 0)
+    pipeline.persist_decision(layout)(pipeline.stream_score(spark.read.parquet(layout.at("features"))), 99)
     return spark.read.parquet(layout.at("risk_decisions")).select("transaction_id", "risk_score", "decision")
 
 
-@query("S6_persist_decision", f"WITH {_STREAM_SCORE} SELECT 'transactions' AS table_name, count(*) AS n FROM txn UNION ALL SELECT 'predictions', count(*) FROM txn UNION ALL SELECT 'risk_decisions', count(*) FROM f")
-def _(spark, sf):
-    layout = raw_topic(spark, sf, repeat=True)
-    pipeline.run_chain(spark, layout, options=ONE_FILE)
+def _stored(spark, layout):
+    """Per table: rows, rows without a stored transaction, and what predictions carry besides the score."""
+    known = spark.read.parquet(layout.at("transactions")).select("transaction_id").distinct()
     out = None
     for name in ("transactions", "predictions", "risk_decisions"):
-        row = spark.read.parquet(layout.at(name)).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        table = spark.read.parquet(layout.at(name))
+        orphans = table.join(known, "transaction_id", "left_anti").agg(F.count("*").alias("orphans"))
+        full = F.count_if(F.col("inference_latency_ms") >= 0) if name == "predictions" else F.lit(0).cast("long")
+        amounts = F.sum(F.get_json_object("feature_payload", "$.amount").cast("decimal(12,2)")) if name == "predictions" else F.lit(0)
+        row = table.agg(F.count("*").alias("n"), full.alias("with_latency"), amounts.cast("double").alias("payload_amount")).join(orphans).select(F.lit(name).alias("table_name"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+_S6 = """SELECT 'transactions' AS table_name, count(*) AS n, 0 AS with_latency, 0.0::DOUBLE AS payload_amount, 0 AS orphans FROM kept
+ UNION ALL SELECT 'predictions', count(*), count(*), CAST(sum(amount) AS DOUBLE), 0 FROM kept UNION ALL SELECT 'risk_decisions', count(*), 0, 0.0::DOUBLE, 0 FROM kept"""
+
+
+@query("S6_persist_decision", f"WITH {o.TXN}, kept AS (SELECT amount FROM txn) {_S6}")
+def _(spark, sf):
+    layout = raw_topic(spark, sf, repeat=True)
+    pipeline.run_chain(spark, layout, options=SLICE)
+    return _stored(spark, layout)
+
+
+@query("S6_persist_decision_shared_keys", f"WITH {o.TXN}, kept AS (SELECT amount FROM txn QUALIFY row_number() OVER (PARTITION BY {_KEYED} ORDER BY us, transaction_id) = 1) {_S6}")
+def _(spark, sf):
+    layout = raw_topic(spark, sf)
+    t = shared_keys(txn(spark, sf))
+    scored = pipeline.stream_score(all_features(t))
+    sink = pipeline.persist_decision(layout)
+    for batch_id in (0, 1):  # the second delivery of the same rows adds nothing
+        sink(scored, batch_id)
+    return _stored(spark, layout)
+
+
 @query("S4_read_stream", sel(o.TXN, "transaction_id, CAST(amount AS DOUBLE) AS amount", "txn"))
 def _(spark, sf):
     layout = raw_topic(spark, sf)
-    parsed = events.parse_events(events.read_stream(spark, "files", layout.at("raw"), ONE_FILE))
+    parsed = events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE))
     pipeline._run(parsed.select("transaction_id", "amount"), layout.at("out"), layout.checkpoint("out")).awaitTermination()
     return spark.read.schema("transaction_id string, amount decimal(12,2)").parquet(layout.at("out"))
 
@@ -145,21 +183,20 @@ def _(spark, sf):
 @query("S5_write_stream", sel(o.TXN, "customer_id AS key, transaction_id, CAST(amount AS DOUBLE) AS amount", "txn"))
 def _(spark, sf):
     layout = raw_topic(spark, sf)
-    parsed = events.parse_events(events.read_stream(spark, "files", layout.at("raw"), ONE_FILE)).drop("payload")
+    parsed = events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE)).drop("payload")
     events.write_stream(parsed, "files", layout.at("topic"), layout.checkpoint("topic")).awaitTermination()
     sent = spark.read.schema("key string, value string").json(layout.at("topic"))
     return sent.select("key", F.from_json("value", "transaction_id string, amount decimal(12,2)").alias("v")).select("key", "v.*")
 
 
-@query("Z7_stream_kpis", f"WITH {o.STORE} SELECT CAST(date_trunc('hour', \"timestamp\") AS TIMESTAMP) AS window_start, count(*) AS events, count(*) FILTER (decision = 'BLOCK') AS blocked, {o.r('avg(CAST(risk_score AS DOUBLE))', 4)} AS mean_score "
-       "FROM decisions GROUP BY 1 HAVING date_trunc('hour', min(\"timestamp\")) + INTERVAL 1 HOUR <= (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE FROM decisions)")
+@query("Z7_stream_kpis", f"WITH {o.STORE} SELECT CAST(date_trunc('hour', \"timestamp\") AS TIMESTAMP) AS window_start, count(*) AS events, count(*) FILTER (decision = 'BLOCK') AS blocked, {o.r('avg(CAST(risk_score AS DOUBLE))', 4)} AS mean_score FROM decisions GROUP BY 1")
 def _(spark, sf):
     layout = pipeline.Layout(scratch_path(spark, "stream"))
     rows = star.decisions(txn(spark, sf)).select("transaction_id", "timestamp", F.col("risk_score").cast("double").alias("risk_score"), "decision")
-    rows.coalesce(1).write.parquet(layout.at("decisions"))
+    rows.write.parquet(layout.at("decisions"))
     stream = spark.readStream.schema(rows.schema).parquet(layout.at("decisions"))
-    pipeline._run(pipeline.stream_kpis(stream, "1 hour"), layout.at("out"), layout.checkpoint("out")).awaitTermination()
-    out = spark.read.parquet(layout.at("out"))
+    pipeline.kpi_query(stream, layout.at("out"), layout.checkpoint("out"), "1 hour").awaitTermination()
+    out = pipeline.latest_kpis(spark, layout.at("out"))
     return out.select("window_start", "events", "blocked", rounded(F.col("mean_score"), 4).alias("mean_score"))
 
 
@@ -167,6 +204,43 @@ def _(spark, sf):
 def _(spark, sf):
     t = txn(spark, sf)
     _, dead = events.route_dead_letters(events.parse_events(as_json(t, broken=True)))
-    dead = materialise(dead, "dead-letters")
-    fixed = materialise(as_json(t), "repaired").select(F.get_json_object("value", "$.transaction_id").alias("key"), F.col("value").alias("payload"))
-    return events.parse_events(events.replay_dead_letters(dead, fixed)).select("transaction_id", "customer_id", "amount")
+    # Sent twice, and repaired by id; letters without a transaction id are told apart by their own.
+    dead = materialise(dead.unionByName(dead), "dead-letters")
+    right = as_json(t).select(F.get_json_object("value", "$.transaction_id").alias("id"), F.col("value").alias("fixed"))
+    repaired = dead.withColumn("id", F.get_json_object("payload", "$.transaction_id")).join(right, "id").select("letter_id", F.col("fixed").alias("payload"))
+    return events.parse_events(events.replay_dead_letters(dead, materialise(repaired, "repaired"))).select("transaction_id", "customer_id", "amount")
+
+
+@query("Z2_route_missing", sel(o.TXN, "transaction_id AS key, 'missing calibrated_probability, anomaly_score, risk_score, decision' AS error, 'decision' AS step", "txn", "WHERE ip_address IS NULL"))
+def _(spark, sf):
+    layout = pipeline.Layout(scratch_path(spark, "stream"))
+    t = txn(spark, sf).withColumn("idempotency_key", F.col("transaction_id"))
+    scored = pipeline.stream_score(all_features(t))
+    lost = F.when(F.col("ip_address").isNotNull(), F.col("risk_score"))
+    pipeline.persist_decision(layout)(scored.withColumn("risk_score", lost), 0)
+    return spark.read.parquet(layout.at("dead_letters_decision")).select("key", "error", "step")
+
+
+_NULLS = o.TXN + """,
+ full_txn AS (SELECT * FROM txn),
+ gap AS (SELECT * REPLACE (CASE WHEN substr(transaction_id, -3, 1) <> '7' THEN device_id END AS device_id,
+   CASE WHEN substr(transaction_id, -3, 1) <> '7' THEN country END AS country, CASE WHEN substr(transaction_id, -3, 1) <> '7' THEN city END AS city) FROM full_txn)"""
+
+
+@query("Z4_stream_absent_fields", f"""WITH {_NULLS},
+ f AS (SELECT transaction_id, count(*) OVER past AS n, coalesce(count(*) OVER day, 0) AS txn_count_24h,
+   us <= min(us) OVER (PARTITION BY customer_id, coalesce(device_id, '')) AS d, us <= min(us) OVER (PARTITION BY customer_id, coalesce(country, '')) AS c,
+   us <= min(us) OVER (PARTITION BY customer_id, coalesce(city, '')) AS t,
+   len(list_distinct(list(merchant_id) OVER day)) AS m, len(list_distinct(list(country) OVER week)) AS co, len(list_distinct(list(device_id) OVER month)) AS de
+  FROM gap WINDOW past AS (PARTITION BY customer_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+   day AS (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING),
+   week AS (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 604800000000 PRECEDING AND 1 PRECEDING),
+   month AS (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING))
+ SELECT transaction_id, txn_count_24h, CASE WHEN n > 0 THEN d::INT ELSE 1 END AS is_new_device, CASE WHEN n > 0 THEN c::INT ELSE 0 END AS is_new_country,
+  CASE WHEN n > 0 THEN t::INT ELSE 0 END AS is_new_city, coalesce(m, 0) AS unique_merchants_24h, CASE WHEN n > 0 THEN greatest(1, coalesce(co, 0)) ELSE 1 END AS unique_countries_7d,
+  CASE WHEN n > 0 THEN greatest(1, coalesce(de, 0)) ELSE 1 END AS unique_devices_30d FROM f""")
+def _(spark, sf):
+    layout = raw_topic(spark, sf, change=without_optional)
+    pipeline.customer_feature_query(spark, layout, SLICE).awaitTermination()
+    return spark.read.parquet(layout.at("customer_features")).select(
+        "transaction_id", "txn_count_24h", "is_new_device", "is_new_country", "is_new_city", "unique_merchants_24h", "unique_countries_7d", "unique_devices_30d")

@@ -65,7 +65,7 @@ TRIGGERED_RULE = _struct(
 
 PREDICTION = _struct(
     ("transaction_id", S, False), ("model_version_id", S, False), ("raw_score", D, False),
-    ("calibrated_probability", D, False), ("anomaly_score", D, False), ("inference_latency_ms", D, True),
+    ("calibrated_probability", D, False), ("anomaly_score", D, False), ("inference_latency_ms", D, True), ("feature_payload", S, True),
     ("shap_positive_drivers", T.ArrayType(DRIVER), True), ("shap_negative_drivers", T.ArrayType(DRIVER), True),
 )
 
@@ -85,7 +85,15 @@ FRAUD_LABEL = _struct(
 )
 
 AUDIT_EVENT = _struct(
-    ("actor", S, False), ("action", S, False), ("target_resource", S, False), ("details", S, True), ("created_at", TS, False),
+    ("actor", S, False), ("action", S, False), ("target_resource", S, False), ("details", S, True),
+    ("ip_address", S, True), ("created_at", TS, False),
+)
+
+#: ``parameters``: the training parameters as JSON.
+MODEL_VERSION = _struct(
+    ("version_id", S, False), ("model_name", S, False), ("algorithm", S, False), ("is_champion", B, False),
+    ("pr_auc", D, True), ("roc_auc", D, True), ("brier_score", D, True), ("parameters", S, True), ("trained_at", TS, False),
+    ("deployed_at", TS, True),
 )
 
 # The feature vector in model order. -------------------------------------------------

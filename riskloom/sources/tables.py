@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from riskloom import schemas
+from riskloom.session import materialise
 
 
 def read_transactions(spark: SparkSession, path: str, schema: StructType = schemas.TRANSACTION) -> DataFrame:
@@ -48,27 +51,33 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], day_slack: int = 1) -> int:
-    """Append the rows whose keys the table does not hold yet: a repeated batch adds nothing.
+def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Append the rows whose keys the table does not hold yet: a repeated batch adds nothing, whenever it comes.
 
-    The table is partitioned by event date and only the days around the batch are read for the check, so
-    the cost follows the batch and not the table. Returns the number of days looked at.
+    The check reads the key columns of the whole table. Within the batch the first write wins. Returns the batch's
+    rows that the table now holds: those appended, and those of an earlier delivery of the same batch.
     """
-    from riskloom.operators.store import first_per_key
+    from riskloom.operators.store import insert_if_absent
 
     spark = df.sparkSession
     dated = df.withColumn("event_date", F.to_date("timestamp"))
-    span = dated.agg(F.min("event_date"), F.max("event_date")).first()
-    if span[0] is None:
-        return 0
-    fresh = dated
-    for key in keys:
-        fresh = first_per_key(fresh, key, ["timestamp", "transaction_id"])
+    known = read_appended(spark, path, dated.schema)
+    fresh = materialise(insert_if_absent(known, dated, keys, ["timestamp", "transaction_id"]), "append")
+    write_dated(fresh, path)
+    now = read_appended(spark, path, dated.schema).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(now, reduce(lambda a, b: a & b, same), "left_semi")
+
+
+def read_appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table that may not exist yet."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        low, high = F.date_sub(F.lit(span[0]), day_slack), F.date_add(F.lit(span[1]), day_slack)
-        known = spark.read.schema(dated.schema).parquet(path).where(F.col("event_date").between(low, high))
-        for key in keys:
-            fresh = fresh.join(known.select(key), key, "left_anti")
-    fresh.select(*dated.columns).write.mode("append").partitionBy("event_date").parquet(path)
-    return (span[1] - span[0]).days + 1 + 2 * day_slack
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_dated(df: DataFrame, path: str, per_day: int = 8) -> None:
+    """Append by day, each day from at most ``per_day`` tasks, so that files are few and no day is one task."""
+    salt = F.pmod(F.xxhash64("transaction_id"), F.lit(per_day))
+    df.repartition("event_date", salt).write.mode("append").partitionBy("event_date").parquet(path)

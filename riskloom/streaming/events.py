@@ -52,9 +52,10 @@ def event_error() -> Column:
 
 
 def dead_letters(df: DataFrame, error, step: str) -> DataFrame:
-    """Failed rows as (key, payload, error, step)."""
+    """Failed rows as (letter_id, key, payload, error, step). Letters of equal payloads and steps are one letter, sent again."""
     bad = df.withColumn("error", error).where(F.col("error").isNotNull())
-    return bad.select(F.coalesce("transaction_id", F.lit("unknown")).alias("key"), "payload", "error", F.lit(step).alias("step"))
+    letter = F.sha2(F.concat_ws("|", F.lit(step), F.coalesce("payload", F.lit(""))), 256)
+    return bad.select(letter.alias("letter_id"), F.coalesce("transaction_id", F.lit("unknown")).alias("key"), "payload", "error", F.lit(step).alias("step"))
 
 
 def route_dead_letters(parsed: DataFrame, step: str = "features") -> tuple[DataFrame, DataFrame]:
@@ -101,8 +102,12 @@ def write_stream(df: DataFrame, sink: str, location: str, checkpoint: str, key:
 
 
 def replay_dead_letters(letters: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
-    """Raw ``value`` rows to feed back: the stored payload, or its repaired version by key."""
+    """Raw ``value`` rows to feed back, one for each letter: the stored payload, or its repair by ``letter_id``.
+
+    Of several repairs of a letter the one that sorts first counts.
+    """
+    once = letters.dropDuplicates(["letter_id"])
     if fixed is None:
-        return letters.select(F.col("payload").alias("value"))
-    repaired = letters.join(fixed.select("key", F.col("payload").alias("_fixed")), "key", "left")
-    return repaired.select(F.coalesce("_fixed", "payload").alias("value"))
+        return once.select(F.col("payload").alias("value"))
+    repairs = fixed.groupBy("letter_id").agg(F.min("payload").alias("_fixed"))
+    return once.join(repairs, "letter_id", "left").select(F.coalesce("_fixed", "payload").alias("value"))

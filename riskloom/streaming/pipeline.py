@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.functions import policy
 from riskloom.operators.history import point_features
 from riskloom.plans.scoring import Scorer, decide_features, decision_rows, prediction_rows
+from riskloom.session import materialise
 from riskloom.sources.tables import append_new
-from riskloom.streaming.events import dedupe_stream, parse_events, read_stream, route_dead_letters
+from riskloom.streaming.events import dedupe_stream, parse_events, read_stream, route_dead_letters, route_missing, write_stream
 from riskloom.streaming.state import stream_customer_features, stream_device_features
 
+#: What a row must carry to become a decision.
+SCORED = ["calibrated_probability", "anomaly_score", "risk_score", "decision"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,9 +30,19 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 @dataclass(frozen=True)
 class Layout:
-    """Folders of one deployment."""
+    """Folders of one deployment, and where its raw events come from.
+
+    ``source`` is "files" (a folder under the root) or "kafka" (then ``topic`` and ``source_options`` with the brokers).
+    """
 
     root: str
+    source: str = "files"
+    topic: str | None = None
+    source_options: tuple[tuple[str, str], ...] = ()
+
+    def raw(self, spark: SparkSession, options=None) -> DataFrame:
+        where = self.at("raw") if self.source == "files" else self.topic
+        return read_stream(spark, self.source, where, {**dict(self.source_options), **(options or {})})
 
     def at(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -43,16 +57,14 @@ def _run(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def dead_letter_query(spark: SparkSession, layout: Layout, options=None) -> StreamingQuery:
-    parsed = parse_events(read_stream(spark, "files", layout.at("raw"), options))
-    _, dead = route_dead_letters(parsed)
+    _, dead = route_dead_letters(parse_events(layout.raw(spark, options)))
     return _run(dead, layout.at("dead_letters"), layout.checkpoint("dead_letters"))
 
 
 def customer_feature_query(spark: SparkSession, layout: Layout, options=None) -> StreamingQuery:
     """Raw events, parsed, deduplicated, with customer features, to a parquet hop."""
     use_rocksdb(spark)
-    parsed = parse_events(read_stream(spark, "files", layout.at("raw"), options))
-    good, _ = route_dead_letters(parsed)
+    good, _ = route_dead_letters(parse_events(layout.raw(spark, options)))
     features = stream_customer_features(point_features(dedupe_stream(good.drop("payload"))))
     return _run(features, layout.at("customer_features"), layout.checkpoint("customer_features"))
 
@@ -75,19 +87,30 @@ def stream_score(features: DataFrame, scorer: Scorer | None = None) -> DataFrame
 
 
 def persist_decision(layout: Layout):
-    """foreachBatch sink of the transaction, prediction and decision tables; repeating a batch is harmless."""
+    """foreachBatch sink of the transaction, prediction and decision tables; repeating a batch is harmless.
+
+    Rows that lack what an earlier step should have given go to the dead letters of the batch. The stored latency is
+    that of the batch, from its start to its scored rows, shared among them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        began = time.time()
+        cached = batch = batch.persist()
         try:
+            scored, dead = route_missing(batch, SCORED, "decision")
+            dead.write.mode("overwrite").parquet(layout.at(f"dead_letters_decision/batch={batch_id}"))
+            spent = (time.time() - began) * 1000.0 / max(batch.count(), 1)
+            batch = scored.withColumn("inference_latency_ms", F.lit(spent))
             fields = ["transaction_id", "timestamp", "customer_id", "merchant_id", "amount", "currency", "country", "city",
                       "device_id", "payment_method", "ip_address", "idempotency_key"]
-            append_new(batch.select(*fields), layout.at("transactions"), ["transaction_id", "idempotency_key"])
-            when = batch.select("transaction_id", "timestamp")
-            append_new(prediction_rows(batch).join(when, "transaction_id"), layout.at("predictions"), ["transaction_id"])
-            append_new(decision_rows(batch).join(when, "transaction_id"), layout.at("risk_decisions"), ["transaction_id"])
+            # Decided once: a rejected transaction has no prediction and no decision.
+            kept = append_new(batch.select(*fields), layout.at("transactions"), ["transaction_id", "idempotency_key"])
+            rows = materialise(batch.join(kept.select("transaction_id", "idempotency_key"), ["transaction_id", "idempotency_key"], "left_semi"), "persist")
+            rows = rows.dropDuplicates(["transaction_id"])
+            append_new(prediction_rows(rows, ["timestamp"]), layout.at("predictions"), ["transaction_id"])
+            append_new(decision_rows(rows, ["timestamp"]), layout.at("risk_decisions"), ["transaction_id"])
         finally:
-            batch.unpersist()
+            cached.unpersist()
 
     return write
 
@@ -98,6 +121,12 @@ def decision_query(spark: SparkSession, layout: Layout, scorer: Scorer | None =
             .trigger(availableNow=True).start())
 
 
+def publish_decisions(spark: SparkSession, layout: Layout, sink: str, location: str, options=None) -> StreamingQuery:
+    """Stored decisions as keyed messages: "files" under a folder or "kafka" to a topic."""
+    stored = _hop(spark, layout.at("risk_decisions"))
+    return write_stream(stored, sink, location, layout.checkpoint("published"), key="transaction_id", options=options)
+
+
 def run_chain(spark: SparkSession, layout: Layout, scorer: Scorer | None = None, options=None) -> None:
     """Drive everything available through the chain once. ``options`` pace the raw source only; a hop takes
     whatever its writer has finished."""
@@ -118,3 +147,20 @@ def stream_kpis(decisions: DataFrame, window: str = "1 minute", delay: str = "10
             F.percentile_approx("risk_score", 0.95).alias("p95_score"))
         .select(F.col("w.start").alias("window_start"), "events", (F.col("events") / seconds).alias("events_per_second"),
                 "blocked", "mean_score", "p95_score"))
+
+
+def kpi_query(decisions: DataFrame, path: str, checkpoint: str, window: str = "1 minute", delay: str = "10 minutes") -> StreamingQuery:
+    """KPIs in update mode: every batch stores the windows that it changed, the open ones too."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (stream_kpis(decisions, window, delay).writeStream.outputMode("update").foreachBatch(store)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_kpis(spark: SparkSession, path: str) -> DataFrame:
+    """The last stored state of every window."""
+    stored = spark.read.parquet(path)
+    fields = [c for c in stored.columns if c not in ("window_start", "batch")]
+    return stored.groupBy("window_start").agg(F.max_by(F.struct(*fields), "batch").alias("k")).select("window_start", "k.*")

@@ -48,18 +48,28 @@ def _worth_rewriting(expired: int, held: int) -> bool:
 
 
 def _state_rows(events: pd.DataFrame) -> list[tuple]:
-    return [
-        (int(e.us), e.transaction_id, int(e.cents), float(e.lat), float(e.lon), e.merchant_id, e.country, e.city, e.device_id)
-        for e in events.itertuples()]
+    """Absent fields are nulls in the state, whatever pandas has made of them."""
+    plain = events[EVENT_FIELDS].astype(object).where(events[EVENT_FIELDS].notna(), None)
+    return [(int(e.us), e.transaction_id, int(e.cents), e.lat, e.lon, e.merchant_id, e.country, e.city, e.device_id) for e in plain.itertuples()]
+
+
+def _number(value) -> float | None:
+    return None if pd.isna(value) else float(value)
 
 
 class CustomerHistory(StatefulProcessor):
-    """Per customer: events of the last 30 days, totals of older ones, first sight of each entity."""
+    """Per customer: events of the last 30 days, totals of older ones, first sight of each entity.
+
+    ``entity_days`` forgets an entity that many days after its first sight was last written (wall clock); None keeps all.
+    """
+
+    def __init__(self, entity_days: int | None = None) -> None:
+        self.entity_ttl = None if entity_days is None else entity_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", EVENT_STATE)
         self.older = handle.getValueState("older", "n long, cents string, squares string, us long, transaction_id string, lat double, lon double")
-        self.first_seen = handle.getMapState("first_seen", "entity string", "us long")
+        self.first_seen = handle.getMapState("first_seen", "entity string", "us long", self.entity_ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True)
@@ -70,7 +80,7 @@ class CustomerHistory(StatefulProcessor):
         batch = batch.sort_values(["us", "transaction_id"], ignore_index=True)
 
         for name in NOVELTY.values():
-            for value, us in batch.groupby(name)["us"].min().items():
+            for value, us in batch.groupby(batch[name].fillna(""))["us"].min().items():
                 known = self.first_seen.getValue((f"{name}|{value}",)) if self.first_seen.containsKey((f"{name}|{value}",)) else None
                 if known is None or us < known[0]:
                     self.first_seen.updateValue((f"{name}|{value}",), (int(us),))
@@ -85,7 +95,7 @@ class CustomerHistory(StatefulProcessor):
         last = expired.iloc[-1]
         self.older.update((
             int(old[0]) + len(expired), str(int(old[1]) + sum(cents)), str(int(old[2]) + sum(c * c for c in cents)),
-            int(last["us"]), last["transaction_id"], float(last["lat"]), float(last["lon"])))
+            int(last["us"]), last["transaction_id"], _number(last["lat"]), _number(last["lon"])))
         self.recent.put(_state_rows(events[events["us"] >= cutoff]))
 
     def _answer(self, customer: str, batch: pd.DataFrame, events: pd.DataFrame, old) -> pd.DataFrame:
@@ -102,7 +112,7 @@ class CustomerHistory(StatefulProcessor):
         spread = [n * (int(old[2]) + squares[e]) - (int(old[1]) + sums[e]) ** 2 for n, e in zip(out["n_past"], end)]
         out["std_cents"] = [float(s) ** 0.5 / n if n > 0 else None for s, n in zip(map(lambda v: max(v, 0), spread), out["n_past"])]
         previous = [
-            (int(us[e - 1]), events["transaction_id"][e - 1], float(events["lat"][e - 1]), float(events["lon"][e - 1])) if e > 0
+            (int(us[e - 1]), events["transaction_id"][e - 1], _number(events["lat"][e - 1]), _number(events["lon"][e - 1])) if e > 0
             else (old[3], old[4], old[5], old[6]) for e in end]
         for i, name in enumerate(("prev_us", "prev_id", "prev_lat", "prev_lon")):
             out[name] = [p[i] for p in previous]
@@ -112,12 +122,13 @@ class CustomerHistory(StatefulProcessor):
             start = np.searchsorted(us, now - seconds * SECOND, "left")
             out[f"cents_{name}"] = [int(sums[e] - sums[s]) for s, e in zip(start, end)]
         for name, (column, seconds) in DISTINCT_WINDOWS.items():
-            values = events[column].to_numpy(dtype=object)
+            values = events[column].astype(object).where(events[column].notna(), None).to_numpy(dtype=object)
             start = np.searchsorted(us, now - seconds * SECOND, "left")
-            out[f"d_{name}"] = [len(set(values[s:e])) for s, e in zip(start, end)]
+            out[f"d_{name}"] = [len(set(values[s:e]) - {None}) for s, e in zip(start, end)]
         for name, column in NOVELTY.items():
-            first = {v: self.first_seen.getValue((f"{column}|{v}",))[0] for v in batch[column].unique()}
-            out[f"new_{name}"] = [t <= first[v] for t, v in zip(now, batch[column])]
+            values = batch[column].fillna("")
+            first = {v: self.first_seen.getValue((f"{column}|{v}",))[0] for v in values.unique()}
+            out[f"new_{name}"] = [t <= first[v] for t, v in zip(now, values)]
         out["row"] = batch["row"]
         return pd.DataFrame(out)[[f.name for f in STATS.fields]].astype({"prev_us": "Int64"})
 
@@ -132,10 +143,16 @@ DEVICE_STATS = T.StructType([
 
 
 class DeviceCustomers(StatefulProcessor):
-    """Per device: (time, customer) of the last 24 hours."""
+    """Per device: (time, customer) of the last 24 hours.
+
+    ``idle_hours`` drops what a device has not added to for so long (wall clock), so idle devices leave the state.
+    """
+
+    def __init__(self, idle_hours: int | None = None) -> None:
+        self.ttl = None if idle_hours is None else idle_hours * 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us long, customer_id string")
+        self.recent = handle.getListState("recent", "us long, customer_id string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "transaction_id"], ignore_index=True)
@@ -158,7 +175,7 @@ class DeviceCustomers(StatefulProcessor):
         pass
 
 
-def stream_customer_features(events: DataFrame) -> DataFrame:
+def stream_customer_features(events: DataFrame, entity_days: int | None = None) -> DataFrame:
     """Customer history statistics of a stream of transactions, finished into the named features."""
     from riskloom.operators.history import RAW_STATS, finish_history
 
@@ -166,7 +183,8 @@ def stream_customer_features(events: DataFrame) -> DataFrame:
     shaped = events.withColumns({"us": micros(F.col("timestamp")), "cents": (F.col("amount") * 100).cast("long")})
     keyed = shaped.select("customer_id", *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
     stats = keyed.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=CustomerHistory(), outputStructType=STATS, outputMode="Append", timeMode="None")
+        statefulProcessor=CustomerHistory(entity_days), outputStructType=STATS, outputMode="Append",
+        timeMode="None" if entity_days is None else "ProcessingTime")
     known = F.struct(F.col("prev_us").alias("us"), F.col("prev_id").alias("transaction_id"), F.col("prev_lat").alias("lat"), F.col("prev_lon").alias("lon"))
     rest = [c for c in stats.columns if c not in ("row", "transaction_id", "customer_id") and not c.startswith("prev_")]
     opened = stats.select(
@@ -176,12 +194,13 @@ def stream_customer_features(events: DataFrame) -> DataFrame:
     return finished.drop(*RAW_STATS, "cents_past", "us")
 
 
-def stream_device_features(events: DataFrame) -> DataFrame:
-    """Adds device_customer_count to a stream; keeps every other column."""
+def stream_device_features(events: DataFrame, idle_hours: int | None = None) -> DataFrame:
+    """Adds device_customer_count to a stream; keeps every other column. Rows without a device share one key, as in batch."""
     schema = T.StructType([f for f in events.schema.fields])
-    keyed = events.select("device_id", "transaction_id", "customer_id", micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
+    keyed = events.select(F.coalesce("device_id", F.lit("")).alias("device_id"), "transaction_id", "customer_id", micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
     stats = keyed.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=DeviceCustomers(), outputStructType=DEVICE_STATS, outputMode="Append", timeMode="None")
+        statefulProcessor=DeviceCustomers(idle_hours), outputStructType=DEVICE_STATS, outputMode="Append",
+        timeMode="None" if idle_hours is None else "ProcessingTime")
     return stats.select(
         F.from_json("row", schema, JSON).alias("r"), F.greatest(F.lit(1), F.col("device_customers")).alias("device_customer_count")
     ).select("r.*", "device_customer_count")
