@@ -36,7 +36,7 @@ from riskloom.llm.words import BY_WHITE_SPACE, mix, slices, words
 from riskloom.session import materialise
 
 #: Characters of text in a block, and n-grams in a key range, on average.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 5 << 20
 RANGE_GRAMS = 2 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 #: Hashes of the end of a text and of what stands before its first word.
@@ -145,7 +145,7 @@ class Counts:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of hashes that are here, by one sort of the hashes: neighbours in order are near in memory."""
         order = np.argsort(keys)
-        out = np.empty(len(keys), np.int64)
+        out = np.empty(len(keys), np.int32)
         out[order] = np.searchsorted(self.keys, (keys >> np.uint64(1))[order])
         return out
 
@@ -290,7 +290,7 @@ class Automaton:
             at[grams[n - 1]] = np.arange(len(source))
             at = at[at >= 0]
             at = at[(source[at] > 0) & (seen[at] > 0)]
-            keys.append(source[at] * self.width + grams[0][at])
+            keys.append(source[at].astype(np.int64) * self.width + grams[0][at])
             weight.append(np.log10(now[at]))
             m = min(n, order - 1)
             after.append(number[m][grams[m - 1][at]])
@@ -386,10 +386,11 @@ def _scorer(order: int, stats: tuple[int, int, int, int], exponents: list[float]
         firsts = bounds[:-1]
         contexts = [grams[0]]
         for n in range(2, order + 1):
-            before = np.empty(len(hashes), np.int64)
+            before = np.empty(len(hashes), np.int32)
             before[1:] = grams[n - 2][:-1]
             before[firsts] = counts[n - 2].find(np.array([_begin(n)]))[0]
             contexts.append(before)
+        del hashes
         automaton = Automaton(grams, contexts, counts, stats, exponents)
         start = 0
         for n in range(1, order):
