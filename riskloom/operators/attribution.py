@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -14,7 +12,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import rounded
 from riskloom.schemas import FEATURES
 
-MAX_PATH_FEATURES = 10
+#: Nodes of a model that is broadcast; about 100 bytes each.
+MAX_NODES = 2_000_000
 
 
 def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], means: Mapping[str, float]) -> DataFrame:
@@ -44,9 +43,8 @@ def tree_table(path: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, weights
 
 
-def _leaf_tables(nodes: pd.DataFrame, weights: dict[int, float]) -> list[tuple]:
-    """Per leaf: its split conditions grouped by feature, and the contribution of each of those features
-    for every pattern of satisfied / violated features (published path-dependent tree SHAP, closed form)."""
+def _leaves(nodes: pd.DataFrame, weights: dict[int, float]) -> list[tuple]:
+    """Per leaf: features, lower and upper bounds and cover shares of its path, and its weighted value."""
     leaves = []
     for tree, part in nodes.groupby("treeID"):
         node = {r.id: r for r in part.itertuples()}
@@ -56,7 +54,8 @@ def _leaf_tables(nodes: pd.DataFrame, weights: dict[int, float]) -> list[tuple]:
             n = node[at]
             if n.leftChild < 0:
                 if path:
-                    leaves.append((path, n.prediction * weights.get(tree, 1.0)))
+                    low, high, share = (np.array(v) for v in zip(*path.values()))
+                    leaves.append((list(path), low, high, share, n.prediction * weights.get(tree, 1.0)))
                 continue
             feature, threshold = n.split["featureIndex"], n.split["leftCategoriesOrThreshold"][0]
             for child, is_left in ((n.leftChild, True), (n.rightChild, False)):
@@ -64,52 +63,50 @@ def _leaf_tables(nodes: pd.DataFrame, weights: dict[int, float]) -> list[tuple]:
                 low, high = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
                 cover = node[child].rawCount / max(n.rawCount, 1)
                 stack.append((child, {**path, feature: (low, high, share * cover)}))
-    return [_pattern_table(path, value) for path, value in leaves]
-
-
-def _pattern_table(path: dict, value: float) -> tuple:
-    features = list(path)
-    m = len(features)
-    if m > MAX_PATH_FEATURES:
-        raise ValueError("tree attribution supports paths over at most 10 distinct features")
-    z = np.array([path[f][2] for f in features])
-    hit = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
-    table = np.zeros((1 << m, m))
-    for j in range(m):
-        others = [i for i in range(m) if i != j]
-        weight = np.zeros(1 << m)
-        for size in range(m):
-            share = factorial(size) * factorial(m - size - 1) / factorial(m)
-            for chosen in combinations(others, size):
-                rest = [i for i in others if i not in chosen]
-                weight += share * np.prod(hit[:, list(chosen)], axis=1) * np.prod(z[rest])
-        table[:, j] = value * (hit[:, j] - z[j]) * weight
-    bounds = [(f, path[f][0], path[f][1]) for f in features]
-    return bounds, table
+    return leaves
+
+
+def _leaf_impacts(x: np.ndarray, leaf: tuple) -> np.ndarray:
+    """Shapley values of one leaf's features for all rows (features by rows), path-dependent.
+
+    With o = 1 where a row meets a feature's bounds and z the cover share, a feature gets value * (o - z) times the
+    mean over all orders of the product of the other features' o or z. That mean is the integral over t in [0, 1] of
+    the product of z + (o - z) t, a polynomial, which Gauss-Legendre points give exactly.
+    """
+    features, low, high, share, value = leaf
+    met = ((x[features] > low[:, None]) & (x[features] <= high[:, None])).astype(float)
+    gain, m = met - share[:, None], len(features)
+    points, weights = np.polynomial.legendre.leggauss(max(1, (m + 1) // 2))
+    total = np.zeros_like(met)
+    for t, w in zip((points + 1) / 2, weights / 2):
+        term = share[:, None] + gain * t
+        before, after = np.ones_like(term), np.ones_like(term)
+        before[1:] = np.cumprod(term[:-1], axis=0)
+        after[:-1] = np.cumprod(term[:0:-1], axis=0)[::-1]
+        total += w * before * after
+    return value * gain * total
 
 
 def tree_contributions(df: DataFrame, path: str, names: Sequence[str] = FEATURES) -> DataFrame:
-    """Tree SHAP of a saved boosted model, in margin units, as an array of (feature, impact).
+    """Tree SHAP of a saved tree ensemble, in margin units, as an array of (feature, impact).
 
-    The tables depend on the model alone (trees * leaves * 2^features on a path) and are broadcast; rows
-    are scored in Arrow batches, one table lookup per leaf and batch.
+    What is broadcast has a row for each leaf and feature on its path, so its size is the model's alone; a model of
+    more nodes than ``MAX_NODES`` is refused. Rows are handled in Arrow batches.
     """
     nodes, weights = tree_table(path, df)
+    if nodes.count() > MAX_NODES:
+        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
     tree_weight = {r["treeID"]: r["weights"] for r in weights.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(_leaf_tables(nodes.toPandas(), tree_weight))
+    shared = df.sparkSession.sparkContext.broadcast(_leaves(nodes.toPandas(), tree_weight))
     width = len(names)
 
     @F.pandas_udf("array<double>")
     def shap(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            x = [c.to_numpy(dtype=float) for c in columns]
-            out = np.zeros((width, len(x[0])))
-            for bounds, table in shared.value:
-                code = np.zeros(len(x[0]), dtype=np.int64)
-                for bit, (f, low, high) in enumerate(bounds):
-                    code |= ((x[f] > low) & (x[f] <= high)).astype(np.int64) << bit
-                for bit, (f, _, _) in enumerate(bounds):
-                    out[f] += table[code, bit]
+            x = np.array([c.to_numpy(dtype=float) for c in columns])
+            out = np.zeros((width, x.shape[1]))
+            for leaf in shared.value:
+                out[leaf[0]] += _leaf_impacts(x, leaf)
             yield pd.Series(list(out.T))
 
     values = shap(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])

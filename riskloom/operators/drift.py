@@ -21,18 +21,24 @@ RETRAIN_PR_AUC = 0.75
 # ---------------------------------------------------------------------------------------------------
 
 
-def _tall(df: DataFrame, features: Sequence[str], side: str) -> DataFrame:
+def two_sides(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Two tables as one with a ``side``. Where both are parts of one table, give that with its ``side`` instead: it is
+    then computed once."""
+    shared = [c for c in reference.columns if c in current.columns]
+    return reference.select(*shared, F.lit("r").alias("side")).unionByName(current.select(*shared, F.lit("c").alias("side")))
+
+
+def _tall(df: DataFrame, features: Sequence[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
     ]))
     finite = ~F.isnan("value") & (F.abs("value") != F.lit(float("inf")))
-    return df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull() & finite).withColumn("side", F.lit(side))
+    return df.where(F.col("side").isin("r", "c")).select("side", pairs.alias("p")).select("side", "p.*").where(F.col("value").isNotNull() & finite)
 
 
-def value_points(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value) with multiplicities on both sides, prefix counts and totals."""
-    shared = [f for f in features if f in reference.columns and f in current.columns]
-    both = _tall(reference, shared, "r").unionByName(_tall(current, shared, "c"))
+def value_points(sides: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value) with multiplicities on both sides, prefix counts and totals. ``side`` is r, c or neither."""
+    both = _tall(sides, [f for f in features if f in sides.columns])
     # 0.0 and -0.0 are one value.
     collapsed = both.groupBy("feature", (F.col("value") + F.lit(0.0)).alias("value")).agg(
         F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
@@ -102,19 +108,19 @@ def ks_from(points: DataFrame, terms: int = 100) -> DataFrame:
     return scored.select("feature", F.when(empty, 0.0).otherwise(F.col("d")).alias("ks_statistic"), p.alias("p_value"))
 
 
-def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], buckets: int = 10, epsilon: float = 1e-4) -> DataFrame:
-    out = psi_from(value_points(reference, current, features), buckets, epsilon)
+def psi(sides: DataFrame, features: Sequence[str], buckets: int = 10, epsilon: float = 1e-4) -> DataFrame:
+    out = psi_from(value_points(sides, features), buckets, epsilon)
     return out.select("feature", rounded(F.col("psi"), 4).alias("psi"))
 
 
-def ks_test(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    out = ks_from(value_points(reference, current, features))
+def ks_test(sides: DataFrame, features: Sequence[str]) -> DataFrame:
+    out = ks_from(value_points(sides, features))
     return out.select("feature", rounded(F.col("ks_statistic"), 4).alias("ks_statistic"), rounded(F.col("p_value"), 4).alias("p_value"))
 
 
-def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+def drift_report(sides: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """One row per feature present on both sides: PSI, KS, p-value, status."""
-    points = value_points(reference, current, features)
+    points = value_points(sides, features)
     joined = psi_from(points).join(ks_from(points), "feature")
     p, d, pv = F.col("psi"), F.col("ks_statistic"), F.col("p_value")
     status = (

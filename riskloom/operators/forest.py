@@ -1,7 +1,7 @@
 """Isolation forest: trees grown in parallel on samples, scored by a vectorised column function.
 
-Sampling is part of the algorithm. A tree sees ``sample`` of the rows but at most ``tree_rows`` of them, so
-that a tree fits one task and the forest has a known size: trees * 2 * tree_rows nodes.
+Sampling is part of the published algorithm: a tree is grown on ``tree_rows`` rows, whatever the table's size, so the
+forest is the same kind of model on a small table and a large one, and has at most trees * 2 * tree_rows nodes.
 """
 
 from __future__ import annotations
@@ -64,12 +64,12 @@ class IsolationForest:
 
 
 def isolation_forest_fit(df: DataFrame, id_column: str = "transaction_id", features: Sequence[str] = ANOMALY_FEATURES,
-                         trees: int = 120, sample: float = 0.8, tree_rows: int = 8192, seed: int = 42) -> IsolationForest:
+                         trees: int = 120, tree_rows: int = 256, seed: int = 42) -> IsolationForest:
     """Grow the forest and record the 1st and 99th percentile of the raw training score."""
     names = [f for f in features if f in df.columns]
     points = df.select(F.col(id_column).alias("id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
     total = points.count()
-    share = min(sample, tree_rows / max(total, 1))
+    share = min(1.0, tree_rows / max(total, 1))
     # A row joins a tree by a hash of (id, tree): reproducible after a lost executor, no random state.
     drawn = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),

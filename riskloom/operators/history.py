@@ -57,24 +57,39 @@ def _previous_struct() -> Column:
 
 # -- ordinary keys ----------------------------------------------------------------------------------
 
+def _spread(n: Column, total: Column, squares: Column) -> Column:
+    """Population deviation from exact integers: n * sum(x^2) - sum(x)^2 cannot cancel. Where the product leaves 38
+    digits (some 10^9 rows of the largest amounts) it is taken in doubles."""
+    exact = F.try_subtract(F.try_multiply(n.cast("decimal(38,0)"), squares), F.try_multiply(total, total)).cast("double")
+    rough = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
+    return F.when(n > 0, F.sqrt(F.greatest(F.coalesce(exact, rough), F.lit(0.0))) / F.nullif(n, F.lit(0)))
+
+
 def _window_stats(df: DataFrame) -> DataFrame:
+    """Every count and sum of a window is that of the whole past less that of what lies before the window: both frames
+    grow, so a key of n rows costs n steps for each, not n times the rows of a window."""
     by_customer = Window.partitionBy("customer_id").orderBy("us")
     past = by_customer.rangeBetween(Window.unboundedPreceding, -1)
 
     def last(seconds: int):
         return by_customer.rangeBetween(-seconds * SECOND, -1)
 
-    placed = df.repartition("customer_id")
+    def gone(seconds: int):
+        return by_customer.rangeBetween(Window.unboundedPreceding, -seconds * SECOND - 1)
+
+    placed = df.repartition("customer_id").withColumn("squares", F.col("cents").cast("decimal(38,0)") * F.col("cents").cast("decimal(38,0)"))
+    placed = placed.withColumn("squares", F.col("squares").cast("decimal(28,0)"))
+    total = F.coalesce(F.sum("cents").over(past), F.lit(0))
     stats = {
         "n_past": F.count(F.lit(1)).over(past),
         "cents_past": F.sum("cents").over(past),
-        "std_cents": F.stddev_pop("cents").over(past),
+        "squares_past": F.sum("squares").over(past),
         "previous": F.max(_previous_struct()).over(past),
     }
     for name, seconds in COUNT_WINDOWS.items():
-        stats[f"n_{name}"] = F.count(F.lit(1)).over(last(seconds))
+        stats[f"n_{name}"] = F.count(F.lit(1)).over(past) - F.count(F.lit(1)).over(gone(seconds))
     for name, seconds in SUM_WINDOWS.items():
-        stats[f"cents_{name}"] = F.coalesce(F.sum("cents").over(last(seconds)), F.lit(0))
+        stats[f"cents_{name}"] = total - F.coalesce(F.sum("cents").over(gone(seconds)), F.lit(0))
     for name, (column, seconds) in DISTINCT_WINDOWS.items():
         stats[f"d_{name}"] = F.size(F.collect_set(column).over(last(seconds))).cast("long")
     windowed = placed.withColumns(stats)
@@ -82,7 +97,8 @@ def _window_stats(df: DataFrame) -> DataFrame:
     for name, column in NOVELTY.items():
         first = F.min("us").over(Window.partitionBy("customer_id", F.coalesce(F.col(column), F.lit(""))))
         windowed = windowed.withColumn(f"new_{name}", F.col("us") <= first)
-    return windowed.withColumn("cents_past", F.col("cents_past").cast("double"))
+    spread = _spread(F.col("n_past"), F.col("cents_past").cast("decimal(38,0)"), F.col("squares_past").cast("decimal(38,0)"))
+    return windowed.withColumns({"std_cents": spread, "cents_past": F.col("cents_past").cast("double")}).drop("squares", "squares_past")
 
 
 # -- hot keys ---------------------------------------------------------------------------------------
@@ -157,12 +173,7 @@ def _event_stats(df: DataFrame) -> DataFrame:
             .drop("first_us", "_value")
         )
     n, total = F.col("n_past"), F.col("cents_past")
-    # Exact integers until the last step: n * sum(x^2) - sum(x)^2 cannot cancel.
-    spread = n.cast("decimal(38,0)") * F.col("squares_past") - total * total
-    return rows.withColumns({
-        "std_cents": F.when(n > 0, F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0))) / F.nullif(n, F.lit(0))),
-        "cents_past": total.cast("double"),
-    }).drop("squares_past")
+    return rows.withColumns({"std_cents": _spread(n, total, F.col("squares_past")), "cents_past": total.cast("double")}).drop("squares_past")
 
 
 # -- shared finish ----------------------------------------------------------------------------------
@@ -292,11 +303,11 @@ def all_features(df: DataFrame, profiles: DataFrame | None = None, skew: SkewPol
     return device_customer_count(history_features(point_features(df, profiles), skew, df), skew, df)
 
 
-def build_features(df: DataFrame, profiles: DataFrame | None = None, skew: SkewPolicy = SkewPolicy()) -> DataFrame:
-    """The feature table: five id/label columns and the 30 features, amount as double."""
+def build_features(df: DataFrame, profiles: DataFrame | None = None, skew: SkewPolicy = SkewPolicy(), extra: Sequence[str] = ()) -> DataFrame:
+    """The feature table: five id/label columns and the 30 features, amount as double; ``extra`` input columns follow."""
     full = all_features(df, profiles, skew)
     values = [F.col(f).cast("double").alias(f) if f == "amount" else F.col(f) for f in FEATURES]
-    return full.select(*ID_COLUMNS, *values)
+    return full.select(*ID_COLUMNS, *values, *extra)
 
 
 def top_feature_correlations(features: DataFrame, k: int = 10) -> DataFrame:

@@ -32,6 +32,8 @@ def split_hot(df: DataFrame, key: str, policy: SkewPolicy = SkewPolicy(),
     known = hot.limit(policy.max_hot_keys + 1).collect()
     if not known:
         return df, None
+    if probe is not None:
+        df = materialise(df, "split")  # both parts read it; what it is derived from is computed once
     if len(known) > policy.max_hot_keys:
         # Spark picks the join from the size of the written table; AQE splits a skewed side.
         keys = materialise(hot, "hot-keys")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -519,29 +519,29 @@ def _(spark, sf):
 # -- drift ------------------------------------------------------------------------------------------
 
 def _sides(spark, sf):
-    table = feat(spark, sf)
-    return table.where(F.col("timestamp") < F.lit(DRIFT_REF_END)), table.where(F.col("timestamp") >= F.lit(DRIFT_CUR_START))
+    side = F.when(F.col("timestamp") < F.lit(DRIFT_REF_END), "r").when(F.col("timestamp") >= F.lit(DRIFT_CUR_START), "c")
+    return feat(spark, sf).withColumn("side", side)
 
 
 @query("X1_psi", sel(o.DRIFT, "feature, psi", "rep"))
 def _(spark, sf):
-    return drift.psi(*_sides(spark, sf), o.DRIFT_FEATURES)
+    return drift.psi(_sides(spark, sf), FEATURES)
 
 
 @query("X2_ks_test", sel(o.DRIFT, "feature, ks_statistic, p_value", "rep"))
 def _(spark, sf):
-    return drift.ks_test(*_sides(spark, sf), o.DRIFT_FEATURES)
+    return drift.ks_test(_sides(spark, sf), FEATURES)
 
 
 @query("X3_drift_report", sel(o.DRIFT, "feature, psi, ks_statistic, p_value, status", "rep"))
 def _(spark, sf):
-    return drift.drift_report(*_sides(spark, sf), o.DRIFT_FEATURES)
+    return drift.drift_report(_sides(spark, sf), FEATURES)
 
 
 @query("X4_drift_overall", f"""WITH {o.DRIFT}, c AS (SELECT count(*) AS total_features_monitored, count(*) FILTER (status <> 'NO_DRIFT') AS drifted_features_count, count(*) FILTER (status = 'CRITICAL_DRIFT') AS critical_features_count FROM rep)
  SELECT *, CASE WHEN critical_features_count > 0 OR drifted_features_count / total_features_monitored::DOUBLE > 0.25 THEN 'CRITICAL_DRIFT_DETECTED' WHEN drifted_features_count > 0 THEN 'MODERATE_DRIFT_DETECTED' ELSE 'STABLE' END AS overall_status FROM c""")
 def _(spark, sf):
-    return drift.drift_overall(drift.drift_report(*_sides(spark, sf), o.DRIFT_FEATURES))
+    return drift.drift_overall(drift.drift_report(_sides(spark, sf), FEATURES))
 
 
 @query("X5_retrain_trigger", f"""WITH {o.DRIFT}, d AS (SELECT p_raw, is_fraud, CAST("timestamp" AS DATE) AS day FROM txn),
@@ -552,7 +552,7 @@ def _(spark, sf):
  ps AS (SELECT coalesce(max(psi), 0) AS worst_psi FROM rep WHERE feature IN ('amount', 'amount_to_avg_ratio'))
  SELECT window_end, pr_auc, worst_psi, pr_auc < 0.75 OR worst_psi > 0.25 AS retrain FROM ap, ps""")
 def _(spark, sf):
-    report = drift.drift_report(*_sides(spark, sf), o.DRIFT_FEATURES)
+    report = drift.drift_report(_sides(spark, sf), FEATURES)
     return drift.retrain_trigger(txn(spark, sf), "is_fraud", "p_raw", report, ["amount", "amount_to_avg_ratio"])
 
 
@@ -651,6 +651,30 @@ def _(spark, sf):
     return store.insert_if_absent(stored, sent, ["transaction_id", "idempotency_key"], ["timestamp", "transaction_id"]).select("transaction_id", "idempotency_key")
 
 
+def _crossing(t):
+    """Every transaction under the key of its customer and hour, and again with the id of the customer's one before."""
+    keyed = t.withColumn("idempotency_key", F.concat(F.col("customer_id"), F.lit("|"), F.date_format("timestamp", "yyyy-MM-dd HH")))
+    before = F.lag("transaction_id").over(Window.partitionBy("customer_id").orderBy("timestamp", "transaction_id"))
+    again = keyed.withColumn("transaction_id", before).where(F.col("transaction_id").isNotNull())
+    first = keyed.select("transaction_id", "idempotency_key", "timestamp", F.lit(1).alias("seq"))
+    return first.unionByName(again.select("transaction_id", "idempotency_key", F.col("timestamp"), F.lit(0).alias("seq")))
+
+
+@query("K3_first_write_wins", f"""WITH RECURSIVE {o.TXN}, k AS (SELECT transaction_id, customer_id, us, customer_id || '|' || strftime("timestamp", '%Y-%m-%d %H') AS idempotency_key FROM txn),
+ b AS (SELECT transaction_id, customer_id, us, idempotency_key, 1 AS seq FROM k
+  UNION ALL SELECT * FROM (SELECT lag(transaction_id) OVER (PARTITION BY customer_id ORDER BY us, transaction_id) AS transaction_id, customer_id, us, idempotency_key, 0 FROM k) WHERE transaction_id IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY us, seq, transaction_id) AS n FROM b),
+ w AS (SELECT customer_id, n, transaction_id, idempotency_key, true AS kept, [transaction_id] AS ids, [idempotency_key] AS keys FROM r WHERE n = 1
+  UNION ALL SELECT r.customer_id, r.n, r.transaction_id, r.idempotency_key, NOT list_contains(ids, r.transaction_id) AND NOT list_contains(keys, r.idempotency_key),
+   CASE WHEN NOT list_contains(ids, r.transaction_id) AND NOT list_contains(keys, r.idempotency_key) THEN list_append(ids, r.transaction_id) ELSE ids END,
+   CASE WHEN NOT list_contains(ids, r.transaction_id) AND NOT list_contains(keys, r.idempotency_key) THEN list_append(keys, r.idempotency_key) ELSE keys END
+  FROM w JOIN r ON r.customer_id = w.customer_id AND r.n = w.n + 1)
+ SELECT transaction_id, idempotency_key FROM w WHERE kept""")
+def _(spark, sf):
+    batch = _crossing(txn(spark, sf))
+    return store.first_write_wins(batch, ["transaction_id", "idempotency_key"], ["timestamp", "seq", "transaction_id"]).select("transaction_id", "idempotency_key")
+
+
 @query("K4_consolidate_labels", f"WITH {o.TXN}, {o.FEEDBACK}, l AS (SELECT transaction_id, actual_label = 'FRAUD' AS is_fraud, 'analyst:' || analyst_id AS label_source, created_at AS confirmed_at FROM fb QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY created_at DESC) = 1) "
        "SELECT * FROM l UNION ALL SELECT transaction_id, is_fraud, 'chargeback', \"timestamp\" FROM txn WHERE is_fraud AND transaction_id NOT IN (SELECT transaction_id FROM l)")
 def _(spark, sf):
@@ -665,7 +689,8 @@ def _registry(spark, sf):
     return daily.select(
         F.concat(F.lit("v"), F.col("d")).alias("version_id"), F.lit("boosted_champion").alias("model_name"), F.lit("gbt").alias("algorithm"),
         (F.col("rate") > 0.05).alias("is_champion"), rounded(F.col("rate"), 4).alias("pr_auc"), F.lit(0.9).alias("roc_auc"),
-        F.lit(0.01).alias("brier_score"), F.col("t").alias("trained_at"), F.col("t").alias("deployed_at"))
+        F.lit(0.01).alias("brier_score"), F.col("t").alias("trained_at"), F.col("t").alias("deployed_at"),
+        F.to_json(F.struct(F.col("d").alias("day"), F.lit(4).alias("depth"))).alias("parameters"))
 
 
 _REG = f"{o.TXN}, reg AS (SELECT 'v' || strftime(\"timestamp\", '%Y-%m-%d') AS version_id, avg(is_fraud::INT) AS rate, max(\"timestamp\") AS t FROM txn GROUP BY 1)"
@@ -676,11 +701,11 @@ def _(spark, sf):
     return store.champion_model(_registry(spark, sf)).select("version_id", "pr_auc", "deployed_at")
 
 
-@query("K6_register_model", f"WITH {_REG} SELECT version_id, rate > 0.05 AS is_champion, {o.r('rate', 4)} AS pr_auc FROM reg")
+@query("K6_register_model", f"WITH {_REG} SELECT version_id, rate > 0.05 AS is_champion, {o.r('rate', 4)} AS pr_auc, '{{\"day\":\"' || substr(version_id, 2) || '\",\"depth\":4}}' AS parameters FROM reg")
 def _(spark, sf):
     everything = _registry(spark, sf)
     half = everything.where(F.col("deployed_at") < F.lit(AS_OF))
-    return store.model_versions(store.register_model(half, everything)).select("version_id", "is_champion", "pr_auc")
+    return store.model_versions(store.register_model(half, everything)).select("version_id", "is_champion", "pr_auc", "parameters")
 
 
 @query("K7_summary_kpis", f"""WITH {o.STORE} SELECT (SELECT count(*) FROM txn) AS total_transactions, (SELECT CAST(sum(amount) AS DOUBLE) FROM txn) AS total_volume,

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
-from riskloom.operators import attribution, calibration, drift, explore, forest, history, models, store
+from riskloom.operators import attribution, calibration, explore, forest, history, models, store
 from riskloom.plans import oracles as o
 from riskloom.plans import training
 from riskloom.plans.catalog import query, scored, sel, txn
 from riskloom.plans.scoring import score_transactions
-from riskloom.session import scratch_path
+from riskloom.session import materialise, scratch_path
 from riskloom.sources import star, tables
 
 _FITTED: dict[tuple[str, str, str], object] = {}
@@ -96,12 +96,14 @@ def _(spark, sf):
     return spark.read.schema("total_transactions long, fraudulent_transactions long").json(path)
 
 
-@query("K5_append_audit_event", f"WITH {o.STORE} SELECT 'risk-engine' AS actor, 'DECISION' AS action, transaction_id AS target_resource, '{{\"decision\":\"' || decision || '\"}}' AS details FROM decisions")
+@query("K5_append_audit_event", f"WITH {o.STORE} SELECT 'risk-engine' AS actor, 'DECISION' AS action, transaction_id AS target_resource, '{{\"decision\":\"' || decision || '\"}}' AS details, ip_address FROM decisions JOIN (SELECT transaction_id, ip_address FROM txn) USING (transaction_id)")
 def _(spark, sf):
     path = scratch(spark, "audit")
-    rows = store.audit_rows(star.decisions(txn(spark, sf)), "risk-engine", "DECISION", "transaction_id", {"decision": "decision"})
+    t = txn(spark, sf)
+    decided = star.decisions(t).join(t.select("transaction_id", "ip_address"), "transaction_id")
+    rows = store.audit_rows(decided, "risk-engine", "DECISION", "transaction_id", {"decision": "decision"}, "ip_address")
     tables.append_audit(rows, path)
-    return spark.read.parquet(path).select("actor", "action", "target_resource", "details")
+    return spark.read.parquet(path).select("actor", "action", "target_resource", "details", "ip_address")
 
 
 # -- models -----------------------------------------------------------------------------------------
@@ -143,10 +145,13 @@ def _(spark, sf):
     return models.feature_importance(logistic(spark, sf))
 
 
-@query("M7_isolation_forest_fit")
+@query("M7_isolation_forest_fit", f"WITH {o.SPLIT}, n AS (SELECT count(*) AS n FROM parts WHERE split = 'train') SELECT CAST(t AS INTEGER) AS tree, true AS two_children, n.n > 0 AND true AS near_tree_rows, true AS rows_add_up FROM (SELECT unnest(range(120)) AS t), n")
 def _(spark, sf):
-    return isolation(spark, sf).nodes.groupBy("tree").agg(
-        F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("n_rows").alias("n_rows"))
+    """Per tree: a binary tree, grown on about 256 rows, whose leaves hold all of them."""
+    shape = isolation(spark, sf).nodes.groupBy("tree").agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("n_rows").alias("n"),
+        F.sum(F.when(F.col("feature") < 0, F.col("n_rows"))).alias("in_leaves"))
+    return shape.select("tree", (F.col("nodes") == 2 * F.col("leaves") - 1).alias("two_children"), F.col("n").between(156, 356).alias("near_tree_rows"), (F.col("in_leaves") == F.col("n")).alias("rows_add_up"))
 
 
 @query("M8_isolation_forest_score")
@@ -175,11 +180,16 @@ def _(spark, sf):
     return out.select("transaction_id", *[rounded(F.col("contributions")[i]["impact"], 6).alias(n) for i, n in enumerate(LINEAR)])
 
 
-@query("M10_tree_attribution")
+@query("M10_tree_attribution", f"WITH {o.SPLIT} SELECT transaction_id, 0.0::DOUBLE AS difference FROM parts WHERE split = 'test'")
 def _(spark, sf):
+    """Contributions add up to the margin less its base, which is one number for all rows."""
     path = training.champion_tree_path(spark, champion_path(spark, sf))
-    out = attribution.tree_contributions(part(spark, sf, "test"), path)
-    return out.select("transaction_id", F.explode("contributions").alias("c")).select("transaction_id", "c.*")
+    scored = models.score_with(champion(spark, sf), part(spark, sf, "test"))
+    out = attribution.tree_contributions(scored, path)
+    margin = F.log(F.col("raw_score") / (1.0 - F.col("raw_score"))) / 2.0
+    gap = margin - F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["impact"])
+    rows = materialise(out.select("transaction_id", gap.alias("gap")), "attribution")
+    return rows.withColumn("base", rows.agg(F.min("gap")).scalar()).select("transaction_id", rounded(F.col("gap") - F.col("base"), 5).alias("difference"))
 
 
 _TOP = " UNION ALL ".join(f"SELECT transaction_id, '{n}' AS feature, {v} AS impact FROM feat" for n, v in _CONTRIB.items())
@@ -209,11 +219,15 @@ def _(spark, sf):
     })
 
 
-@query("M13_save_load_model")
+@query("M13_save_load_model", f"WITH {o.SPLIT} SELECT transaction_id, 0.0::DOUBLE AS difference FROM parts WHERE split = 'test'")
 def _(spark, sf):
+    """The scores of a model that was stored and loaded are those of the model itself."""
     path = scratch(spark, "model")
     models.save_model(logistic(spark, sf), path)
-    return models.score_with(models.load_model(path), part(spark, sf, "test")).select("transaction_id", "raw_score")
+    test = part(spark, sf, "test")
+    loaded = models.score_with(models.load_model(path), test).select("transaction_id", F.col("raw_score").alias("loaded"))
+    own = models.score_with(logistic(spark, sf), test).select("transaction_id", "raw_score")
+    return own.join(loaded, "transaction_id").select("transaction_id", F.abs(F.col("raw_score") - F.col("loaded")).alias("difference"))
 
 
 # -- calibration ------------------------------------------------------------------------------------
@@ -243,13 +257,3 @@ def _(spark, sf):
     out = score_transactions(txn(spark, sf), scorer, star.customers(spark, sf))
     return out.select("transaction_id", "raw_score", "calibrated_probability", "anomaly_score", "behavior_score", "rule_score",
                       "risk_score", "decision", F.col("shap_positive_drivers.feature").alias("drivers"))
-
-
-@query("X3_drift_report_all_features")
-def _(spark, sf):
-    from riskloom.plans.catalog import _sides
-    from riskloom.schemas import FEATURES
-
-    return drift.drift_report(*_sides(spark, sf), FEATURES)
-
-

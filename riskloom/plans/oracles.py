@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskloom.schemas import FEATURES
+
 TXN = """
 ev AS (
   SELECT e.*, unnest(CASE WHEN event_id % 50 = 0 THEN [0,1,2,3,4] ELSE [0] END) AS i,
@@ -253,10 +255,9 @@ cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDE
    sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM pts)
 """
 
-DRIFT_FEATURES = ["amount", "hour_of_day", "txn_count_1h", "amount_to_avg_ratio", "time_since_prev_txn", "device_customer_count"]
 _SIDE = "CASE WHEN \"timestamp\" < TIMESTAMP '2024-01-11' THEN 'r' WHEN \"timestamp\" >= TIMESTAMP '2024-01-21' THEN 'c' END"
 _TALL = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, side FROM sided WHERE side IS NOT NULL" for f in DRIFT_FEATURES)
+    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, side FROM sided WHERE side IS NOT NULL" for f in FEATURES)
 _INNER = ", ".join(f"quantile_cont(value, {i / 10})" for i in range(1, 10))
 DRIFT = f"""{FEAT},
 sided AS (SELECT *, {_SIDE} AS side FROM feat),

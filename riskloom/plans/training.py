@@ -14,8 +14,9 @@ from riskloom.session import materialise, scratch_path
 
 
 def training_table(txn: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Feature table with its split, written once because every fit reads it again."""
-    return materialise(split.temporal_split(history.build_features(txn, profiles)), "training")
+    """Feature table with its split, written once because every fit reads it again. The split's passes read two columns
+    of the transactions, not the features."""
+    return materialise(history.build_features(split.temporal_split(txn), profiles, extra=("split",)), "training")
 
 
 def part(table: DataFrame, name: str) -> DataFrame:

@@ -58,9 +58,9 @@ def test_drift(spark):
     a = spark.createDataFrame([(float(x), 1) for x in ref], "amount double, flat int")
     b = spark.createDataFrame([(float(x), 1) for x in same], "amount double, flat int")
     c = spark.createDataFrame([(float(x), 1) for x in moved], "amount double, flat int")
-    calm = {r["feature"]: r for r in drift.drift_report(a, b, ["amount", "flat", "absent"]).collect()}
+    calm = {r["feature"]: r for r in drift.drift_report(drift.two_sides(a, b), ["amount", "flat", "absent"]).collect()}
     assert set(calm) == {"amount", "flat"} and calm["amount"]["psi"] < 0.05 and calm["flat"]["psi"] == 0.0
-    loud = {r["feature"]: r for r in drift.drift_report(a, c, ["amount"]).collect()}
+    loud = {r["feature"]: r for r in drift.drift_report(drift.two_sides(a, c), ["amount"]).collect()}
     assert loud["amount"]["psi"] > 0.25 and loud["amount"]["status"] == "CRITICAL_DRIFT"
     cdf = lambda v, x: np.searchsorted(np.sort(v), x, "right") / len(v)
     grid = np.concatenate([ref, moved])
