@@ -6,13 +6,14 @@ import json
 import os
 import time
 
-from riskloom.plans import catalog
+from riskloom.plans import catalog, catalog_models, catalog_streams  # noqa: F401
 from riskloom.session import local_session, release
 
 HEADLINE = [
     "H15_build_features", "D4_score_transactions", "E3_device_syndicates", "X3_drift_report", "T2_split_boundaries",
     "G2_roc_auc", "G4_threshold_grid", "C4_calibration_error", "A2_amount_by_class", "R10_rule_hits",
     "K1_list_transactions", "K3_insert_if_absent", "K7_summary_kpis", "K8_risk_distribution", "O5_latency_percentiles",
+    "H15_build_features_hot_keys", "D4_score_with_models", "Z6_stream_score",
 ]
 
 

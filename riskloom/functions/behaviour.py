@@ -68,6 +68,7 @@ def behavior_signals() -> Column:
     """Reason codes in a fixed order."""
     z, ratio = F.col("customer_amount_zscore"), F.col("amount_to_avg_ratio")
     impossible = F.col("impossible_travel") == 1
+    # The signal codes and their limits.
     conditions = [
         ("AMOUNT_HIGH_ZSCORE", (z > 2.0) | (ratio > 3.0)),
         ("AMOUNT_RATIO_SURGE", ratio > 8.0),

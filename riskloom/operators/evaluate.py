@@ -27,6 +27,7 @@ def _label(name: str) -> Column:
 
 def fraud_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
     """Confusion matrix, rates and Brier score in one aggregate."""
+    df = df.where(F.col(score).isNotNull())
     y, flagged = _label(label) == 1, F.col(score) >= F.lit(float(threshold))
     counts = df.groupBy(*keys).agg(
         F.count_if(y & flagged).alias("tp"),
@@ -115,7 +116,7 @@ def threshold_grid(df: DataFrame, label: str, score: str, amount: str | None = N
     spark = df.sparkSession
     money = F.lit(ASSUMED_AMOUNT).cast("decimal(12,2)") if amount is None else F.col(amount).cast("decimal(12,2)")
     y = _label(label)
-    buckets = df.select(edge_index(f"`{score}`", grid).alias("reached"), y.alias("y"), money.alias("money")).groupBy("reached").agg(
+    buckets = df.where(F.col(score).isNotNull()).select(edge_index(f"`{score}`", grid).alias("reached"), y.alias("y"), money.alias("money")).groupBy("reached").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
         F.sum(F.when(F.col("y") == 1, F.col("money"))).alias("fraud_amount"))
     every = spark.createDataFrame(
@@ -173,7 +174,7 @@ def calibration_curve(df: DataFrame, label: str, score: str, bins: int = 10) ->
 def calibration_error(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """Expected calibration error and Brier score, one row."""
     curve = calibration_curve(df, label, score, bins)
-    base = df.agg(F.count("*").alias("samples"), F.avg(F.pow(F.col(score) - _label(label), 2)).alias("b"))
+    base = df.where(F.col(score).isNotNull()).agg(F.count("*").alias("samples"), F.avg(F.pow(F.col(score) - _label(label), 2)).alias("b"))
     gap = F.coalesce(F.col("bin_count") * F.abs(F.col("actual") - F.col("mean_score")), F.lit(0.0))
     weighted = curve.agg(F.sum(gap).alias("g"))
     return base.withColumn("g", weighted.scalar()).select(

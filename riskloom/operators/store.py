@@ -45,7 +45,7 @@ def list_transactions(txn: DataFrame, decisions: DataFrame, predictions: DataFra
         page = page.join(wanted, "transaction_id", "left_semi")
     newest = [F.col("timestamp").desc(), F.col("transaction_id").desc()]
     page = page.select(*TXN_FIELDS).orderBy(*newest).offset(offset).limit(limit)
-    keys = F.broadcast(page.select("transaction_id"))  # at most ``limit`` rows
+    keys = page.select("transaction_id")  # Spark picks the join by the page's size
     return _hydrate(
         page,
         decisions.join(keys, "transaction_id", "left_semi"),

@@ -32,7 +32,7 @@ def order_inversions(df: DataFrame, order: str = "ingest_order", slice_rows: int
 
 
 def validate(df: DataFrame, order: str | None = None) -> DataFrame:
-    """One-row report. A missing column or a non-timestamp is found on the schema; the rest is one aggregate."""
+    """One-row report; the message texts are fixed values. A missing column or a non-timestamp is found on the schema; the rest is one aggregate."""
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
         row = df.agg(F.count("*").alias("total_records"))
@@ -80,8 +80,8 @@ def validate(df: DataFrame, order: str | None = None) -> DataFrame:
     ))
     notes = F.array_compact(F.array(
         F.when(F.col("order_inversions") > 0, F.lit("Dataset timestamps are not strictly monotonic increasing.")),
-        F.when(F.col("fraud_ratio_pct") > 15.0, F.lit("Fraud ratio is unusually high")),
-        F.when(F.col("fraud_ratio_pct") < 0.1, F.lit("Fraud ratio is extremely low")),
+        F.when(F.col("fraud_ratio_pct") > 15.0, F.concat(F.lit("Fraud ratio is unusually high ("), F.col("fraud_ratio_pct").cast("string"), F.lit("%)"))),
+        F.when(F.col("fraud_ratio_pct") < 0.1, F.concat(F.lit("Fraud ratio is extremely low ("), F.col("fraud_ratio_pct").cast("string"), F.lit("%)"))),
     ))
     none = F.array().cast("array<string>")
     out = report.withColumns({

@@ -19,9 +19,10 @@ from riskloom.operators import drift, entities, evaluate, explore, history, moni
 from riskloom.operators.skew import SkewPolicy
 from riskloom.plans import oracles as o
 from riskloom.plans.scoring import decide_features
-from riskloom.schemas import FEATURES
-from riskloom.session import prepare
+from riskloom.schemas import FEATURES, TRANSACTION
+from riskloom.session import prepare, scratch_path
 from riskloom.sources import star
+from riskloom.sources import tables as tables_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,7 +90,9 @@ def sel(cte: str, columns: str, source: str, tail: str = "") -> str:
     o.TXN, 'transaction_id, "timestamp", customer_id, merchant_id, CAST(amount AS DOUBLE) AS amount, country, city, lat, lon, '
     "device_id, payment_method, ip_address, merchant_category, is_fraud", "txn"))
 def _(spark, sf):
-    return txn(spark, sf).select(
+    path = scratch_path(spark, "transactions")
+    tables_io.write_table(txn(spark, sf).select(*[f.name for f in TRANSACTION.fields]), path, by_date=True)
+    return tables_io.read_transactions(spark, path).select(
         "transaction_id", "timestamp", "customer_id", "merchant_id", "amount", "country", "city", "lat", "lon",
         "device_id", "payment_method", "ip_address", "merchant_category", "is_fraud")
 
@@ -106,8 +109,8 @@ def _(spark, sf):
  SELECT invalid_amounts = 0 AND invalid_lat = 0 AND invalid_lon = 0 AS is_valid, *,
    CASE WHEN invalid_lat > 0 OR invalid_lon > 0 THEN 'Found coordinate boundary errors: lat=' || invalid_lat || ', lon=' || invalid_lon ELSE '' END AS errors,
    concat_ws(',', CASE WHEN order_inversions > 0 THEN 'Dataset timestamps are not strictly monotonic increasing.' END,
-     CASE WHEN fraud_ratio_pct > 15 THEN 'Fraud ratio is unusually high' END,
-     CASE WHEN fraud_ratio_pct < 0.1 THEN 'Fraud ratio is extremely low' END) AS warnings FROM c""")
+     CASE WHEN fraud_ratio_pct > 15 THEN 'Fraud ratio is unusually high (' || CAST(fraud_ratio_pct AS VARCHAR) || '%)' END,
+     CASE WHEN fraud_ratio_pct < 0.1 THEN 'Fraud ratio is extremely low (' || CAST(fraud_ratio_pct AS VARCHAR) || '%)' END) AS warnings FROM c""")
 def _(spark, sf):
     return validate.validate(txn(spark, sf), order="ingest_order")
 
@@ -167,14 +170,13 @@ def _(spark, sf):
         "transaction_id", "ip_address", "payment_method", "merchant_id", "idempotency_key", "currency")
 
 
-@query("V5_fill_features", sel(
-    o.TXN, "transaction_id, CAST(amount AS DOUBLE) AS amount, 0.0::DOUBLE AS log_amount, "
-    "CASE WHEN is_fraud THEN 0.0::DOUBLE ELSE anomaly END AS travel_speed_kmh, 0.0::DOUBLE AS device_customer_count", "txn"))
+_GIVEN = {"amount": "CAST(amount AS DOUBLE)", "travel_speed_kmh": "CASE WHEN is_fraud THEN 0.0::DOUBLE ELSE anomaly END"}
+
+
+@query("V5_fill_features", sel(o.TXN, "transaction_id, " + ", ".join(f"{_GIVEN.get(f, '0.0::DOUBLE')} AS {f}" for f in FEATURES), "txn"))
 def _(spark, sf):
     partial = txn(spark, sf).withColumn("travel_speed_kmh", F.when(~F.col("is_fraud"), F.col("anomaly")))
-    full = validate.fill_features(partial)
-    assert full.columns == ["transaction_id", *FEATURES]
-    return full.select("transaction_id", "amount", "log_amount", "travel_speed_kmh", "device_customer_count")
+    return validate.fill_features(partial)
 
 
 @query("V6_normalise_amount", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice / 3 AS DECIMAL(20,6)), 2) AS DOUBLE) AS amount FROM lineitem WHERE CAST(l_extendedprice / 3 AS DECIMAL(20,6)) > 0")
@@ -558,10 +560,13 @@ def _(spark, sf):
 
 # -- exploration ------------------------------------------------------------------------------------
 
-@query("A1_overview", f"""WITH {o.TXN}, c AS (SELECT count(*) AS total_transactions, count(*) FILTER (is_fraud) AS fraudulent_transactions, min("timestamp") AS start_time, max("timestamp") AS end_time, min(us) AS a, max(us) AS b FROM txn)
+A1_SQL = f"""WITH {o.TXN}, c AS (SELECT count(*) AS total_transactions, count(*) FILTER (is_fraud) AS fraudulent_transactions, min("timestamp") AS start_time, max("timestamp") AS end_time, min(us) AS a, max(us) AS b FROM txn)
  SELECT total_transactions, fraudulent_transactions, start_time, end_time, total_transactions - fraudulent_transactions AS legitimate_transactions,
  {o.r('fraudulent_transactions / total_transactions::DOUBLE * 100', 3)} AS fraud_rate_percentage, '1:' || CAST(floor((total_transactions - fraudulent_transactions) / greatest(fraudulent_transactions, 1)::DOUBLE) AS BIGINT) AS class_imbalance_ratio,
- {o.r('(b - a) / 86400000000.0::DOUBLE', 2)} AS duration_days FROM c""")
+ {o.r('(b - a) / 86400000000.0::DOUBLE', 2)} AS duration_days FROM c"""
+
+
+@query("A1_overview", A1_SQL)
 def _(spark, sf):
     return explore.overview(txn(spark, sf))
 

@@ -10,7 +10,7 @@ from riskloom.functions.columns import rounded
 from riskloom.operators import attribution, calibration, explore, forest, history, models, store
 from riskloom.plans import oracles as o
 from riskloom.plans import training
-from riskloom.plans.catalog import query, scored, sel, txn
+from riskloom.plans.catalog import A1_SQL, query, scored, sel, txn
 from riskloom.plans.scoring import score_transactions
 from riskloom.session import materialise, scratch_path
 from riskloom.sources import star, tables
@@ -89,11 +89,12 @@ def _(spark, sf):
     return tables.read_profiles(spark, path).select("customer_id", "home_country", "home_city", "average_amount", "typical_hour_start", "typical_hour_end")
 
 
-@query("S7_write_report", f"WITH {o.TXN} SELECT count(*) AS total_transactions, count(*) FILTER (is_fraud) AS fraudulent_transactions FROM txn")
+@query("S7_write_report", A1_SQL)
 def _(spark, sf):
     path = scratch(spark, "report")
-    tables.write_report(explore.overview(txn(spark, sf)), path)
-    return spark.read.schema("total_transactions long, fraudulent_transactions long").json(path)
+    report = explore.overview(txn(spark, sf))
+    tables.write_report(report, path)
+    return tables.read_report(spark, path, report.schema)
 
 
 @query("K5_append_audit_event", f"WITH {o.STORE} SELECT 'risk-engine' AS actor, 'DECISION' AS action, transaction_id AS target_resource, '{{\"decision\":\"' || decision || '\"}}' AS details, ip_address FROM decisions JOIN (SELECT transaction_id, ip_address FROM txn) USING (transaction_id)")

@@ -25,7 +25,7 @@ TRANSACTION = _struct(
     ("is_fraud", B, True), ("scenario", S, True),
 )
 
-#: Columns the dataset contract requires to be present and non-null.
+# Columns the dataset contract requires to be present and non-null.
 REQUIRED_COLUMNS = [
     "transaction_id", "timestamp", "customer_id", "merchant_id", "amount", "currency", "country",
     "city", "lat", "lon", "device_id", "payment_method", "merchant_category", "is_fraud",

@@ -12,6 +12,9 @@ from riskloom import schemas
 from riskloom.session import materialise
 
 
+REPORT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def read_transactions(spark: SparkSession, path: str, schema: StructType = schemas.TRANSACTION) -> DataFrame:
     """Parquet scan with a fixed schema: nothing is inferred, columns and filters are pushed down."""
     return spark.read.schema(schema).parquet(path)
@@ -21,7 +24,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     """Parquet or CSV. ``by_date`` partitions by event date and keeps a customer's rows close in a file."""
     out = df
     if by_date:
-        out = df.withColumn("event_date", F.to_date("timestamp")).sortWithinPartitions("event_date", "customer_id")
+        salt = F.pmod(F.xxhash64("customer_id"), F.lit(8))
+        dated = df.withColumn("event_date", F.to_date("timestamp"))
+        out = dated.repartition("event_date", salt).sortWithinPartitions("event_date", "customer_id")
     writer = out.write.mode(mode)
     if by_date:
         writer = writer.partitionBy("event_date")
@@ -42,8 +47,12 @@ def read_profiles(spark: SparkSession, path: str, schema: StructType = schemas.P
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A metrics or drift report as JSON lines."""
-    df.write.mode(mode).json(path)
+    """A metrics or drift report as JSON lines, times with microseconds."""
+    df.write.mode(mode).option("timestampFormat", REPORT_TIME).json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("timestampFormat", REPORT_TIME).json(path)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
