@@ -142,3 +142,74 @@ FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, s
 @query
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACES = r"'[\x20\x09-\x0D]+'"
+_MARKS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, {_MARKS}), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex({_LOWER}, {_MARKS}), lambda x: x <> '') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(list_slice(ws, p, p + 12), ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS p FROM b WHERE len(ws) > 0)
+), dw AS (
+  SELECT doc_id, p, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)
+), hit AS (
+  SELECT doc_id, p, n, item_id FROM dw JOIN win USING (n, k)
+), h AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+ORACLES["op6_line_dedup"] = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, len(list_filter(string_split_regex(x, {_SPACES}), lambda y: y <> '')) AS n FROM l
+), k AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM w WHERE n > 0
+), f AS (
+  SELECT doc_id, list(x) OVER a AS c, sum(n) OVER a AS m, min(p) OVER a AS s, max(p) OVER a AS e
+  FROM k WINDOW a AS (PARTITION BY doc_id ORDER BY upto - n RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION
+  SELECT doc_id, list(x) OVER a, sum(n) OVER a, min(p) OVER a, max(p) OVER a
+  FROM k WINDOW a AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), z AS (
+  SELECT *, doc_id * 10000000 + s AS here, min(doc_id * 10000000 + s) OVER (PARTITION BY c) AS first FROM f WHERE m >= 50
+), gone AS (
+  SELECT DISTINCT k.doc_id, k.p FROM z JOIN k ON k.doc_id = z.doc_id AND k.p BETWEEN z.s AND z.e WHERE here > first
+), t AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS kept FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN g.doc_id IS NULL THEN text ELSE coalesce(kept, '') END AS text, lang, source,
+       CASE WHEN g.doc_id IS NULL THEN n_chars ELSE length(coalesce(kept, '')) END AS n_chars
+FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM gone) g USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES["op10_superminhash"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, {_SPACES}), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, p, p + 4), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.c
+)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, min(c) = a AS kept
+FROM r LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""
