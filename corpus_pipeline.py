@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, host_rules, line_dedup, packing, superminhash
 from riskloom.llm.columns import tidy
@@ -17,7 +16,7 @@ from riskloom.session import materialise, prepare
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, of hosts that pass."""
-    return host_rules.judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return host_rules.passing(docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

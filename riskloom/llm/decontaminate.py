@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.columns import carried, restored
 from riskloom.llm.words import BY_PUNCTUATION, _buffers, slices, words
 from riskloom.session import materialise
 
@@ -143,16 +144,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
 
     Keeps the columns of ``docs``; n_chars, if there is one, follows the new text.
     """
-    found = scan(docs, items, window).where(~contaminated(coverage))
+    found = scan(carried(docs, "text"), items, window).where(~contaminated(coverage))
     long = F.filter("hits", lambda h: h["last"] - h["first"] + 1 >= longest)
     utf8 = F.encode("text", "utf-8")
     ends = F.concat(F.transform(long, lambda h: h["start"]), F.array(F.octet_length("text").cast("long")))
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(long, lambda h: h["stop"]))
     parts = F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(utf8, (a + 1).cast("int"), (b - a).cast("int")), "utf-8"))
     out = found.withColumn("text", F.when(F.size(long) > 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(long) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size(long) > 0, new).otherwise(F.col("row.n_chars"))
+    return restored(out, docs.columns, **changed)
 
 
 def _segments(window: int):

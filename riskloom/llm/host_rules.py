@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import let
+from riskloom.llm.columns import carried, let, restored
 from riskloom.session import materialise
 
 WINDOW = 8
@@ -90,6 +90,12 @@ def judge(docs: DataFrame, host: str = "source", host_limit: float = 0.5, **rule
     return judge_counted(with_rules(docs, **rules), host, host_limit)
 
 
+def passing(docs: DataFrame, host: str = "source", text: str = "text", host_limit: float = 0.5, **rules: int) -> DataFrame:
+    """The rows that are kept, as they were, whatever their columns are called."""
+    rows = carried(docs).select("row", F.col(f"row.`{text}`").alias("text"), F.col(f"row.`{host}`").alias("host"))
+    return restored(judge_counted(with_rules(rows, **rules).drop("text"), "host", host_limit).where("kept"), docs.columns)
+
+
 def judge_counted(counted: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
     """The same for rows that have the rules' columns. They are stored once, as the hosts and the rows both read them."""
     judged = materialise(counted, "host-rules")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import let, tidy
+from riskloom.llm.columns import carried, let, restored, tidy
 from riskloom.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,9 +106,10 @@ def deduplicate_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool =
 
     With ``drop_emptied``, documents that lose all their words go.
     """
-    runs = materialise(repeated_runs(docs, min_words), "line-runs").select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
+    runs = materialise(repeated_runs(docs.select("doc_id", "text"), min_words), "line-runs").select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
     # A merge join at every size: a broadcast for small inputs alone would hide what the texts cost to move.
-    joined = docs.withColumn("_place", _place()).join(runs.hint("merge"), F.col("_place") == F.col("_doc"), "left")
+    placed = carried(docs, "doc_id", "text").withColumn("_place", _place())
+    joined = placed.join(runs.hint("merge"), F.col("_place") == F.col("_doc"), "left")
     text = F.col("text").cast("string")
 
     def without(lines: Column) -> Column:
@@ -124,8 +125,10 @@ def deduplicate_lines(docs: DataFrame, min_words: int = 50, drop_emptied: bool =
         return F.array_join(F.flatten(parts), "\n")
 
     out = joined.withColumn("text", F.when(F.col("_runs").isNull(), text).otherwise(let(F.split(text, "\n"), without)))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        new = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_runs").isNull(), F.col("row.n_chars")).otherwise(new)
     if drop_emptied:
         out = out.where(F.col("_runs").isNull() | F.col("text").rlike(WORD))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(out, docs.columns, **changed)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import let
+from riskloom.llm.columns import carried, let, restored
 
 ROUNDS = 8
 NAME, DOMAIN = r"[A-Za-z0-9._%+-]+", r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
@@ -45,15 +45,15 @@ FIRST_DAY, DAY_HALF = "1900-01-01", 270
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with valid values replaced, and n_values, how many there were."""
-    body = F.col(text).cast("string")
-    found = F.regexp_extract_all(body, F.lit(f"({ANY})"), 1)
-    named = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    parts = docs.drop("_found", "n_values").withColumn("_found", named)
-    gaps = F.split(body, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_found"), lambda g, f: F.concat(g, F.coalesce(f["p"], f["m"], F.lit("")))), "")
-    changed = F.size(F.filter("_found", lambda f: f["p"].isNotNull()))
-    parts = parts.withColumn("n_values", F.coalesce(changed, F.lit(0)).cast("long"))
-    return parts.withColumn(text, F.when(F.col("n_values") > 0, joined).otherwise(body)).drop("_found")
+    rows = carried(docs).withColumn("body", F.col(f"row.`{text}`").cast("string"))
+    found = F.regexp_extract_all("body", F.lit(f"({ANY})"), 1)
+    rows = rows.withColumn("found", F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"))))
+    gaps = F.split("body", ANY, -1)
+    joined = F.array_join(F.zip_with(gaps, F.col("found"), lambda g, f: F.concat(g, F.coalesce(f["p"], f["m"], F.lit("")))), "")
+    changed = F.size(F.filter("found", lambda f: f["p"].isNotNull()))
+    rows = rows.withColumn("n_values", F.coalesce(changed, F.lit(0)).cast("long"))
+    new = {text: F.when(F.col("n_values") > 0, joined).otherwise(F.col("body")), "n_values": F.col("n_values")}
+    return restored(rows, [*[c for c in docs.columns if c != "n_values"], "n_values"], **new)
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:

@@ -155,7 +155,8 @@ def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
     """One row of each group, that of the smallest id; rows without an id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = materialise(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")), "near-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id") == F.col("_kept"), "left_semi")
+    ids = kept.select("doc_id")
+    out = docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_semi")
     if kept.where("_n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))

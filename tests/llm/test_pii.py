@@ -55,7 +55,8 @@ def test_invalid_values_are_left_alone(spark):
     values = ["300.1.1.1", "1234567890123", "2001-02-30", "1899-12-31", "000-12-3456", "+1234", "4570364245126886"]
     assert set(moved(spark, values).values()) == {None}
     texts = [f"in {v} out" for v in values] + ["a@b", "x 12345 y", "v1.2.3.4.5", None, ""]
-    frame = spark.createDataFrame([(t, 7) for t in texts], "text string, n_values int")
+    frame = spark.createDataFrame([(t, 7, 8) for t in texts], "text string, n_values int, found int")
+    assert {r["found"] for r in pii.pseudonymise(frame, "k").collect()} == {8}
     assert {(r["text"], r["n_values"]) for r in pii.pseudonymise(frame, "k").collect()} == {(t, 0) for t in texts}
 
 

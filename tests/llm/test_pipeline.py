@@ -44,6 +44,17 @@ def test_pipeline(spark, sf):
             assert sizes[d] == len(coder.encode(t, add_special_tokens=False).ids) + 1
 
 
+def test_stages_keep_clashing_columns(spark, sf):
+    text = " ".join(f"w{i}" for i in range(100))
+    names = ("kept", "hits", "items", "n_words", "runs", "row", "doc", "_doc", "_place", "_runs", "_words", "_host", "_kept", "rep", "base_failed", "host", "n_shingles", "component_id", "block")
+    docs = spark.createDataFrame([(1, text, "en", "s", 5), (2, text + "\nmore " + text, "en", "s", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        for r in stage(spark, docs, sf).collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 2
+
+
 def test_stages_keep_columns_and_take_nulls(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     text = " ".join(f"w{i}" for i in range(100))
