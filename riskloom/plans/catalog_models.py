@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
-from riskloom.operators import attribution, calibration, explore, forest, history, models, store
+from riskloom.operators import attribution, calibration, explore, forest, history, models, split, store
 from riskloom.plans import oracles as o
 from riskloom.plans import training
 from riskloom.plans.catalog import A1_SQL, query, scored, sel, txn
@@ -240,6 +240,25 @@ def _(spark, sf):
     return calibration.isotonic_apply(model, test, "raw_score").select("transaction_id", "raw_score", "calibrated_probability")
 
 
+_ISO = f"""{o.SPLIT}, v AS (SELECT p_raw AS x, count(*) AS w, sum(is_fraud::INT) AS s FROM parts WHERE split = 'val' GROUP BY 1),
+ c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, w, s FROM v),
+ ab AS (SELECT a.i AS a, b.i AS i, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)::DOUBLE AS m FROM c a JOIN c b ON a.i <= b.i),
+ mm AS (SELECT i, a, min(m) OVER (PARTITION BY a ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM ab),
+ iso AS (SELECT x, g FROM c JOIN (SELECT i, max(m) AS g FROM mm GROUP BY i) USING (i)),
+ t AS (SELECT transaction_id, p_raw FROM parts WHERE split = 'test'),
+ lo AS (SELECT transaction_id, p_raw, x AS x0, g AS g0 FROM t ASOF LEFT JOIN iso ON p_raw >= x),
+ hi AS (SELECT transaction_id, x AS x1, g AS g1 FROM t ASOF LEFT JOIN iso ON p_raw <= x)"""
+
+
+@query("C1_isotonic_given_scores", f"WITH {_ISO} SELECT transaction_id, {o.r('CASE WHEN x0 IS NULL THEN g1 WHEN x1 IS NULL THEN g0 WHEN x1 = x0 THEN g0 ELSE g0 + (g1 - g0) * (p_raw - x0) / (x1 - x0) END', 5)} AS calibrated_probability FROM lo JOIN hi USING (transaction_id)")
+def _(spark, sf):
+    """Isotonic regression as the largest of the least means: the min-max form gives the same fit."""
+    parts = split.temporal_split(txn(spark, sf)).select("transaction_id", "split", "p_raw", F.col("is_fraud").cast("int").alias("label"))
+    model = calibration.isotonic_fit(parts.where("split = 'val'"), "p_raw")
+    out = calibration.isotonic_apply(model, parts.where("split = 'test'"), "p_raw")
+    return out.select("transaction_id", rounded(F.col("calibrated_probability"), 5).alias("calibrated_probability"))
+
+
 @query("C2_platt")
 def _(spark, sf):
     val, test = (models.score_with(logistic(spark, sf), part(spark, sf, p)) for p in ("val", "test"))
@@ -247,6 +266,23 @@ def _(spark, sf):
     return calibration.platt_apply(model, test, "raw_score").select("transaction_id", "raw_score", "calibrated_probability")
 
 
+_PLATT = f"""{o.SPLIT}, v AS (SELECT p_raw AS x, is_fraud::INT::DOUBLE AS y FROM parts WHERE split = 'val'), n AS (SELECT count(*)::DOUBLE AS n FROM v),
+ it(k, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT k + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+   SELECT k, a, b, avg(p - y) AS g0, avg((p - y) * x) + b / any_value(n) AS g1, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * x) AS h01, avg(p * (1 - p) * x * x) + 1 / any_value(n) AS h11
+   FROM (SELECT k, a, b, x, y, n, 1 / (1 + exp(-(a + b * x))) AS p FROM it, v, n WHERE k < 25) GROUP BY k, a, b)),
+ fit AS (SELECT a, b FROM it WHERE k = 25)"""
+
+
+@query("C2_platt_given_scores", f"WITH RECURSIVE {_PLATT} SELECT transaction_id, {o.r('1 / (1 + exp(-(a + b * p_raw)))', 3)} AS calibrated_probability FROM parts, fit WHERE split = 'test'")
+def _(spark, sf):
+    """Logistic calibration of given scores against Newton's method."""
+    parts = split.temporal_split(txn(spark, sf)).select("transaction_id", "split", "p_raw", F.col("is_fraud").cast("int").alias("label"))
+    model = calibration.platt_fit(parts.where("split = 'val'"), "p_raw")
+    out = calibration.platt_apply(model, parts.where("split = 'test'"), "p_raw")
+    return out.select("transaction_id", rounded(F.col("calibrated_probability"), 3).alias("calibrated_probability"))
+
+
 @query("D4_score_with_models")
 def _(spark, sf):
     def build():
