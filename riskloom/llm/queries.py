@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, host_rules, language_model, line_dedup, packing, pii, secret_scan, superminhash, token_files, warc
+from riskloom.llm.columns import tidy
 from riskloom.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    tidy(prepare(spark))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query

@@ -19,7 +19,7 @@ import pyarrow as pa
 from riskloom.llm.words import _buffers, dictionary
 
 #: Pieces remembered by a worker process, twice over: those of late, and those before them.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Bytes that some white space beyond ASCII has before its last byte.
 BEFORE_LAST = bytes([0x80, 0x81, 0x9A, 0xC2])
 

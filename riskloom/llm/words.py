@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 
 #: Text handled at once in a task, so that a batch of long documents needs no more memory than one of short ones.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SPACE = 32
 
 
@@ -56,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.Array, table: bytes) -> Words:
