@@ -27,4 +27,4 @@ def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of a query when it ends (steps here store what later ones read), and hand
     Python batches of a few megabytes, however long the texts are."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

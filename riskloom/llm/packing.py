@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.token_ids import Encoder
+from riskloom.llm.token_ids import ENCODED_BYTES, Encoder
 from riskloom.llm.words import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
@@ -42,7 +42,7 @@ def pack(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_process(tokenizer, end)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODED_BYTES):
             ids, bounds = encoder.encode(batch.column("text"))
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays([batch.column("pack_group"), batch.column("doc_id"), packed.cast(pa.binary())], names=["pack_group", "doc_id", "ids"])

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.token_ids import Encoder
+from riskloom.llm.token_ids import ENCODED_BYTES, Encoder
 from riskloom.llm.words import slices
 
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -43,7 +43,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = Encoder.of_process(tokenizer, end), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODED_BYTES):
             ids, bounds = encoder.encode(batch.column("text"))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(

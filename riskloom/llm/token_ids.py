@@ -9,17 +9,17 @@ ASCII nothing is cut.
 from __future__ import annotations
 
 import os
-import sys
-from itertools import chain
-from types import ModuleType
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 
-from riskloom.llm.words import _buffers, dictionary
+from riskloom.llm.words import _buffers, dictionary, process_cache
 
 #: Pieces remembered by a worker process, twice over: those of late, and those before them.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+#: Text encoded at once: repeats within it cost nothing.
+ENCODED_BYTES = 8 << 20
 #: Bytes that some white space beyond ASCII has before its last byte.
 BEFORE_LAST = bytes([0x80, 0x81, 0x9A, 0xC2])
 
@@ -53,7 +53,7 @@ class Encoder:
     @classmethod
     def of_process(cls, path: str, end: int | None = None) -> Encoder:
         """One encoder for all tasks that a worker process runs: what it has learnt of the words is of use to later tasks."""
-        home = sys.modules.setdefault("riskloom_process", ModuleType("riskloom_process")).__dict__
+        home = process_cache()
         if (path, end) not in home:
             home[path, end] = cls(path, end)
         return home[path, end]
@@ -86,18 +86,17 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = []
-        for p in pieces:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
+        for p in filterfalse(known.__contains__, pieces):
+            if p in older:
+                known[p] = older[p]
+            else:
+                new.append(p)
         if new:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
             ends = np.cumsum([0, *map(len, ids)]) * 4
             flat = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4).tobytes()
             known.update((p, flat[a:b]) for p, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        return [known[p] for p in pieces]
+        return list(map(known.__getitem__, pieces))
 
 
 def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
@@ -59,8 +61,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     pa.default_memory_pool().release_unused()
 
 
+def process_cache() -> dict:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("riskloom_process", ModuleType("riskloom_process")).__dict__
+
+
 def words(texts: pa.Array, table: bytes) -> Words:
     """Words of each text; a null counts as an empty text."""
+    process_cache().clear()  # a worker that has turned to words needs no tokenizer's memory
     offsets, data = _buffers(texts)
     offsets = offsets - offsets[0] if len(offsets) else offsets
     raw = np.frombuffer(data.translate(table), np.uint8)
