@@ -166,12 +166,15 @@ def _block(table: pa.Table, order: int) -> list[Counts]:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers by planes of bytes, of which the high ones are all zero and cost nothing once compressed."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers by planes of bytes, of which the high ones are all zero, compressed; their count goes before them."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _numbers(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
 def _packed(n: int, span: int, block: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
