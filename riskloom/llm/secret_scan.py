@@ -1,10 +1,11 @@
 """Secret scans: broad rules find candidates, a random forest removes the false positives.
 
 Candidates are values of known formats, values assigned to names such as password or token, and long strings that mix
-letters and digits. Each has features: length, transitions between kinds of characters, coverage by words of the
-corpus, the path (source) and shape of its place, and its neighbouring words. The forest is trained on labelled
-findings; without given labels, rules that are surer than the candidates' own label a part of them: values of known
-formats and assigned random-looking values are findings, words of the corpus and values with no name are not.
+letters and digits, all whole, however long. A known format inside a longer assigned value is a candidate of its own
+beside it; NAME=VALUE is split at '='. Each has features: length, transitions between kinds of characters, coverage by
+words of the corpus, the path (source) and shape of its place, and its neighbouring words. The forest is trained on
+labelled findings; without given labels, rules that are surer than the candidates' own label a part of them: values of
+known formats and assigned random-looking values are findings, words of the corpus and values with no name are not.
 
 The dictionary holds words that make up at least one in 100,000 of the corpus' words, so it never has more than
 100,000, however large the corpus; counts cover all texts. The forest is fitted on at most ``sample`` labelled rows
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +46,66 @@ FORMATS = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
-RULES = re.compile(
-    rf"(?P<assigned>(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,200}}))|"
-    + "|".join(f"(?P<{k}>(?<![A-Za-z0-9_-]){v}(?![A-Za-z0-9_-]))" for k, v in FORMATS.items())
-    + r"|(?P<random>(?<![\w/+=-])(?=[A-Za-z/+=_-]{0,200}\d)[A-Za-z0-9/+=_-]{16,200})"
-)
-#: No candidate without one of these, which is far quicker to look for.
-QUICK = re.compile(rf"(?i:{NAMES})|[A-Za-z0-9/+=_.-]{{16}}")
+KNOWN = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9_-]){v}(?![A-Za-z0-9_-]))" for k, v in FORMATS.items()))
+ASSIGNED = re.compile(rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,}})")
+#: A run ends at '=' where more follows, so a name and its value are two; padding at the end belongs to it.
+RUN = re.compile(r"(?<![\w/+-])(?=[A-Za-z0-9/+=_-]{16})[A-Za-z0-9/+_-]+(?:=+(?![A-Za-z0-9/+=_-]))?")
+DIGIT = re.compile(r"[0-9]")
+LEAST = 16
+#: No candidate without one of these, which is far quicker to look for; the shortest format has 15 characters.
+QUICK = re.compile(rf"(?i:{NAMES})|[A-Za-z0-9/+=_.-]{{15}}")
 NEIGHBOURS = 16
+
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A value at a:b by a rule; ``at`` is where its name begins, if it has one."""
+
+    rule: str
+    at: int
+    a: int
+    b: int
+
+    @property
+    def lastgroup(self) -> str:
+        return self.rule
+
+    def span(self, group: str | int = 0) -> tuple[int, int]:
+        return self.a, self.b
+
+    def __getitem__(self, group: str) -> bool:
+        return group == self.rule
+
+
+class Rules:
+    """Known formats and assigned values are looked for each on its own, and long strings in what these leave."""
+
+    def finditer(self, text: str) -> Iterator[Candidate]:
+        found = [Candidate(m.lastgroup, m.start(), *m.span()) for m in KNOWN.finditer(text)]
+        known = {(c.a, c.b) for c in found}
+        assigned = [Candidate("assigned", m.start(), *m.span("value")) for m in ASSIGNED.finditer(text)]
+        found += [c for c in assigned if (c.a, c.b) not in known]
+        found.sort(key=lambda c: (c.a, c.b))
+        yield from found
+        taken = 0
+        for m in RUN.finditer(text):
+            a, b = m.span()
+            while taken < len(found) and found[taken].b <= a:
+                taken += 1
+            k = taken
+            while k < len(found) and found[k].a < b:
+                yield from self._random(text, a, found[k].a)
+                a = max(a, found[k].b)
+                k += 1
+            yield from self._random(text, a, b)
+
+    def _random(self, text: str, a: int, b: int) -> Iterator[Candidate]:
+        if b - a >= LEAST and DIGIT.search(text, a, b):
+            yield Candidate("random", a, a, b)
+
+
+RULES = Rules()
 FOUND = "doc_id long, start long, length long, rule string, masked string, features array<double>, sure int"
 
 
@@ -119,10 +173,9 @@ def candidates(docs: DataFrame, path: str = "source", known: list[str] | None =
 
 def _in_text(text: str, place: str, common: frozenset[str]) -> Iterator[tuple]:
     for m in RULES.finditer(text):
-        rule = m.lastgroup if m.lastgroup != "value" else "assigned"
-        a, b = m.span("value" if rule == "assigned" else rule)
+        rule, a, b = m.rule, m.a, m.b
         value = text[a:b]
-        features = _features(text, place, m.start(), a, b, rule, common)
+        features = _features(text, place, m.at, a, b, rule, common)
         covered, kinds, entropy = features[7], features[6], features[5]
         if rule in FORMATS:
             sure = 1

@@ -4,6 +4,7 @@ import random
 import string
 
 import numpy as np
+import pytest
 from pyspark.ml.functions import array_to_vector
 
 from riskloom.llm import queries, secret_scan
@@ -75,3 +76,36 @@ def test_known_formats_are_kept(spark):
     rows = queries.QUERIES["op5_secret_scan"](spark, sf).collect()
     known = [r for r in rows if r["rule"] in (*secret_scan.FORMATS, "assigned")]
     assert known and all(r["kept"] for r in known)
+
+
+def letters(n, chars=string.ascii_letters + string.digits):
+    return "".join(random.Random(n).choices(chars, k=n))
+
+
+JWT = f"eyJ{letters(100)}.eyJ{letters(280)}.{letters(43)}"
+AWS, GITHUB, SLACK = "AKIA" + "ABCDEFGH12345678", "ghp_" + "a1B2" * 9, "xoxb-1234567890"
+HEX = "0123456789abcdef" * 2
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f"x {'a1' * 300} y", [(2, 602, "random")]),
+        (f"x {'a' * 202}{'7' * 98} y", [(2, 302, "random")]),
+        (f"x {letters(1000)}== y", [(2, 1004, "random")]),
+        (f"password: {'a1.' * 200}", [(10, 610, "assigned")]),
+        (f"access_token={JWT}", [(13, 13 + len(JWT), "jwt")]),
+        (f"AWS_KEY={AWS}", [(8, 28, "aws_key_id")]),
+        (f"GH={GITHUB}\n", [(3, 43, "github_token")]),
+        ("my_password=ab12cd34ef56", [(12, 24, "assigned")]),
+        (f"NAME={HEX}", [(5, 37, "random")]),
+        (f"A={HEX}==&B={HEX}= c", [(2, 36, "random"), (39, 72, "random")]),
+        (f"SOME_LONG_NAME_{'N' * 300}={letters(600)}", [(316, 916, "random")]),
+        (f"token={AWS}).x1", [(6, 26, "aws_key_id"), (6, 30, "assigned")]),
+        (f"{HEX}/{AWS}/{HEX}", [(0, 33, "random"), (33, 53, "aws_key_id"), (53, 86, "random")]),
+        (SLACK, [(0, 15, "slack_token")]),
+    ],
+)
+def test_whole_values(text, want):
+    assert secret_scan.QUICK.search(text)
+    assert sorted((a, a + n, rule) for a, n, rule, *_ in secret_scan._in_text(text, "", frozenset())) == want
