@@ -3,12 +3,14 @@
 A text is cut where both tokenizers of this package split in any case, so the pieces' ids, joined, are the text's
 ids (tests hold this against whole texts): where white space begins after another character, and between an ASCII
 letter or digit and an ASCII punctuation mark other than an apostrophe. Next to what may be white space beyond
-ASCII nothing is cut.
+ASCII nothing is cut. The tokenizer is used as its file has it: the string of an added token, such as <|endoftext|>,
+is one id wherever it stands in a text, so it is a piece of its own, and what stands before and after it are cut off.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -45,7 +47,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Nothing is cut where an added token takes in what stands around it or is known by a normalised form.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        strings = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         self.end = end
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -62,7 +68,10 @@ class Encoder:
         """All ids, and where each text's ids begin (and the end). Nulls are empty; ``end`` follows every text."""
         offsets, data = _buffers(texts)
         offsets = offsets - offsets[0]
-        at = _cuts(np.frombuffer(data, np.uint8), offsets)
+        if self.plain:
+            at = _cuts(np.frombuffer(data, np.uint8), offsets, self._added_in(data, offsets))
+        else:
+            at = np.unique(offsets[:-1][offsets[:-1] < len(data)])
         pieces, distinct = dictionary(data, np.append(at, len(data)))
         bounds = np.searchsorted(at, offsets)
         bounds[offsets >= len(data)] = len(at)
@@ -81,6 +90,18 @@ class Encoder:
         source += np.arange(total, dtype=np.int32)
         return flat[source], np.concatenate([[0], ends])[bounds]
 
+    def _added_in(self, data: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens stand, none of them across two texts."""
+        out, at = [], 0
+        while self.added is not None and (m := self.added.search(data, at)):
+            a, b = m.span()
+            if offsets[np.searchsorted(offsets, a, side="right")] < b:
+                at = a + 1
+            else:
+                out.append((a, b))
+                at = b
+        return out
+
     def _coded(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -99,13 +120,17 @@ class Encoder:
         return list(map(known.__getitem__, pieces))
 
 
-def _cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin."""
+def _cuts(raw: np.ndarray, offsets: np.ndarray, added: list[tuple[int, int]]) -> np.ndarray:
+    """Where pieces begin; each of the places in ``added`` is a piece."""
     cut = np.zeros(len(raw), bool)
     if len(raw) > 1:
         before, here = raw[:-1], raw[1:]
         solid = SOLID[before]
         solid[1:] &= ~(DOUBTFUL[before[:-1]] & (before[1:] >= 0x80))
         cut[1:] = (WHITE[here] & solid) | (MARK[here] & ALNUM[before])
+    for a, b in added:
+        cut[a:b] = False
+        cut[a] = True
+        cut[b : b + 1] = True
     cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
     return np.flatnonzero(cut)

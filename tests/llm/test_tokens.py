@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from riskloom.llm import packing, queries, token_files
 from riskloom.llm.token_ids import Encoder
@@ -40,6 +41,24 @@ def test_pieces_give_the_ids_of_whole_texts(path):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [whole(encoder, t) for t in ODD[2:11]]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_as_the_file_has_them(path):
+    plain = Tokenizer.from_file(path)
+    texts = ["one<|endoftext|> two", "<|endoftext|>", "<|startoftext|>a<|endoftext|><|endoftext|>b ", "x <|endoftext|>\n y", "<|endof", "text|>", "É<|endoftext|>\u3000a", "<|ENDOFTEXT|> <|<|endoftext|>|>", None, "'<|startoftext|>s it's"]
+    ids, bounds = Encoder(path).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    if path == BYTES:
+        assert ids[: bounds[1]].tolist() == [505, 50256, 734]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.one_of(piece, st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|end"])), max_size=6).map("".join), max_size=6))
+    def check(texts):
+        ids, bounds = Encoder.of_process(path).encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+
+
 @pytest.mark.parametrize("table,pattern", [(BY_WHITE_SPACE, r"[^\x20\x09-\x0D]+"), (BY_PUNCTUATION, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
 def test_words(table, pattern):
     texts = pa.array([*ODD, "Word " * 3000, None])
