@@ -1,7 +1,8 @@
 """Cost-balanced packing of documents into sequences of a fixed number of tokens.
 
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (dense layers and attention). Documents are dealt to
-groups by a hash of their id. In a group, whole sequences are cut off long documents first; what remains goes, in
+groups by a hash of their id and text, so rows with one id or none are dealt out; only equal rows always share a
+group. In a group, whole sequences are cut off long documents first; what remains goes, in
 descending order, to the open sequence of the lowest cost that has room. As many sequences are open as the tokens
 need; a piece that fits nowhere is cut, so a group leaves fewer than ``capacity`` places empty.
 
@@ -63,7 +64,7 @@ def pack(
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-chars // group_chars))
-    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     return dealt.mapInArrow(encode, "pack_group long, doc_id long, ids binary").groupBy("pack_group").applyInArrow(fill, PIECES)
 
 

@@ -128,6 +128,14 @@ def test_packing(spark):
     assert len(sequences) * 128 - sum(r["length"] for r in got) < 128 * len({r["sequence_id"] >> 32 for r in got})
 
 
+def test_rows_of_one_id_are_dealt_to_many_groups(spark):
+    rows = [(None, f"text {i} of no id " * 20) for i in range(300)] + [(5, f"text {i} of one id " * 20) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTES, group_chars=10_000).collect()
+    for d in (None, 5):
+        groups = [r["sequence_id"] >> 32 for r in got if r["doc_id"] == d and r["start"] == 0]
+        assert len(groups) == 300 and max(map(groups.count, groups)) < 50
+
+
 def test_assignment_balances_costs():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 700) for _ in range(500)] + [5000, 2048, 0, 1]
