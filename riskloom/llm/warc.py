@@ -237,11 +237,12 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    ids = rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", F.unhex(F.sha1(F.encode("payload", "utf-8"))).alias("sha1"))
-    ids = materialise(ids, "warc-digests")
+    sha1 = F.unhex(F.sha1(F.encode("payload", "utf-8")))
+    ids = materialise(rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", sha1.alias("sha1")), "warc-digests")
     whole = ids.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = materialise(ids.join(whole, "sha1").where("page_id < refers_to").select("page_id", "refers_to").distinct(), "warc-revisits")
-    out = rows.join(revisits, "page_id", "left").select(
+    revisits = materialise(ids.join(whole, "sha1").where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct(), "warc-revisits")
+    # Of an id with several payloads, only those that the larger page has are revisits.
+    out = rows.withColumn("sha1", sha1).join(revisits, ["page_id", "sha1"], "left").select(
         F.concat(F.lit("<urn:page:"), "page_id", F.lit(">")).alias("record_id"),
         F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),

@@ -41,6 +41,16 @@ def test_round_trip(spark):
         assert all(r["payload"] == ("" if r["record_type"] == "revisit" else texts[r["p"]]) and r["target_uri"] == urls[r["p"]] for r in got)
 
 
+def test_repeated_id_with_two_payloads(spark):
+    path = scratch_path(spark, "test-warc")
+    rows = [(1, "u", "same text"), (1, "u", "other text"), (2, "v", "same text"), (None, "w", "same text")]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = spark.read.format("warc").load(path).select("target_uri", "record_type", "payload_bytes", "payload", warc.page_number("refers_to")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [("u", "response", 10), ("u", "revisit", 9), ("v", "response", 9), ("w", "response", 9)]
+    assert {r["payload"] for r in got if r["record_type"] == "response"} == {"same text", "other text"}
+    assert [r[4] for r in got if r["record_type"] == "revisit"] == [2]
+
+
 def test_pushed_filters_and_unread_payloads(spark):
     path = scratch_path(spark, "test-warc")
     warc.archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
