@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, host_rules, language_model, line_dedup, packing, pii, secret_scan, superminhash, token_files, warc
+from riskloom.llm import decontaminate, exact_dedup, host_rules, language_model, line_dedup, packing, pii, secret_scan, superminhash, token_files, warc
 from riskloom.llm.columns import tidy
 from riskloom.session import prepare, scratch_path
 
@@ -146,6 +146,17 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+ORACLES["op13_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)
+"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = r"'[\x20\x09-\x0D]+'"
 _MARKS = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
