@@ -154,6 +154,72 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audits(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+# The least repair so far for each place in the order (nothing, s, u, a), as (cost, audit, repaired text), row by row.
+_REROLED = "{'c': %s.c + 3 + cut, 'a': %s.a || 'R', 't': %s.t || '%s:' || text || chr(10)}"
+_KEPT = "CASE WHEN role[1] = '%s' THEN {'c': %s.c + cut, 'a': %s.a || 'K', 't': %s.t || role || ':' || text || chr(10)} END"
+_DROPPED = "{'c': %s.c + 4, 'a': %s.a || 'D', 't': %s.t}"
+_INSERTED = "{'c': %s.c + 3, 'a': %s.a || 'I', 't': %s.t || '%s:' || chr(10)}"
+
+
+def _least(*found: str) -> str:
+    return f"list_min(list_filter([{', '.join(found)}], lambda x: x.c IS NOT NULL))"
+
+
+def _fitting(*found: str) -> str:
+    return ", ".join(f"CASE WHEN fine THEN {x} END" for x in found)
+
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) r(i)
+), src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key
+  FROM conversations
+), drawn AS (
+  SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(key, lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) % 20 AS draw
+  FROM src, crc
+), made AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) FROM drawn WHERE draw > 0)
+), told AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM made
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again,
+         regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS ended, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] AS pair
+  FROM told
+), rows_ AS (
+  SELECT *, NOT blank AND NOT again AS fine, CASE WHEN NOT blank AND NOT again AND NOT ended THEN 3 ELSE 0 END AS cut FROM judged
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS p, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS b0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS b1,
+         {{'c': 3::BIGINT, 'a': 'I', 't': 'user:' || chr(10)}} AS b2, {{'c': 6::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS b3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, p, b0, b1, b2, {_least('n3', _INSERTED % ('b2', 'b2', 'b2', 'assistant'))} AS b3
+  FROM (
+    SELECT conv_id, p, n0 AS b0, n1 AS b1, n3, {_least('n2', *(_INSERTED % (x, x, x, 'user') for x in ('n0', 'n1', 'n3')))} AS b2
+    FROM (
+      SELECT w.conv_id, r.p, {_DROPPED % ('b0', 'b0', 'b0')} AS n0,
+             {_least(_DROPPED % ('b1', 'b1', 'b1'), _fitting(_KEPT % ('s', 'b0', 'b0', 'b0')))} AS n1,
+             {_least(_DROPPED % ('b2', 'b2', 'b2'), *(y for x in ('b0', 'b1', 'b3') for y in (_fitting(_REROLED % (x, x, x, 'user')), _fitting(_KEPT % ('u', x, x, x)))))} AS n2,
+             {_least(_DROPPED % ('b3', 'b3', 'b3'), _fitting(_REROLED % ('b2', 'b2', 'b2', 'assistant')), _fitting(_KEPT % ('a', 'b2', 'b2', 'b2')))} AS n3
+      FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.p = w.p + 1
+    )
+  )
+), ends AS (
+  SELECT conv_id, {_least('b0', 'b3')} AS best FROM (SELECT *, max(p) OVER (PARTITION BY conv_id) AS last FROM walk) WHERE p = last
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum((again AND NOT blank)::INT) AS duplicate,
+         sum((fine AND NOT ended)::INT) AS truncated, sum((coalesce(pair, 'su') NOT IN ('su', 'ua', 'au'))::INT) AS illegal
+  FROM rows_ GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit,
+       sha256(CASE WHEN best.t = '' THEN '' ELSE best.t[:-2] END) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
