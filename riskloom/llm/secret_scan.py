@@ -3,23 +3,26 @@
 Candidates are values of known formats, values assigned to names such as password or token, and long strings that mix
 letters and digits, all whole, however long. A known format inside a longer assigned value is a candidate of its own
 beside it; NAME=VALUE is split at '='. Each has features: length, transitions between kinds of characters, coverage by
-words of the corpus, the path (source) and shape of its place, and its neighbouring words. The forest is trained on
-labelled findings; without given labels, rules that are surer than the candidates' own label a part of them: values of
-known formats and assigned random-looking values are findings, words of the corpus and values with no name are not.
+words of the corpus, the path (source) and shape of its place, and its neighbouring words.
+
+The forest is always fitted on labelled findings. Where the caller has none of their own, ``planted`` makes some: values
+of the kinds in ``secret_kinds`` (keys and passwords; digests, ids, slugs, paths, prose in base64, placeholders) are put
+into texts of the corpus, and each candidate that covers such a value takes the label of its kind.
 
 The dictionary holds words that make up at least one in 100,000 of the corpus' words, so it never has more than
-100,000, however large the corpus; counts cover all texts. The forest is fitted on at most ``sample`` labelled rows
-(20,000), taken in the order of a hash; all candidates are scored.
+100,000, however large the corpus; counts cover all texts. Labelled findings lie in at most ``contexts`` texts (1,000),
+taken in the order of a hash, and about ``drawn`` of them are made (8,000), whatever the corpus' size; the forest is
+fitted on at most ``sample`` labelled rows (20,000). All candidates are scored.
 
 Nulls: a null text has no candidates, a null source is a source of its own; rows are handled one by one, so repeated
-ids don't matter. Without candidates or without two kinds of labels nothing is removed (probability 1). An empty table
-gives no rows. Other columns are ignored.
+ids don't matter. An empty table gives no rows. Given labels of one kind only are refused. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm import secret_kinds
 from riskloom.llm.columns import tidy
 from riskloom.llm.words import BY_PUNCTUATION, mix, slices, words
 from riskloom.session import materialise
@@ -55,7 +59,12 @@ LEAST = 16
 #: No candidate without one of these, which is far quicker to look for; the shortest format has 15 characters.
 QUICK = re.compile(rf"(?i:{NAMES})|[A-Za-z0-9/+=_.-]{{15}}")
 NEIGHBOURS = 16
-
+#: Labelled findings that are made where none are given, and the texts that they are put into.
+DRAWN, CONTEXTS = 8000, 1000
+#: What stands before the digests that are no secrets.
+DIGESTS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "revision", "etag", "hash")
+#: Lower and upper case letters, digits, and signs; letters beyond ASCII count as signs.
+KINDS_OF = defaultdict(lambda: "s", {c: "l" if chr(c).islower() else "u" if chr(c).isupper() else "d" for c in range(128) if chr(c).isalnum()})
 
 
 @dataclass(frozen=True)
@@ -67,16 +76,6 @@ class Candidate:
     a: int
     b: int
 
-    @property
-    def lastgroup(self) -> str:
-        return self.rule
-
-    def span(self, group: str | int = 0) -> tuple[int, int]:
-        return self.a, self.b
-
-    def __getitem__(self, group: str) -> bool:
-        return group == self.rule
-
 
 class Rules:
     """Known formats and assigned values are looked for each on its own, and long strings in what these leave."""
@@ -106,7 +105,7 @@ class Rules:
 
 
 RULES = Rules()
-FOUND = "doc_id long, start long, length long, rule string, masked string, features array<double>, sure int"
+FOUND = "doc_id long, start long, length long, rule string, masked string, features array<double>"
 
 
 def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, sample: int = SAMPLE, keep: float = 0.5) -> DataFrame:
@@ -115,27 +114,50 @@ def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = Non
     ``labelled`` has rows of features and label (0 or 1), as ``candidates`` gives them; ``start`` counts characters.
     """
     tidy(docs.sparkSession)
-    found = materialise(candidates(docs, path), "secret-candidates")
-    if labelled is None:
-        labelled = found.where("sure >= 0").select("features", F.col("sure").alias("label"))
-    model = train(labelled, sample)
-    if model is None:
-        return found.select("doc_id", "start", "length", "rule", "masked", F.lit(1.0).alias("probability"), F.lit(True).alias("kept"))
+    common = dictionary(docs)
+    found = materialise(candidates(docs, path, common), "secret-candidates")
+    model = train(planted(docs, path, common) if labelled is None else labelled, sample)
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
     probability = F.round(F.get(vector_to_array("probability"), 1), 6)
     return scored.select("doc_id", "start", "length", "rule", "masked", probability.alias("probability"), (probability >= keep).alias("kept"))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest of 40 trees, on at most ``sample`` rows; None without both labels."""
+def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel:
+    """A forest of 60 trees, on at most ``sample`` rows."""
     rows = labelled.select("features", F.col("label").cast("double").alias("label"))
-    rows = materialise(rows.orderBy(F.xxhash64("features"), "features").limit(sample), "secret-sample")
+    rows = materialise(rows.orderBy(F.xxhash64("features"), "features", "label").limit(sample), "secret-sample")
     if rows.select("label").distinct().count() < 2:
-        return None
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=40, maxDepth=8, seed=7, featureSubsetStrategy="sqrt")
+        raise ValueError("a forest needs labelled findings that are secrets, and some that are not")
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=60, maxDepth=10, seed=7, featureSubsetStrategy="onethird")
     return forest.fit(rows.withColumn("vector", array_to_vector("features")))
 
 
+def planted(
+    docs: DataFrame, path: str = "source", known: list[str] | None = None, kinds: list[str] | None = None, contexts: int = CONTEXTS, drawn: int = DRAWN
+) -> DataFrame:
+    """(kind, label, features) of values of ``kinds`` (all by default), put into texts of ``docs``."""
+    common = frozenset(dictionary(docs) if known is None else known)
+    wanted = sorted(kinds or secret_kinds.KINDS)
+    texts = docs.select(F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, 2000).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("place"))
+    texts = materialise(texts.distinct().orderBy(F.xxhash64("text", "place"), "text", "place").limit(contexts), "secret-contexts")
+    if not (rows := texts.count()):
+        texts, rows = docs.sparkSession.createDataFrame([("", "")], "text string, place string"), 1
+    draws = -(-drawn // rows)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, place in zip(*(batch.column(c).to_pylist() for c in ("text", "place")), strict=True):
+                for kind, body, start, end in secret_kinds.plant(text, draws, wanted):
+                    for m in RULES.finditer(body):
+                        if min(end, m.b) - max(start, m.a) > (end - start) / 2:
+                            out.append((kind, int(secret_kinds.KINDS[kind].secret), _features(body, place, m.at, m.a, m.b, m.rule, common)))
+            kinds_ = (pa.string(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 3, kinds_, strict=True)], ["kind", "label", "features"])
+
+    return texts.repartition(4).mapInArrow(make, "kind string, label int, features array<double>")
+
+
 def dictionary(docs: DataFrame, common: float = COMMON) -> list[str]:
     """Words of 3 to 20 letters that make up at least ``common`` of all words."""
 
@@ -152,20 +174,20 @@ def dictionary(docs: DataFrame, common: float = COMMON) -> list[str]:
 
 
 def candidates(docs: DataFrame, path: str = "source", known: list[str] | None = None) -> DataFrame:
-    """Candidates with features; ``sure`` is 1 for a finding, 0 for none, -1 where the rules don't tell."""
+    """Candidates with features."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(frozenset(dictionary(docs) if known is None else known))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = model.value
         names = [c.split()[0] for c in FOUND.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
         for batch in slices(batches):
             rows = []
             for doc, text, place in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "place")), strict=True):
                 if text and QUICK.search(text):
                     rows += [(doc, *row) for row in _in_text(text, place or "", common)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(path).cast("string").alias("place"))
     return rows.mapInArrow(find, FOUND)
@@ -173,32 +195,26 @@ def candidates(docs: DataFrame, path: str = "source", known: list[str] | None =
 
 def _in_text(text: str, place: str, common: frozenset[str]) -> Iterator[tuple]:
     for m in RULES.finditer(text):
-        rule, a, b = m.rule, m.a, m.b
-        value = text[a:b]
-        features = _features(text, place, m.at, a, b, rule, common)
-        covered, kinds, entropy = features[7], features[6], features[5]
-        if rule in FORMATS:
-            sure = 1
-        elif rule == "assigned":
-            sure = 1 if covered < 0.3 and kinds > 1 and entropy > 2.5 else 0 if covered > 0.6 or kinds == 1 else -1
-        else:
-            sure = 0 if covered > 0.4 or entropy < 2.5 else -1
-        yield a, b - a, rule, value[:3] + "*" * min(len(value) - 3, 12), features, sure
+        value = text[m.a : m.b]
+        yield m.a, m.b - m.a, m.rule, value[:3] + "*" * min(len(value) - 3, 12), _features(text, place, m.at, m.a, m.b, m.rule, common)
 
 
 def _features(text: str, place: str, start: int, a: int, b: int, rule: str, common: frozenset[str]) -> list[float]:
     value = text[a:b]
-    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in value]
-    changes = Counter(zip(kinds, kinds[1:], strict=False))
-    steps = max(len(value) - 1, 1)
-    counts = np.array(list(Counter(value).values())) / len(value)
+    kinds = value.translate(KINDS_OF)
+    n, steps = len(value), max(len(value) - 1, 1)
+    changes = Counter(map("".join, zip(kinds, kinds[1:], strict=False)))
+    counts = np.array(list(Counter(value).values())) / n
     line = text.rfind("\n", 0, start) + 1
     before, after = text[max(0, start - 80) : start].split()[-2:], text[b : b + 80].split()[:2]
+    lower, folded = value.lower(), [w.lower().strip(".,:;()`\"'") for w in before + after]
+    assigned = text[start:a].lower() if rule == "assigned" else text[max(0, a - 12) : a].lower()
     out = [
-        float(len(value)), sum(n for (x, y), n in changes.items() if x != y) / steps, (changes["l", "d"] + changes["d", "l"]) / steps,
-        (changes["l", "u"] + changes["u", "l"]) / steps, kinds.count("d") / len(value), float(-(counts * np.log2(counts)).sum()), float(len(set(kinds))),
-        _coverage(value.lower(), common), float(rule == "assigned"), float(rule in FORMATS), float(start == line),
-        float(sum(w.lower().strip(".,") in common for w in before + after)), float(all(c in "0123456789abcdef" for c in value)),
+        float(n), sum(k for pair, k in changes.items() if pair[0] != pair[1]) / steps, (changes["ld"] + changes["dl"]) / steps,
+        (changes["lu"] + changes["ul"]) / steps, kinds.count("d") / n, float(-(counts * np.log2(counts)).sum()), float(len(set(kinds))),
+        _coverage(lower, common), float(rule == "assigned"), float(rule in FORMATS), float(start == line), float(sum(w in common for w in folded)),
+        float(not lower.strip("0123456789abcdef")), kinds.count("s") / n, max(map(len, re.split("[^A-Za-z]+", value))) / n,
+        float(any(x in w for x in DIGESTS for w in [assigned, *folded])), _printable(value), (changes["ss"]) / steps, float(max(counts)),
     ]
     spread = [0.0] * NEIGHBOURS
     for side, ws in (("b", before), ("a", after), ("p", [place])):
@@ -207,6 +223,15 @@ def _features(text: str, place: str, start: int, a: int, b: int, rule: str, comm
     return out + spread
 
 
+def _printable(value: str) -> float:
+    """The share of letters and spaces in what the value decodes to as base64; 0 if it does not."""
+    body = value.rstrip("=")
+    if len(body) < LEAST or not re.fullmatch(r"[A-Za-z0-9+/]+", body):
+        return 0.0
+    raw = base64.b64decode(body[: len(body) // 4 * 4])
+    return sum(65 <= c <= 90 or 97 <= c <= 122 or c == 32 for c in raw) / len(raw)
+
+
 def _hash(word: str) -> int:
     return int(mix(np.array([int.from_bytes(word.encode()[:8].ljust(8, b"\0"), "little")], np.uint64))[0])
 
