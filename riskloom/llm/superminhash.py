@@ -7,7 +7,8 @@ shingle; without words it is empty and linked with nothing. Documents are linked
 * Signature: in round j every shingle offers the value j + r at the next place of its own random permutation of the
   places; each place keeps the least. A document is done when no place can get less (early stopping): long documents
   need one round, and places are correlated so that estimates vary less than with independent hashes.
-* Equal sets form a class; its smallest id stands for it from then on.
+* Equal sets form a class; its smallest id stands for it from then on. An id with several texts can be the smallest of
+  several classes: one of these keeps the id, the others get numbers above all ids, and links by the id tie them.
 * Banding: 32 bands of 4 places. A pair at the limit shares none with probability 5e-6.
 * In a bucket no pairs of all members are formed. In a few rounds each member is compared with its most similar
   pivot, which joins the large groups. What may still be linked are documents of different groups in one bucket:
@@ -15,8 +16,8 @@ shingle; without words it is empty and linked with nothing. Documents are linked
   and then on full sets. A link within a group changes nothing and is not looked for.
 
 Nulls: a null text is an empty one; a row without an id is linked with nothing (component null, kept). Rows that
-repeat an id share a component. An empty table gives no rows. Other columns are ignored here and kept by
-``deduplicate``.
+repeat an id share a component, whatever order they come in. Texts of any length are read whole. An empty table gives no
+rows. Other columns are ignored here and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import tidy
+from riskloom.llm.columns import carried, restored, tidy
 from riskloom.llm.words import BY_WHITE_SPACE, mix, shingles, slices, words
 from riskloom.session import materialise
 
@@ -41,7 +42,9 @@ BLOCK = 256
 HELD = 60_000
 FRACTION_BITS = 24
 GOLDEN = 0x9E3779B97F4A7C15
-SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, mark long, n_shingles long, low long, high long, bands array<long>, sketch binary"
+WHOLE = ["n_shingles", "low", "high"]
+LARGEST = (1 << 63) - 1
 
 
 def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -125,54 +128,68 @@ def sign(docs: DataFrame, places: int = PLACES, bands: int = BANDS) -> DataFrame
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                    batch.column("doc_id"), batch.column("mark"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(places), n, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "low", "high", "bands", "sketch"],
+                names=["doc_id", "mark", "n_shingles", "low", "high", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return _marked(docs).mapInArrow(run, SIGNED)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): the mark tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
+
+
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(n_shingles, low, high, first, mark, rep) of each set; ``first`` is the smallest id that has it."""
+    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*WHOLE).agg(F.min(F.struct("doc_id", "mark")).alias("at"))
+    grouped = materialise(grouped.select(*WHOLE, F.col("at.doc_id").alias("first"), "at.mark", F.monotonically_increasing_id().alias("number")), "near-sets-of-ids")
+    repeated = grouped.groupBy("first").agg(F.min("number").alias("base"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.when(F.coalesce(F.col("base"), F.col("number")) == F.col("number"), F.col("first")).otherwise(F.lit(LARGEST) - F.col("number"))
+    return materialise(grouped.join(repeated, "first", "left").select(*WHOLE, "first", "mark", own.alias("rep")), "near-classes")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
     tidy(docs.sparkSession)
     signed = materialise(sign(docs), "near-signatures")
-    whole = ["n_shingles", "low", "high"]
-    linkable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(linkable.groupBy(*whole).agg(F.min("doc_id").alias("rep")), "near-classes")
+    classes = classes_of(signed)
     component = _components(docs, signed, classes, percent, star_rounds)
-    of_class = classes.join(component, "rep", "left").select(*whole, F.coalesce("component", "rep").alias("component"))
-    # Rows of one id but different texts tie their classes together.
-    rows = signed.select("doc_id", *whole).join(of_class, whole, "left")
+    of_class = classes.join(component, "rep", "left").select(*WHOLE, F.coalesce("component", "rep").alias("component"))
+    rows = signed.select("doc_id", *WHOLE).join(of_class, WHOLE, "left")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """One row of each group, that of the smallest id; rows without an id stay."""
+    """One row of each group, that of the smallest id; rows without an id stay. Of several rows of that id the one with
+    the least hashes of its text and of the whole row stays."""
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     kept = materialise(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")), "near-kept")
-    ids = kept.select("doc_id")
-    out = docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_semi")
+    ids = kept.select(F.col("doc_id").alias("_id"))
+    out = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
     if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
+        rows = carried(out, "doc_id").withColumn("hashes", F.struct(F.xxhash64("row.text").alias("text"), F.xxhash64("row").alias("all")))
+        least = rows.groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
+        out = restored(rows.join(least, ["doc_id", "hashes"]).dropDuplicates(["doc_id", "hashes"]), docs.columns)
     return out.unionByName(docs.where("doc_id is null"))
 
 
 def _components(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """(rep, component) of the classes' representatives that are linked with others."""
     spark = docs.sparkSession
-    ids = classes.select("rep")
-    reps = signed.join(ids, signed["doc_id"] == ids["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch")
+    one = classes.select(F.col("first").alias("doc_id"), "mark", "rep")
+    reps = signed.join(one, ["doc_id", "mark"]).select("rep", "bands", "sketch")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").drop("top")
     members = materialise(banded.join(shared, "key").distinct(), "near-members")
     home = materialise(members.groupBy("rep").agg(F.min("pivot").alias("home")), "near-homes")
     sketches = materialise(reps.join(home, "rep", "left_semi").select("rep", "sketch").dropDuplicates(["rep"]), "near-sketches")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(home, "rep", "left_semi")
+    texts = _marked(docs).join(one.join(home, "rep", "left_semi"), ["doc_id", "mark"]).select("rep", "text")
     sets = materialise(texts.mapInArrow(_sets, "rep long, elements binary").dropDuplicates(["rep"]), "near-sets")
     labels = spark.createDataFrame([], "rep long, component long")
     # Same id, different texts: linked by the id.
@@ -343,13 +360,14 @@ def _exact(percent: int):
 
 
 def linked_by_id(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links between classes that hold different texts of one id, if there are any."""
-    whole = ["n_shingles", "low", "high"]
-    rows = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *whole)
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    links = rows.join(repeated, "doc_id", "left_semi").join(classes, whole).select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).where("a < b").distinct()
-    links = materialise(links, "near-same-id")
-    return links if links.limit(1).count() else None
+    """Links between the classes of one id with different texts, if there are any: each to the least of them."""
+    rows = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *WHOLE).distinct()
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    tied = materialise(rows.join(several, "doc_id", "left_semi").join(classes, WHOLE).select("doc_id", "rep"), "near-same-id")
+    if not tied.limit(1).count():
+        return None
+    links = tied.join(tied.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id")
+    return links.where("least < rep").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def rates(model, rows):
 
 @pytest.mark.parametrize(
     "unseen",
-    [("aws_key_id", "google_key", "slug", "stamp"), ("prefixed_key", "slack_token", "path", "word"), ("github_token", "base64_key", "grouped_key", "serial", "uuid")],
+    [("aws_key_id", "google_key", "slug", "stamp"), ("prefixed_key", "slack_token", "path", "word"), ("github_token", "base64_key", "serial", "stamp")],
 )
 def test_kinds_that_training_has_not_seen(spark, sf, unseen):
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -103,6 +103,23 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(str(r["doc_id"]) for r in superminhash.deduplicate(spark.createDataFrame(rows, schema)).collect()) == ["1", "4", "None"]
 
 
+def test_an_id_with_different_texts(spark):
+    """Each of an id's texts has its links, in whatever order the rows come."""
+    base = [f"w{i}" for i in range(60)]
+    other, near = [f"v{i}" for i in range(60)], [f"v{i}" for i in range(59)] + ["x"]
+    third = [f"u{i}" for i in range(60)]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, " ".join(near)), (5, " ".join(third)), (9, " ".join(third[:-1])), (11, " ".join(base) + " end"), (12, "alone it stands")]
+    want = {5: 5, 7: 5, 9: 5, 11: 5, 12: 12}
+    rng = random.Random(2)
+    kept = set()
+    for _ in range(3):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(frame).collect()} == want
+        kept.add(tuple(sorted(tuple(r) for r in superminhash.deduplicate(frame).collect())))
+        rng.shuffle(rows)
+    assert len(kept) == 1 and [d for d, _ in kept.pop()] == [5, 12]
+
+
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op10_superminhash"](spark, sf).collect()} == plain(docs)
