@@ -8,17 +8,24 @@ pseudonyms in all documents and different ones stay different; who has the key c
 kind     valid                                                                       what is permuted
 =======  ==========================================================================  ==============================
 email    a name, @ and a domain with a top level                                     the name's letters and digits
-date     a day of the calendar from 1900-01-01 to 2099-08-04, in three notations     the day, in the same notation
+date     a day of the calendar from 1900-01-01 to 2099-08-04, also before a time     the day, in the same notation
+iban     country, check digits and account that are 1 modulo 97                      the account's letters and digits;
+                                                                                     the check digits are made right again
 ip       four numbers up to 255                                                      the address
+ipv6     up to eight groups of hexadecimal digits, one gap                           all digits
 card     13 to 19 digits with a right check digit                                    all digits but the check digit,
                                                                                      which is made right again
 ssn      three groups; first not 000, 666 or 9xx, others not all zero                all digits
 phone    + and 8 to 15 digits, or ten digits in groups                               digits after the country code
 =======  ==========================================================================  ==============================
 
-Punctuation stays; names become lower case. What is not valid is left alone. Nulls: a null text stays null and has no
-values. Rows are handled one by one, so repeated rows and ids don't matter; an empty table gives no rows. All columns
-are kept; n_values is replaced if there is one.
+Punctuation and capitals stay where they are; names that differ only in capitals stay linked. Dates are yyyy-mm-dd,
+yyyy/mm/dd, dd/mm/yyyy, dd.mm.yyyy, and mm/dd/yyyy where the second number is a day above 12, the last three also
+without leading zeros. A day is linked in all notations, but for those that not every day can be told in (mm/dd, or no
+leading zeros): there the permutation is repeated until the notation fits, which keeps it a bijection. What is not valid
+is left alone. Nulls: a null text stays null and has no values. Texts of any length are searched whole. Rows are handled
+one by one, so repeated rows and ids don't matter; an empty table gives no rows. All columns are kept; n_values is
+replaced if there is one.
 """
 
 from __future__ import annotations
@@ -32,7 +39,9 @@ ROUNDS = 8
 NAME, DOMAIN = r"[A-Za-z0-9._%+-]+", r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PATTERNS = {
     "email": rf"(?<![\w.%+-]){NAME}@{DOMAIN}",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-])(?!\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|[1-9]\d?/[1-9]\d?/\d{4}|[1-9]\d?\.[1-9]\d?\.\d{4})(?:(?=[Tt]\d\d:?\d\d)|(?![\w/-]))(?!\.\d)",
+    "iban": r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}:){0,6}(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){1,6}:)(?![\w:])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -41,6 +50,8 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values()).replace("([.-])", "[.-]")
 #: Days from the first: a square, so that the halves are alike.
 FIRST_DAY, DAY_HALF = "1900-01-01", 270
+#: Steps in search of a day that fits a notation; more than half of all days fit each, so that more are never needed.
+WALK = 90
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -63,6 +74,8 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     return F.coalesce(
         F.when(is_["email"], _email(value, key, back)),
         F.when(is_["date"], _date(value, key, back)),
+        F.when(is_["iban"], _iban(value, key, back)),
+        F.when(is_["ipv6"], _ipv6(value, key, back)),
         F.when(is_["ip"], _ip(value, key, back)),
         F.when(is_["card"], let(digits, lambda d: F.when((F.length(d) >= 13) & (_luhn(d) == 0), _refill(value, _card(d, key, back))))),
         F.when(is_["ssn"] & ~value.rlike("^(?:000|666|9)|-00-|-0000$"), _refill(value, _digits(digits, key, "ssn", back))),
@@ -103,16 +116,17 @@ def _digits(digits: Column, key: str, kind: str, back: bool) -> Column:
     return let(digits, lambda d: F.when(F.length(d) == 0, d).otherwise(permuted(d)))
 
 
-def _letters(letters: Column, key: str, tweak: Column, back: bool) -> Column:
-    """Lower-case letters, permuted in pieces of up to 24, as numbers of base 26."""
-    alphabet, base = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+def _letters(letters: Column, key: str, tweak: Column, back: bool, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
+    """Letters of an alphabet, permuted in pieces of up to 24, as numbers of its base."""
+    radix = len(alphabet)
+    base = "0123456789abcdefghijklmnop"[:radix]
 
     def piece(x: Column, at: Column) -> Column:
         n = F.length(x)
         u = F.floor(n / 2).cast("int")
-        size = lambda k: F.pow(F.lit(26.0), k).cast("decimal(20,0)").cast("long")
-        number = lambda s: F.coalesce(F.conv(F.translate(s, alphabet, base), 26, 10).cast("long"), F.lit(0))
-        text = lambda v, k: F.when(k == 0, F.lit("")).otherwise(F.translate(F.lpad(F.lower(F.conv(v.cast("string"), 10, 26)), k, "0"), base, alphabet))
+        size = lambda k: F.pow(F.lit(float(radix)), k).cast("decimal(20,0)").cast("long")
+        number = lambda s: F.coalesce(F.conv(F.translate(s, alphabet, base), radix, 10).cast("long"), F.lit(0))
+        text = lambda v, k: F.when(k == 0, F.lit("")).otherwise(F.translate(F.lpad(F.lower(F.conv(v.cast("string"), 10, radix)), k, "0"), base, alphabet))
         left = F.when(u == 0, F.lit(0)).otherwise(number(F.substring(x, F.lit(1), u)))
         halves = feistel(left, number(F.substring(x, u + 1, n - u)), (size(u), size(n - u)), F.concat_ws("|", F.lit("letters"), tweak, at.cast("string"), n.cast("string")), key, back)
         return let(halves, lambda h: F.concat(text(h["left"], u), text(h["right"], n - u)))
@@ -129,29 +143,99 @@ def _refill(value: Column, characters: Column, kind: str = r"\d") -> Column:
 
 
 def _email(value: Column, key: str, back: bool) -> Column:
-    name, domain = F.lower(F.substring_index(value, "@", 1)), F.lower(F.substring_index(value, "@", -1))
+    written, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
     letters = lambda n: F.regexp_replace(n, "[^a-z]", "")
     digits = lambda n: F.regexp_replace(n, "[^0-9]", "")
     # Letters first, by the domain; then digits, so that a name without letters is permuted too.
     parts = lambda n: F.struct(_letters(letters(n), key, domain, back).alias("l"), _digits(digits(n), key, "email", back).alias("d"))
-    return let(name, lambda n: let(parts(n), lambda p: F.concat(_refill(_refill(n, p["l"], "[a-z]"), p["d"], "[0-9]"), F.lit("@"), F.substring_index(value, "@", -1))))
+    new = let(F.lower(written), lambda n: let(parts(n), lambda p: _refill(_refill(n, p["l"], "[a-z]"), p["d"], "[0-9]")))
+    return F.concat(_capitals(new, written), F.lit("@"), F.substring_index(value, "@", -1))
+
+
+def _capitals(new: Column, old: Column) -> Column:
+    """``new`` with capitals where ``old``, of the same length, has them."""
+    letter = lambda c, i: F.substring(c, i, F.lit(1))
+    places = F.sequence(F.lit(1), F.length(old))
+    return F.when(old == F.lower(old), new).otherwise(
+        let(new, lambda n: F.array_join(F.transform(places, lambda i: F.when(letter(old, i).rlike("[A-Z]"), F.upper(letter(n, i))).otherwise(letter(n, i))), ""))
+    )
 
 
 def _date(value: Column, key: str, back: bool) -> Column:
-    dashes, slashes = value.contains("-"), value.contains("/")
-    american = slashes & (F.substring(value, 4, 2).cast("int") > 12)
-    ymd = F.regexp_replace(value, r"^(\d\d)[/.](\d\d)[/.](\d{4})$", "$3-$2-$1")
-    mdy = F.regexp_replace(value, r"^(\d\d)/(\d\d)/(\d{4})$", "$3-$1-$2")
-    day = F.try_to_date(F.when(dashes, value).when(american, mdy).otherwise(ymd), "yyyy-MM-dd")
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    size = F.lit(DAY_HALF)
-
-    def written(h: Column) -> Column:
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (h["left"] * DAY_HALF + h["right"]).cast("int"))
-        return F.when(dashes, F.date_format(new, "yyyy-MM-dd")).when(slashes, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-
-    moved = lambda n: let(feistel(F.floor(n / DAY_HALF), n % DAY_HALF, (size, size), F.lit("date"), key, back), written)
-    return let(number, lambda n: F.when(n.between(0, DAY_HALF**2 - 1), moved(n)))
+    mark = F.when(value.contains("-"), "-").when(value.contains("/"), "/").otherwise(".")
+    parts = F.split(F.translate(value, "/.", "--"), "-")
+    year_first, bare = F.length(F.get(parts, 0)) == 4, F.length(value) < 10
+    number_at = lambda k: F.get(parts, k).cast("int")
+    american = ~year_first & (mark == "/") & (number_at(1) > 12)
+    month = F.when(american, number_at(0)).otherwise(number_at(1))
+    year, first = (F.when(year_first, number_at(k)).otherwise(number_at(2 - k)) for k in (0, 2))
+    of_month = F.when(american, number_at(1)).otherwise(first)
+    day = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, of_month), "yyyy-MM-dd")
+    size, start = F.lit(DAY_HALF), F.lit(FIRST_DAY).cast("date")
+    calendar = lambda n: F.date_add(start, n.cast("int"))
+
+    def fits(n: Column) -> Column:
+        """Whether the day can be told in the notation: mm/dd needs a day above 12, no leading zeros something under 10."""
+        d, m = F.dayofmonth(calendar(n)), F.month(calendar(n))
+        return (~american | (d > 12)) & (~bare | (m < 10) | (~american & (d < 10)))
+
+    def move(n: Column) -> Column:
+        halves = feistel(F.floor(n / DAY_HALF), n % DAY_HALF, (size, size), F.lit("date"), key, back)
+        return let(halves, lambda h: h["left"] * DAY_HALF + h["right"])
+
+    def moved(n: Column) -> Column:
+        more = lambda x, _: F.when(fits(x), x).otherwise(move(x))
+        return F.when(~american & ~bare, move(n)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), move(n), more))
+
+    def written(n: Column) -> Column:
+        form = lambda p: F.date_format(calendar(n), p)
+        two = lambda x, y: F.when(bare, F.concat(form(x), mark, form(y))).otherwise(F.concat(form(x * 2), mark, form(y * 2)))
+        rest = F.when(american, two("M", "d")).otherwise(two("d", "M"))
+        return F.when(year_first, F.concat(form("yyyy"), mark, form("MM"), mark, form("dd"))).otherwise(F.concat(rest, mark, form("yyyy")))
+
+    return let(F.datediff(day, start).cast("long"), lambda n: F.when(n.between(0, DAY_HALF**2 - 1), let(moved(n), written)))
+
+
+def _iban(value: Column, key: str, back: bool) -> Column:
+    """The account is permuted by its kinds of characters; the check digits follow from it and the country."""
+    plain = F.regexp_replace(value, " ", "")
+
+    def rest(text: Column) -> Column:
+        """A number of digits and letters (as two digits each) modulo 97."""
+
+        def step(r: Column, i: Column) -> Column:
+            c = F.substring(text, i, F.lit(1))
+            return F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)
+
+    check = lambda account, country: F.lpad((98 - let(F.concat(account, country, F.lit("00")), rest)).cast("string"), 2, "0")
+
+    def moved(v: Column) -> Column:
+        country, account = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v) - 4)
+        letters = F.lower(F.regexp_replace(account, "[0-9]", ""))
+        digits = F.regexp_replace(account, "[A-Z]", "")
+        shape = F.concat_ws("|", F.lit("iban"), country, F.regexp_replace(F.regexp_replace(account, "[A-Z]", "A"), "[0-9]", "0"))
+        new = let(
+            F.struct(F.upper(_letters(letters, key, shape, back)).alias("l"), _digits(digits, key, "iban", back).alias("d")),
+            lambda p: _refill(_refill(F.regexp_replace(F.regexp_replace(account, "[A-Z]", "a"), "[0-9]", "#"), p["l"], "a"), p["d"], "#"),
+        )
+        told = let(new, lambda n: F.concat(country, check(n, country), n))
+        right = F.substring(v, 3, 2) == check(account, country)
+        return F.when(right & F.length(v).between(15, 34), let(told, lambda t: _refill(value, t, "[A-Z0-9]")))
+
+    return let(plain, moved)
+
+
+def _ipv6(value: Column, key: str, back: bool) -> Column:
+    """All digits, in the same groups. Groups and gap must make up eight."""
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    shape = F.concat_ws("|", F.lit("ipv6"), F.regexp_replace(F.lower(value), "[0-9a-f]", "0"))
+    digits = F.lower(F.regexp_replace(value, ":", ""))
+    gaps = F.size(F.split(value, "::")) - 1
+    valid = F.when(gaps == 0, groups == 8).otherwise((gaps == 1) & groups.between(1, 7))
+    new = _refill(F.lower(value), _letters(digits, key, shape, back, "0123456789abcdef"), "[0-9a-f]")
+    return F.when(valid, F.when(value == F.lower(value), new).otherwise(F.when(value == F.upper(value), F.upper(new))))
 
 
 def _ip(value: Column, key: str, back: bool) -> Column:
