@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
+from riskloom.operators.boosting import BoostedTrees
 from riskloom.schemas import FEATURES
 
 #: Nodes of a model that is broadcast; about 100 bytes each.
 MAX_NODES = 2_000_000
+#: Features of a path up to which a leaf's impacts are kept for every set of bounds that are met; rows handled at once.
+TABLED, PIECE = 8, 2048
 
 
 def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], means: Mapping[str, float]) -> DataFrame:
@@ -35,50 +39,91 @@ def logistic_contributions(df: DataFrame, model, names: Sequence[str] = FEATURES
     return linear_contributions(df, usable, dict(zip(names, map(float, mean))))
 
 
-def tree_table(path: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and tree weights of a saved Spark ML tree ensemble (its own storage format)."""
-    spark = df.sparkSession
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+def saved_tree_nodes(path: str, spark: SparkSession) -> pd.DataFrame:
+    """Nodes (tree, id, left, right, feature, threshold, value, cover) of a tree ensemble that Spark ML has saved."""
+    data = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights").select("treeID", "weights")
-    return nodes, weights
+    inner = F.col("leftChild") >= 0
+    value = F.when(inner, 0.0).otherwise(F.col("prediction") * F.coalesce("weights", F.lit(1.0)))
+    nodes = data.join(weights, "treeID", "left").select(
+        F.col("treeID").alias("tree"), "id", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
+        F.when(inner, F.col("split.featureIndex")).otherwise(-1).alias("feature"), F.coalesce(F.get("split.leftCategoriesOrThreshold", 0), F.lit(0.0)).alias("threshold"),
+        value.alias("value"), F.col("rawCount").cast("double").alias("cover"))
+    return _bounded(nodes).toPandas()
 
 
-def _leaves(nodes: pd.DataFrame, weights: dict[int, float]) -> list[tuple]:
-    """Per leaf: features, lower and upper bounds and cover shares of its path, and its weighted value."""
+def _bounded(nodes: DataFrame) -> DataFrame:
+    if nodes.count() > MAX_NODES:
+        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
+    return nodes
+
+
+def boosted_nodes(model: BoostedTrees) -> pd.DataFrame:
+    """The same columns of boosted trees, whose nodes are numbered as in a heap."""
+    if len(model.nodes) > MAX_NODES:
+        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
+    return model.nodes.assign(left=2 * model.nodes["id"] + 1, right=2 * model.nodes["id"] + 2)
+
+
+def expected_value(nodes: pd.DataFrame) -> float:
+    """The base that contributions are measured from: each tree's value, averaged over its nodes by cover."""
+    total = 0.0
+    for _, part in nodes.groupby("tree"):
+        value = {r.id: (r.value, r.cover) for r in part.itertuples()}
+        for r in sorted(part.itertuples(), key=lambda r: -r.id):
+            if r.feature >= 0:
+                (a, m), (b, n) = value[r.left], value[r.right]
+                value[r.id] = ((a * m + b * n) / max(m + n, 1e-300), r.cover)
+        total += value[0][0]
+    return total
+
+
+class Leaf(NamedTuple):
+    """Bounds that a leaf's path puts on its features, and their impacts for every set of bounds that a row may meet."""
+
+    features: list[int]
+    low: np.ndarray
+    high: np.ndarray
+    impacts: np.ndarray | None  #: 2^features rows; None of a leaf with more features than TABLED
+    share: np.ndarray
+    value: float
+
+
+def _leaves(nodes: pd.DataFrame) -> list[Leaf]:
     leaves = []
-    for tree, part in nodes.groupby("treeID"):
+    for _, part in nodes.groupby("tree"):
         node = {r.id: r for r in part.itertuples()}
         stack = [(0, {})]
         while stack:
             at, path = stack.pop()
             n = node[at]
-            if n.leftChild < 0:
+            if n.feature < 0:
                 if path:
-                    low, high, share = (np.array(v) for v in zip(*path.values()))
-                    leaves.append((list(path), low, high, share, n.prediction * weights.get(tree, 1.0)))
+                    low, high, share = (np.array(v) for v in zip(*path.values(), strict=True))
+                    m = len(path)
+                    met = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).T.astype(float) if m <= TABLED else None
+                    impacts = None if met is None else _impacts(met, share, n.value).T
+                    leaves.append(Leaf(list(path), low, high, impacts, share, n.value))
                 continue
-            feature, threshold = n.split["featureIndex"], n.split["leftCategoriesOrThreshold"][0]
-            for child, is_left in ((n.leftChild, True), (n.rightChild, False)):
-                low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-                low, high = (low, min(high, threshold)) if is_left else (max(low, threshold), high)
-                cover = node[child].rawCount / max(n.rawCount, 1)
-                stack.append((child, {**path, feature: (low, high, share * cover)}))
+            covers = [node[c].cover for c in (n.left, n.right)]
+            for child, cover, is_left in ((n.left, covers[0], True), (n.right, covers[1], False)):
+                low, high, share = path.get(n.feature, (-np.inf, np.inf, 1.0))
+                low, high = (low, min(high, n.threshold)) if is_left else (max(low, n.threshold), high)
+                stack.append((child, {**path, n.feature: (low, high, share * cover / max(sum(covers), 1e-300))}))
     return leaves
 
 
-def _leaf_impacts(x: np.ndarray, leaf: tuple) -> np.ndarray:
-    """Shapley values of one leaf's features for all rows (features by rows), path-dependent.
+def _impacts(met: np.ndarray, share: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values of one leaf's features (features by cases), path-dependent.
 
     With o = 1 where a row meets a feature's bounds and z the cover share, a feature gets value * (o - z) times the
     mean over all orders of the product of the other features' o or z. That mean is the integral over t in [0, 1] of
     the product of z + (o - z) t, a polynomial, which Gauss-Legendre points give exactly.
     """
-    features, low, high, share, value = leaf
-    met = ((x[features] > low[:, None]) & (x[features] <= high[:, None])).astype(float)
-    gain, m = met - share[:, None], len(features)
+    gain, m = met - share[:, None], len(share)
     points, weights = np.polynomial.legendre.leggauss(max(1, (m + 1) // 2))
     total = np.zeros_like(met)
-    for t, w in zip((points + 1) / 2, weights / 2):
+    for t, w in zip((points + 1) / 2, weights / 2, strict=True):
         term = share[:, None] + gain * t
         before, after = np.ones_like(term), np.ones_like(term)
         before[1:] = np.cumprod(term[:-1], axis=0)
@@ -87,17 +132,32 @@ def _leaf_impacts(x: np.ndarray, leaf: tuple) -> np.ndarray:
     return value * gain * total
 
 
-def tree_contributions(df: DataFrame, path: str, names: Sequence[str] = FEATURES) -> DataFrame:
-    """Tree SHAP of a saved tree ensemble, in margin units, as an array of (feature, impact).
-
-    What is broadcast has a row for each leaf and feature on its path, so its size is the model's alone; a model of
-    more nodes than ``MAX_NODES`` is refused. Rows are handled in Arrow batches.
+def _add(out: np.ndarray, x: np.ndarray, leaf: Leaf) -> None:
+    """Add a leaf's impacts for all rows (features by rows)."""
+    if leaf.impacts is None:
+        met = ((x[leaf.features] > leaf.low[:, None]) & (x[leaf.features] <= leaf.high[:, None])).astype(float)
+        out[leaf.features] += _impacts(met, leaf.share, leaf.value)
+        return
+    case = np.zeros(x.shape[1], np.int64)
+    for k, f in enumerate(leaf.features):
+        if leaf.low[k] == -np.inf:
+            met = x[f] <= leaf.high[k]
+        elif leaf.high[k] == np.inf:
+            met = x[f] > leaf.low[k]
+        else:
+            met = (x[f] > leaf.low[k]) & (x[f] <= leaf.high[k])
+        case |= met.astype(np.int64) << k
+    for k, f in enumerate(leaf.features):
+        out[f] += leaf.impacts[:, k].take(case)
+
+
+def tree_contributions(df: DataFrame, nodes: pd.DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Tree SHAP of an ensemble (``boosted_nodes`` or ``saved_tree_nodes``), in margin units, as an array of (feature, impact).
+
+    What is broadcast has a row for each leaf and set of bounds on its path, so its size is the model's alone; a model
+    of more nodes than ``MAX_NODES`` is refused. Rows are handled in pieces of Arrow batches.
     """
-    nodes, weights = tree_table(path, df)
-    if nodes.count() > MAX_NODES:
-        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
-    tree_weight = {r["treeID"]: r["weights"] for r in weights.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(_leaves(nodes.toPandas(), tree_weight))
+    shared = df.sparkSession.sparkContext.broadcast(_leaves(nodes))
     width = len(names)
 
     @F.pandas_udf("array<double>")
@@ -105,8 +165,12 @@ def tree_contributions(df: DataFrame, path: str, names: Sequence[str] = FEATURES
         for columns in batches:
             x = np.array([c.to_numpy(dtype=float) for c in columns])
             out = np.zeros((width, x.shape[1]))
-            for leaf in shared.value:
-                out[leaf[0]] += _leaf_impacts(x, leaf)
+            for start in range(0, x.shape[1], PIECE):
+                rows = np.ascontiguousarray(x[:, start : start + PIECE])
+                part = np.zeros_like(rows)
+                for leaf in shared.value:
+                    _add(part, rows, leaf)
+                out[:, start : start + PIECE] = part
             yield pd.Series(list(out.T))
 
     values = shap(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])

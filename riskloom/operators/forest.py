@@ -22,6 +22,8 @@ from riskloom.session import materialise
 
 NODES = "tree int, node int, feature int, threshold double, left_node int, right_node int, path double, n_rows long"
 EULER = 0.5772156649015329
+#: Draws are taken modulo this.
+PRIME = 1_000_003
 
 
 def expected_path(n):
@@ -70,11 +72,11 @@ def isolation_forest_fit(df: DataFrame, id_column: str = "transaction_id", featu
     points = df.select(F.col(id_column).alias("id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
     total = points.count()
     share = min(1.0, tree_rows / max(total, 1))
-    # A row joins a tree by a hash of (id, tree): reproducible after a lost executor, no random state.
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    members = points.select(F.explode(drawn).alias("tree"), "id", *names)
+    # A row joins a tree by two numbers from a hash of its id: reproducible after a lost executor, no random state.
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    number = lambda k: F.conv(F.substring("digest", k, 7), 16, 10).cast("long")
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (number(1) + number(8) * t) % PRIME < F.lit(int(share * PRIME)))
+    members = points.withColumn("digest", digest).select(F.explode(drawn).alias("tree"), "id", *names)
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("id")[names].to_numpy(dtype=float)

@@ -1,16 +1,18 @@
-"""Classifiers on Spark ML: distributed fit, transform as a column operation."""
+"""Classifiers: linear and forest baselines on Spark ML, and the boosted champion of ``boosting``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators import boosting
+from riskloom.operators.boosting import BoostedTrees
 from riskloom.schemas import FEATURES
 
 SEED = 42
@@ -65,22 +67,19 @@ def random_forest_baseline(train: DataFrame, names: Sequence[str] = FEATURES, tr
     return Pipeline(stages=[_assembler(names), fit]).fit(weighted)
 
 
-def boosted_champion(train: DataFrame, names: Sequence[str] = FEATURES, trees: int = 150, depth: int = 6,
-                     step: float = 0.05, positive_weight: float | None = None) -> PipelineModel:
-    """Gradient-boosted trees; positives weigh n_neg / n_pos unless given."""
-    pos, neg = class_totals(train)
-    weight = neg / max(pos, 1) if positive_weight is None else positive_weight
-    fit = GBTClassifier(featuresCol="raw_vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
-                        stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=SEED)
-    return Pipeline(stages=[_assembler(names), fit]).fit(_weighted(train, weight, 1.0))
+def boosted_champion(train: DataFrame, names: Sequence[str] = FEATURES, valid: DataFrame | None = None, **params) -> BoostedTrees:
+    """Second-order boosting with penalties; positives weigh n_neg / n_pos unless given. See ``boosting.fit``."""
+    return boosting.fit(train, names, valid, **params)
 
 
 def probability(column: str = "probability") -> Column:
     return vector_to_array(F.col(column))[1]
 
 
-def score_with(model: PipelineModel, rows: DataFrame, output: str = "raw_score") -> DataFrame:
+def score_with(model: PipelineModel | BoostedTrees, rows: DataFrame, output: str = "raw_score") -> DataFrame:
     """Rows plus the fraud probability; intermediate vectors dropped."""
+    if isinstance(model, BoostedTrees):
+        return model.score(rows, output)
     out = model.transform(rows).withColumn(output, probability())
     return out.select(*rows.columns, output)
 
@@ -89,20 +88,28 @@ def predict(df: DataFrame, score: str, threshold: float = 0.5) -> DataFrame:
     return df.withColumn("predicted_fraud", F.col(score) >= F.lit(float(threshold)))
 
 
-def feature_importance(model: PipelineModel, names: Sequence[str] = FEATURES) -> DataFrame:
-    """Importance (or |coefficient|) per feature, largest first. One row per feature."""
-    from pyspark.sql import SparkSession
-
-    last = model.stages[-1]
-    values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    rows = [(n, float(v), abs(float(v))) for n, v in zip(names, values.toArray())]
+def feature_importance(model: PipelineModel | BoostedTrees, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Importance (gain, impurity or |coefficient|) per feature, largest first. One row per feature."""
+    if isinstance(model, BoostedTrees):
+        values = dict(model.importance())
+    else:
+        last = model.stages[-1]
+        values = dict(zip(names, (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray(), strict=True))
+    rows = [(n, float(v), abs(float(v))) for n, v in values.items()]
     table = SparkSession.active().createDataFrame(rows, "feature string, value double, importance double")
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | BoostedTrees, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_champion(spark: SparkSession, path: str) -> BoostedTrees:
+    return BoostedTrees.load(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import rounded
-from riskloom.operators import attribution, calibration, explore, forest, history, models, split, store
+from riskloom.operators import attribution, boosting, calibration, explore, forest, history, models, split, store
 from riskloom.plans import oracles as o
 from riskloom.plans import training
 from riskloom.plans.catalog import A1_SQL, query, scored, sel, txn
@@ -43,16 +43,7 @@ def forest_model(spark, sf):
 
 
 def champion(spark, sf):
-    return fitted(spark, sf, "champion", lambda: models.boosted_champion(part(spark, sf, "train")))
-
-
-def champion_path(spark, sf) -> str:
-    def build():
-        path = scratch_path(spark, "champion")
-        models.save_model(champion(spark, sf), path)
-        return path
-
-    return fitted(spark, sf, "champion_path", build)
+    return fitted(spark, sf, "champion", lambda: models.boosted_champion(part(spark, sf, "train"), valid=part(spark, sf, "val"), patience=training.PATIENCE))
 
 
 def isolation(spark, sf) -> forest.IsolationForest:
@@ -131,6 +122,60 @@ def _(spark, sf):
     return models.score_with(champion(spark, sf), part(spark, sf, "test")).select("transaction_id", "label", "raw_score")
 
 
+# What the small model of the next entry is fitted with. --------------------------------
+SMALL = ["amount", "hour_of_day", "txn_count_24h", "is_new_device", "unique_merchants_24h", "time_since_prev_txn", "device_customer_count", "merchant_risk_score"]
+SMALL_STEP, SMALL_PENALTIES = 0.3, boosting.Penalties(gamma=0.0, l1=0.05, l2=1.0, min_child_weight=3.0)
+# ---------------------------------------------------------------------------------------------------
+
+
+def _boosted_sql() -> str:
+    """Two trees of two levels, grown in SQL by going through all thresholds of all nodes."""
+    score = lambda g, h: f"(power(greatest(abs({g}) - {SMALL_PENALTIES.l1}::DOUBLE, 0), 2) / ({h} + {SMALL_PENALTIES.l2}::DOUBLE))"
+    value = f"-{SMALL_STEP}::DOUBLE * sign(g) * greatest(abs(g) - {SMALL_PENALTIES.l1}::DOUBLE, 0) / (h + {SMALL_PENALTIES.l2}::DOUBLE)"
+    ranks = ", ".join(f"{k / 8}" for k in range(1, 8))
+    parts = [
+        o.FEAT, o.SPLIT.removeprefix(o.TXN).lstrip(",\n "),
+        f"""base AS MATERIALIZED (SELECT transaction_id AS id, parts.is_fraud::INT AS y, ('0x' || substr(md5(transaction_id), 1, 7))::BIGINT % 1000003 AS draw,
+              {', '.join(f'coalesce(feat.{n}::DOUBLE, 0) AS x{k}' for k, n in enumerate(SMALL))} FROM feat JOIN parts USING (transaction_id) WHERE split = 'train')""",
+        "wt AS (SELECT sum(1 - y) / sum(y)::DOUBLE AS pw FROM base)",
+        "u AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id, {k} AS f, x{k} AS x FROM base" for k in range(len(SMALL))) + ")",
+        f"cut AS MATERIALIZED (SELECT DISTINCT f, thr FROM (SELECT f, max(x) AS top, unnest(quantile_disc(x, [{ranks}])) AS thr FROM u GROUP BY f) WHERE thr < top)",
+    ]
+    margin = "0.0::DOUBLE"
+    found = []
+    for t in range(2):
+        source = "base, wt" if t == 0 else f"base JOIN leaf{t - 1} USING (id), wt"
+        margin = "0.0::DOUBLE" if t == 0 else f"leaf{t - 1}.m"
+        parts.append(f"g{t} AS MATERIALIZED (SELECT id, 0 AS node, {margin} AS m, draw * {t + 1} % 1000003 < 0.8::DOUBLE * 1000003 AS own, "
+                     f"CASE WHEN y = 1 THEN pw ELSE 1 END AS w, y, 1 / (1 + exp(-{margin})) AS p FROM {source})")
+        parts.append(f"a{t}_0 AS MATERIALIZED (SELECT id, node, m, own, w * (p - y) AS g, w * p * (1 - p) AS h FROM g{t})")
+        for d in range(2):
+            rows, best = f"a{t}_{d}", f"b{t}_{d}"
+            parts.append(f"""s{t}_{d} AS (SELECT node, f, thr, sum(g) AS g, sum(h) AS h, sum(CASE WHEN x <= thr THEN g ELSE 0 END) AS gl, sum(CASE WHEN x <= thr THEN h ELSE 0 END) AS hl
+                FROM {rows} JOIN u USING (id) JOIN cut USING (f) WHERE own GROUP BY node, f, thr)""")
+            parts.append(f"""{best} AS MATERIALIZED (SELECT node, f, thr, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 5) DESC, f, thr) AS k
+                FROM (SELECT *, {score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')} AS gain FROM s{t}_{d} WHERE hl >= 3 AND h - hl >= 3)) WHERE k = 1 AND gain > 1e-6)""")
+            parts.append(f"""a{t}_{d + 1} AS MATERIALIZED (SELECT id, CASE WHEN b.node IS NULL THEN r.node WHEN x <= thr THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node, m, own, g, h
+                FROM {rows} r LEFT JOIN {best} b USING (node) LEFT JOIN u ON u.id = r.id AND u.f = b.f)""".replace("SELECT id,", "SELECT r.id,"))
+            found.append(f"SELECT {t} AS tree, node AS id, ['{"', '".join(SMALL)}'][f + 1] AS feature, thr AS threshold, gain, 0.0::DOUBLE AS value FROM {best}")
+        parts.append(f"v{t} AS (SELECT node, {value} AS value FROM (SELECT node, sum(g) FILTER (own) AS g, sum(h) FILTER (own) AS h FROM a{t}_2 GROUP BY node))")
+        parts.append(f"leaf{t} AS MATERIALIZED (SELECT id, m + value AS m FROM a{t}_2 JOIN v{t} USING (node))")
+        found.append(f"SELECT {t} AS tree, node AS id, NULL AS feature, 0.0::DOUBLE AS threshold, 0.0::DOUBLE AS gain, value FROM v{t}")
+    return f"WITH {', '.join(parts)} SELECT tree::INT AS tree, id::INT AS id, feature, threshold, {o.r('gain', 3)} AS gain, {o.r('value', 6)} AS value FROM ({' UNION ALL '.join(found)})"
+
+
+@query("M4_boosted_trees", _boosted_sql())
+def _(spark, sf):
+    """Splits, gains and leaf values of the first trees of a small model."""
+    train = part(spark, sf, "train")
+    ranks = ", ".join(f"{k / 8}D" for k in range(1, 8))
+    at = train.agg(*[F.expr(f"array({', '.join(f'percentile_disc({r}) WITHIN GROUP (ORDER BY {n})' for r in ranks.split(', '))})").alias(n) for n in SMALL], *[F.max(n).alias(f"top_{n}") for n in SMALL]).first()
+    edges = [sorted({x for x in at[n] if x < at[f"top_{n}"]}) for n in SMALL]
+    model = boosting.fit(train, SMALL, trees=2, depth=2, step=SMALL_STEP, features=1.0, penalties=SMALL_PENALTIES, edges=edges)
+    named = F.get(F.array(*[F.lit(n) for n in SMALL]), F.when(F.col("feature") >= 0, F.col("feature")))
+    return model.table(spark).select("tree", "id", named.alias("feature"), "threshold", rounded(F.col("gain"), 3).alias("gain"), rounded(F.col("value"), 6).alias("value"))
+
+
 @query("M5_predict", sel(o.TXN, "transaction_id, p_raw >= 0.5 AS predicted_fraud", "txn"))
 def _(spark, sf):
     return models.predict(txn(spark, sf), "p_raw").select("transaction_id", "predicted_fraud")
@@ -146,13 +191,20 @@ def _(spark, sf):
     return models.feature_importance(logistic(spark, sf))
 
 
-@query("M7_isolation_forest_fit", f"WITH {o.SPLIT}, n AS (SELECT count(*) AS n FROM parts WHERE split = 'train') SELECT CAST(t AS INTEGER) AS tree, true AS two_children, n.n > 0 AND true AS near_tree_rows, true AS rows_add_up FROM (SELECT unnest(range(120)) AS t), n")
+_HEX = "('0x' || substr(md5(transaction_id || ':42'), {}, 7))::BIGINT"
+_DRAWN = f"""{o.SPLIT}, h AS (SELECT {_HEX.format(1)} AS a, {_HEX.format(8)} AS b, CAST(floor(least(1, 256 / count(*) OVER ()::DOUBLE) * 1000003) AS BIGINT) AS most FROM parts WHERE split = 'train')"""
+
+
+@query("M7_isolation_forest_fit", f"WITH {_DRAWN} SELECT t::INT AS tree, count(*) AS n_rows, count(*) AS in_leaves, 0 AS one_child, ceil(log2(count(*)))::INT AS most_depth "
+       "FROM h, (SELECT unnest(range(120)) AS t) WHERE (a + b * t) % 1000003 < most GROUP BY t")
 def _(spark, sf):
-    """Per tree: a binary tree, grown on about 256 rows, whose leaves hold all of them."""
-    shape = isolation(spark, sf).nodes.groupBy("tree").agg(
-        F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"), F.max("n_rows").alias("n"),
-        F.sum(F.when(F.col("feature") < 0, F.col("n_rows"))).alias("in_leaves"))
-    return shape.select("tree", (F.col("nodes") == 2 * F.col("leaves") - 1).alias("two_children"), F.col("n").between(156, 356).alias("near_tree_rows"), (F.col("in_leaves") == F.col("n")).alias("rows_add_up"))
+    """Per tree: the rows it was grown on, those in its leaves, inner nodes without two children, and the depth it may have."""
+    nodes = isolation(spark, sf).nodes
+    leaf = F.col("feature") < 0
+    shape = nodes.groupBy("tree").agg(
+        F.max("n_rows").alias("n_rows"), F.sum(F.when(leaf, F.col("n_rows"))).alias("in_leaves"),
+        (F.count("*") - 2 * F.count_if(leaf) + 1).cast("int").alias("one_child"))
+    return shape.withColumn("most_depth", F.ceil(F.log2("n_rows")).cast("int"))
 
 
 @query("M8_isolation_forest_score")
@@ -183,14 +235,13 @@ def _(spark, sf):
 
 @query("M10_tree_attribution", f"WITH {o.SPLIT} SELECT transaction_id, 0.0::DOUBLE AS difference FROM parts WHERE split = 'test'")
 def _(spark, sf):
-    """Contributions add up to the margin less its base, which is one number for all rows."""
-    path = training.champion_tree_path(spark, champion_path(spark, sf))
+    """Contributions add up to the margin less the nodes' cover-weighted mean."""
     scored = models.score_with(champion(spark, sf), part(spark, sf, "test"))
-    out = attribution.tree_contributions(scored, path)
-    margin = F.log(F.col("raw_score") / (1.0 - F.col("raw_score"))) / 2.0
-    gap = margin - F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["impact"])
-    rows = materialise(out.select("transaction_id", gap.alias("gap")), "attribution")
-    return rows.withColumn("base", rows.agg(F.min("gap")).scalar()).select("transaction_id", rounded(F.col("gap") - F.col("base"), 5).alias("difference"))
+    out = attribution.tree_contributions(scored, attribution.boosted_nodes(champion(spark, sf)))
+    margin = F.log(F.col("raw_score") / (1.0 - F.col("raw_score")))
+    base = attribution.expected_value(attribution.boosted_nodes(champion(spark, sf)))
+    gap = margin - base - F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["impact"])
+    return out.select("transaction_id", rounded(gap, 5).alias("difference"))
 
 
 _TOP = " UNION ALL ".join(f"SELECT transaction_id, '{n}' AS feature, {v} AS impact FROM feat" for n, v in _CONTRIB.items())
@@ -288,7 +339,7 @@ def _(spark, sf):
     def build():
         val = models.score_with(champion(spark, sf), part(spark, sf, "val"))
         calibrator = calibration.isotonic_fit(val, "raw_score")
-        return training.Scorer(champion(spark, sf), champion_path(spark, sf), calibrator, isolation(spark, sf))
+        return training.Scorer(champion(spark, sf), calibrator, isolation(spark, sf))
 
     scorer = fitted(spark, sf, "scorer", build)
     out = score_transactions(txn(spark, sf), scorer, star.customers(spark, sf))

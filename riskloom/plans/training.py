@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import calibration, evaluate, forest, history, models, split
-from riskloom.operators.attribution import tree_contributions, with_top_drivers
-from riskloom.session import materialise, scratch_path
+from riskloom.operators.attribution import boosted_nodes, tree_contributions, with_top_drivers
+from riskloom.operators.boosting import BoostedTrees
+from riskloom.session import materialise
+
+#: Trees without a lower loss on the validation part after which the champion is done.
+PATIENCE = 10
 
 
 def training_table(txn: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -36,8 +39,7 @@ def leaderboard(scored: dict[str, DataFrame], label: str = "label", score: str =
 class Scorer:
     """Fitted models as one function: features in, model outputs added."""
 
-    champion: PipelineModel
-    champion_path: str
+    champion: BoostedTrees
     calibrator: object
     anomalies: forest.IsolationForest
     explain: bool = True
@@ -47,29 +49,13 @@ class Scorer:
         scored = calibration.isotonic_apply(self.calibrator, scored, "raw_score")
         scored = forest.isolation_forest_score(self.anomalies, scored)
         if self.explain:
-            tree_path = f"{self.champion_path}/stages/{_last_stage(features.sparkSession, self.champion_path)}"
-            scored = with_top_drivers(tree_contributions(scored, tree_path)).drop("contributions")
+            scored = with_top_drivers(tree_contributions(scored, boosted_nodes(self.champion), self.champion.names)).drop("contributions")
         return scored
 
 
-def _last_stage(spark: SparkSession, path: str) -> str:
-    """Folder name of the last stage of a saved pipeline."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stages")
-    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
-    return max(names, key=lambda n: int(n.split("_")[0]))
-
-
-def champion_tree_path(spark: SparkSession, path: str) -> str:
-    return f"{path}/stages/{_last_stage(spark, path)}"
-
-
-def train_scorer(table: DataFrame, label: str, explain: bool = True, **params) -> Scorer:
-    """Champion on train, isotonic calibration on val, isolation forest on train."""
-    spark = table.sparkSession
+def train_scorer(table: DataFrame, explain: bool = True, **params) -> Scorer:
+    """Champion on train, stopped early on val; isotonic calibration on val; isolation forest on train."""
     train, val = part(table, "train"), part(table, "val")
-    champion = models.boosted_champion(train, **params)
-    path = scratch_path(spark, label)
-    models.save_model(champion, path)
+    champion = models.boosted_champion(train, valid=val, **{"patience": PATIENCE} | params)
     calibrator = calibration.isotonic_fit(models.score_with(champion, val), "raw_score")
-    anomalies = forest.isolation_forest_fit(train)
-    return Scorer(champion, path, calibrator, anomalies, explain)
+    return Scorer(champion, calibrator, forest.isolation_forest_fit(train), explain)

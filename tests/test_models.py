@@ -1,11 +1,13 @@
 """Fitted models on a separable problem, isolation forest and tree attribution."""
 
+import itertools
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import attribution, evaluate, forest, models
-from riskloom.plans import training
 from riskloom.session import scratch_path
 
 NAMES = ["amount", "txn_count_1h", "customer_amount_zscore"]
@@ -33,18 +35,64 @@ def test_models_reach_the_floor(table):
 
 def test_champion_and_attribution_add_up(spark, table):
     champion = models.boosted_champion(table, NAMES, trees=8, depth=3, step=0.3)
-    assert auc(models.score_with(champion, table)) >= 0.94
-    path = scratch_path(spark, "test-champion")
-    models.save_model(champion, path)
-    tree_path = training.champion_tree_path(spark, path)
-    out = attribution.tree_contributions(table, tree_path, NAMES)
-    margin = F.udf(lambda v: float(v[1]), "double")
-    raw = champion.transform(table).select("transaction_id", margin("rawPrediction").alias("margin"))
+    scored = models.score_with(champion, table)
+    assert auc(scored) >= 0.94
+    nodes = attribution.boosted_nodes(champion)
+    out = attribution.tree_contributions(scored, nodes, NAMES)
     total = F.aggregate("contributions.impact", F.lit(0.0), lambda a, x: a + x)
-    both = out.select("transaction_id", total.alias("total")).join(raw, "transaction_id").toPandas()
-    base = (both["margin"] / 2 - both["total"])  # Spark's raw prediction is twice the tree sum
-    base_alt = both["margin"] - both["total"]
-    assert min(base.std(), base_alt.std()) < 1e-9
+    margin = F.log(F.col("raw_score") / (1 - F.col("raw_score")))
+    base = out.select((margin - total).alias("base")).toPandas()["base"]
+    assert np.allclose(base, attribution.expected_value(nodes), atol=1e-9)
+
+
+def test_attribution_of_a_saved_forest(spark, table):
+    model = models.random_forest_baseline(table, NAMES, 5, 4)
+    path = scratch_path(spark, "test-forest")
+    models.save_model(model, path)
+    nodes = attribution.saved_tree_nodes(f"{path}/stages/{[d for d in sorted(os.listdir(path.removeprefix('file:') + '/stages')) if 'Random' in d][0]}", spark)
+    rows = table.limit(40)
+    shared = attribution.tree_contributions(rows, nodes, NAMES).select(*NAMES, "contributions.impact").toPandas()
+
+    def expected(tree, x, known):
+        node = {r.id: r for r in tree.itertuples()}
+
+        def go(k):
+            n = node[k]
+            if n.feature < 0:
+                return n.value
+            if n.feature in known:
+                return go(n.left if x[n.feature] <= n.threshold else n.right)
+            a, b = node[n.left].cover, node[n.right].cover
+            return (a * go(n.left) + b * go(n.right)) / (a + b)
+
+        return go(0)
+
+    for r in shared.itertuples():
+        x = [getattr(r, n) for n in NAMES]
+        want = np.zeros(3)
+        for order in itertools.permutations(range(3)):
+            for k, f in enumerate(order):
+                want[f] += sum(expected(t, x, order[: k + 1]) - expected(t, x, order[:k]) for _, t in nodes.groupby("tree")) / 6
+        assert np.allclose(want, r.impact)
+
+
+def test_wide_leaves_are_the_same_with_and_without_tables(monkeypatch):
+    rng = np.random.default_rng(4)
+    met = rng.integers(0, 2, (6, 50)).astype(float)
+    share = rng.uniform(0.1, 0.9, 6)
+    x = np.where(met == 1, 0.0, 1.0)
+    for bits in (6, 5):
+        monkeypatch.setattr(attribution, "TABLED", bits)
+        nodes, left = [], 1.0
+        for k in range(6):
+            nodes += [(0, k, k + 10, k + 1 if k < 5 else 99, k, 0.5, 0.0, left), (0, k + 10, -1, -1, -1, 0.0, 0.0, left * (1 - share[k]))]
+            left *= share[k]
+        chain = attribution.pd.DataFrame(nodes + [(0, 99, -1, -1, -1, 0.0, 2.0, left)], columns=["tree", "id", "left", "right", "feature", "threshold", "value", "cover"])
+        chain[["left", "right"]] = chain[["right", "left"]]  # x = 0 goes on
+        out = np.zeros((6, 50))
+        for leaf in attribution._leaves(chain):
+            attribution._add(out, x, leaf)
+        assert np.allclose(out, attribution._impacts(met, share, 2.0))
 
 
 def test_isolation_forest_finds_outliers(spark, table):
