@@ -12,6 +12,7 @@ from riskloom.schemas import RAW_EVENT
 from riskloom.session import materialise, scratch_path
 from riskloom.sources import star
 from riskloom.streaming import events, pipeline
+from riskloom.streaming.state import latest_rows, stream_device_features
 
 FIELDS = [f.name for f in RAW_EVENT.fields]
 
@@ -112,14 +113,27 @@ def _(spark, sf):
     return spark.read.parquet(layout.at("customer_features")).select("transaction_id", *COLD_START)
 
 
+@query("Z4_stream_late_rows", sel(_plain_feat(), f"transaction_id, {_HIST}", "feat"))
+def _(spark, sf):
+    """Rows that arrive in any order within the watermark: the highest versions are the features of the ordered table."""
+    layout = pipeline.Layout(scratch_path(spark, "stream"))
+    t = txn(spark, sf)
+    low = t.agg(F.unix_micros(F.min("timestamp"))).scalar()
+    day, late = F.floor((F.unix_micros("timestamp") - low) / 86_400_000_000), F.pmod(F.xxhash64("transaction_id"), F.lit(7)) == 0
+    # A seventh of the rows come up to ten days late.
+    part = F.floor((day + F.when(late, F.pmod(F.xxhash64("transaction_id", F.lit(1)), F.lit(10))).otherwise(0)) / 12)
+    for k in range(4):
+        as_json(t.where(part == k)).repartition(FILES).write.mode("append").text(layout.at("raw"))
+    pipeline.customer_feature_query(spark, layout, SLICE, horizon="40 days").awaitTermination()
+    return latest_rows(spark.read.parquet(layout.at("customer_features"))).select("transaction_id", *COLD_START)
+
+
 @query("Z5_stream_device_features", sel(_plain_feat(), "transaction_id, device_customer_count", "feat"))
 def _(spark, sf):
     layout = raw_topic(spark, sf)
     pipeline.use_rocksdb(spark)
     good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE)))
-    from riskloom.streaming.state import stream_device_features
-
-    pipeline._run(stream_device_features(good.drop("payload")), layout.at("out"), layout.checkpoint("out")).awaitTermination()
+    pipeline._run(stream_device_features(good.drop("payload").withWatermark("timestamp", events.DEDUPE_HORIZON)), layout.at("out"), layout.checkpoint("out")).awaitTermination()
     return spark.read.parquet(layout.at("out")).select("transaction_id", "device_customer_count")
 
 

@@ -14,7 +14,7 @@ from riskloom.operators.history import point_features
 from riskloom.plans.scoring import Scorer, decide_features, decision_rows, prediction_rows
 from riskloom.session import materialise
 from riskloom.sources.tables import append_new
-from riskloom.streaming.events import dedupe_stream, parse_events, read_stream, route_dead_letters, route_missing, write_stream
+from riskloom.streaming.events import DEDUPE_HORIZON, dedupe_stream, parse_events, read_stream, route_dead_letters, route_missing, write_stream
 from riskloom.streaming.state import stream_customer_features, stream_device_features
 
 #: What a row must carry to become a decision.
@@ -61,11 +61,12 @@ def dead_letter_query(spark: SparkSession, layout: Layout, options=None) -> Stre
     return _run(dead, layout.at("dead_letters"), layout.checkpoint("dead_letters"))
 
 
-def customer_feature_query(spark: SparkSession, layout: Layout, options=None) -> StreamingQuery:
-    """Raw events, parsed, deduplicated, with customer features, to a parquet hop."""
+def customer_feature_query(spark: SparkSession, layout: Layout, options=None, horizon: str = DEDUPE_HORIZON) -> StreamingQuery:
+    """Raw events, parsed, deduplicated, with customer features, to a parquet hop. Rows later than ``horizon`` are dropped;
+    rows that late ones within it change are stored again (see ``state.latest_rows``)."""
     use_rocksdb(spark)
     good, _ = route_dead_letters(parse_events(layout.raw(spark, options)))
-    features = stream_customer_features(point_features(dedupe_stream(good.drop("payload"))))
+    features = stream_customer_features(point_features(dedupe_stream(good.drop("payload"), horizon=horizon)))
     return _run(features, layout.at("customer_features"), layout.checkpoint("customer_features"))
 
 
@@ -76,7 +77,7 @@ def _hop(spark: SparkSession, path: str, options=None) -> DataFrame:
 
 def device_feature_query(spark: SparkSession, layout: Layout, options=None) -> StreamingQuery:
     use_rocksdb(spark)
-    hop = _hop(spark, layout.at("customer_features"), options)
+    hop = _hop(spark, layout.at("customer_features"), options).withWatermark("timestamp", DEDUPE_HORIZON)
     return _run(stream_device_features(hop), layout.at("features"), layout.checkpoint("features"))
 
 

@@ -1,16 +1,32 @@
-"""Keyed streaming state behind the history features.
-
-One operator per key kind. It reads the stored history, answers every row of the micro-batch from strictly
-earlier events, then appends the rows: a duplicate timestamp never sees its twin. The statistics it emits
-are the raw ones of ``operators.history``, which finishes them with the same column code as in batch.
-Events older than the longest window are folded into running totals, so state stays at 30 days per key.
+"""Keyed streaming state behind the history features, cut by the hour.
+
+A key's state is a head (count, sum of amounts, and per column the values last seen, of each hour that has events), the
+events of each hour, the first and last sight of every value, and the rows that may still change. A trigger whose rows
+are later than all before them reads the head, the hours at the edges of its windows and the values it holds, so a key
+with many events costs about as much as one with few. Every row is answered from strictly earlier events: rows of the
+same time never see each other. The statistics are the raw ones of ``operators.history``, which finishes them with the
+same column code as in batch.
+
+Late rows: a row that is not later than its key's last one, but within the watermark, is put in its place, and the later
+rows that it changes are emitted again with a higher ``version``; ``latest_rows`` keeps the highest. Such a trigger reads
+all hours of the key.
+
+Expiry is by event time. Hours that the watermark has left a whole horizon behind (30 days for customers, one for
+devices) are folded into totals. ``idle_days`` forgets a customer altogether so long after the last event: the next one
+finds a new customer, whether or not the timer has fired before, so a replay gives the same rows. A device that adds
+nothing for a day leaves no state.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import accumulate, groupby
+from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +36,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from riskloom.functions.columns import SECOND, micros
 from riskloom.operators.history import COUNT_WINDOWS, DEVICE_WINDOW, DISTINCT_WINDOWS, NOVELTY, SUM_WINDOWS
 
-EVENT_FIELDS = ["us", "transaction_id", "cents", "lat", "lon", "merchant_id", "country", "city", "device_id"]
-EVENT_STATE = (
-    "us long, transaction_id string, cents long, lat double, lon double, merchant_id string, country string, "
-    "city string, device_id string"
-)
+HOUR_US = 3600 * SECOND
+DAY_US = 24 * HOUR_US
 HORIZON_US = max(seconds for _, seconds in DISTINCT_WINDOWS.values()) * SECOND
+EVENT_FIELDS = ["us", "transaction_id", "cents", "lat", "lon", "merchant_id", "country", "city", "device_id"]
 #: Row payloads travel as JSON with microseconds kept.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATS = T.StructType([
@@ -38,153 +52,471 @@ STATS = T.StructType([
     *[T.StructField(f"cents_{w}", T.LongType()) for w in SUM_WINDOWS],
     *[T.StructField(f"d_{n}", T.LongType()) for n in DISTINCT_WINDOWS],
     *[T.StructField(f"new_{n}", T.BooleanType()) for n in NOVELTY],
-    T.StructField("row", T.StringType()),
+    T.StructField("version", T.LongType()), T.StructField("row", T.StringType()),
 ])
 
 
-def _worth_rewriting(expired: int, held: int) -> bool:
-    """Appending is cheap; the list is rewritten only once a quarter of it has expired."""
-    return expired > 0 and expired * 4 >= held
-
+def _plain(rows: pd.DataFrame, fields: list[str]) -> list[dict]:
+    """Rows as dictionaries; absent fields are None, whatever pandas has made of them."""
+    values = rows[fields].astype(object).where(rows[fields].notna(), None).to_dict("records")
+    for v in values:
+        v["us"] = int(v["us"])
+    return values
+
+
+class Hour:
+    """The events of one hour in order of (us, transaction_id)."""
+
+    def __init__(self, events: list[list]) -> None:
+        self.events = sorted(events, key=lambda e: (e[0], e[1]))
+        self.us = [e[0] for e in self.events]
+        self._cents: list[int] | None = None
+
+    def cents_before(self, k: int) -> int:
+        if self._cents is None:
+            self._cents = [0, *accumulate(e[2] for e in self.events)]
+        return self._cents[k]
+
+
+class History:
+    """The state of the current key. ``counted`` columns have their distinct values counted in windows, ``known`` ones
+    keep the first sight of each value (null as the empty text). An event is [us, id, cents, lat, lon, *values]."""
+
+    def __init__(self, handle: StatefulProcessorHandle, counted: list[str], known: list[str], horizon_us: int) -> None:
+        self.counted, self.known, self.horizon = counted, known, horizon_us
+        self.columns = list(dict.fromkeys([*counted, *known]))
+        self.handle = handle
+        self.head_state = handle.getValueState("head", "json string")
+        self.hours_state = handle.getMapState("hours", "hour long", "events string")
+        self.seen_state = handle.getMapState("seen", "entity string", "first long, last long")
+        self.rows_state = handle.getListState("rows", "us long, transaction_id string, version long, row string")
+
+    def load(self) -> None:
+        """Read the head; all else is read when it is asked for."""
+        head = json.loads(self.head_state.get()[0]) if self.head_state.exists() else {}
+        self.older = head.get("older", {"n": 0, "cents": 0, "squares": 0, "last": None})
+        #: Per hour: events, their cents, squares, and for each counted column the values last seen then.
+        self.totals = {int(h): v for h, v in head.get("hours", {}).items()}
+        self.last, self.kept, self.timer = head.get("last"), head.get("kept"), head.get("timer")
+        self.hours: dict[int, Hour] = {}
+        self.seen: dict[tuple[str, Any], tuple[int, int] | None] = {}
+        self._order()
+
+    def _order(self) -> None:
+        self.order = sorted(self.totals)
+        width = 3 + len(self.counted)
+        self.sums = [[0, *accumulate(self.totals[h][k] for h in self.order)] for k in range(width)]
+
+    def hour(self, h: int) -> Hour:
+        if h not in self.hours:
+            self.hours[h] = Hour(json.loads(self.hours_state.getValue((h,))[0]) if h in self.totals else [])
+        return self.hours[h]
+
+    def sight(self, column: str, value: Any) -> tuple[int, int] | None:
+        """First and last time of a value."""
+        if (column, value) not in self.seen:
+            key = (_entity(column, value),)
+            found = self.seen_state.getValue(key) if self.seen_state.containsKey(key) else None
+            self.seen[column, value] = None if found is None else (int(found[0]), int(found[1]))
+        return self.seen[column, value]
+
+    def first(self, column: str, value: Any) -> int | None:
+        """First sight of a value of a known column; null and the empty text are one."""
+        sights = [self.sight(column, v) for v in ((None, "") if value in (None, "") else (value,))]
+        return min((s[0] for s in sights if s is not None), default=None)
+
+    def before(self, x: int) -> tuple[int, int]:
+        """Events before time x, and their cents."""
+        i = bisect_left(self.order, x // HOUR_US)
+        n, cents = self.older["n"] + self.sums[0][i], self.older["cents"] + self.sums[1][i]
+        if i < len(self.order) and self.order[i] == x // HOUR_US:
+            hour = self.hour(self.order[i])
+            k = bisect_left(hour.us, x)
+            n, cents = n + k, cents + hour.cents_before(k)
+        return n, cents
+
+    def squares(self) -> int:
+        return self.older["squares"] + self.sums[2][-1]
+
+    def values_since(self, column: str, x: int) -> int:
+        """Values of a counted column whose last sight is at x or later."""
+        sums = self.sums[3 + self.counted.index(column)]
+        i = bisect_right(self.order, x // HOUR_US)
+        n = sums[-1] - sums[i]
+        if i and self.order[i - 1] == x // HOUR_US:
+            hour, at = self.hour(self.order[i - 1]), 5 + self.columns.index(column)
+            sights = {(e[at], e[0]) for e in hour.events[bisect_left(hour.us, x) :] if e[at] is not None}
+            n += sum(self.sight(column, value)[1] == us for value, us in sights)
+        return n
+
+    def all_events(self) -> list[list]:
+        return [e for h in self.order for e in self.hour(h).events]
+
+    def add(self, events: list[list]) -> None:
+        """Put events in their places; ones that are there already stay as they are."""
+        for h, own in groupby(sorted(events, key=lambda e: (e[0], e[1])), key=lambda e: e[0] // HOUR_US):
+            hour = self.hour(h)
+            there = {(e[0], e[1]) for e in hour.events}
+            fresh = [e for (at, key), e in {(e[0], e[1]): e for e in own}.items() if (at, key) not in there]
+            if not fresh:
+                continue
+            self.hours[h] = Hour([*hour.events, *fresh])
+            self.hours_state.updateValue((h,), (json.dumps(self.hours[h].events, separators=(",", ":")),))
+            total = self.totals.setdefault(h, [0] * (3 + len(self.counted)))
+            total[0] += len(fresh)
+            total[1] += sum(e[2] for e in fresh)
+            total[2] += sum(e[2] ** 2 for e in fresh)
+            for k, column in enumerate(self.columns):
+                for value, found in groupby(sorted(fresh, key=lambda e: (e[5 + k] is not None, e[5 + k] or "")), key=lambda e: e[5 + k]):
+                    times = [e[0] for e in found]
+                    self._sighted(column, value, min(times), max(times))
+            if self.last is None or fresh[-1][:2] > self.last[:2]:
+                self.last = [fresh[-1][0], fresh[-1][1], fresh[-1][3], fresh[-1][4]]
+        self._order()
+
+    def _sighted(self, column: str, value: Any, low: int, high: int) -> None:
+        known = self.sight(column, value)
+        first, last = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
+        if value is not None and column in self.counted and (known is None or last != known[1]):
+            at = 3 + self.counted.index(column)
+            if known is not None and known[1] // HOUR_US in self.totals:
+                self.totals[known[1] // HOUR_US][at] -= 1
+            self.totals[last // HOUR_US][at] += 1
+        if (first, last) != known and (value is not None or column in self.known):
+            self.seen_state.updateValue((_entity(column, value),), (first, last))
+        self.seen[column, value] = (first, last)
+
+    def fold(self, before_us: int) -> None:
+        """Move the hours that end at ``before_us`` or earlier into the totals."""
+        for h in [h for h in self.order if (h + 1) * HOUR_US <= before_us]:
+            hour, total = self.hour(h), self.totals.pop(h)
+            self.older["n"] += total[0]
+            self.older["cents"] += total[1]
+            self.older["squares"] += total[2]
+            self.older["last"] = [hour.events[-1][k] for k in (0, 1, 3, 4)]
+            for k, column in enumerate(self.columns):
+                for value in {e[5 + k] for e in hour.events} if column not in self.known else ():
+                    if value is not None and (sight := self.sight(column, value)) and sight[1] // HOUR_US <= h:
+                        self.seen_state.removeKey((_entity(column, value),))
+                        self.seen[column, value] = None
+            self.hours_state.removeKey((h,))
+            self.hours.pop(h, None)
+        self._order()
+
+    def keep_rows(self, rows: list[tuple], watermark_us: int) -> None:
+        """Remember rows that may change: appending is cheap, so the list is rewritten once about a quarter may go."""
+        if rows:
+            self.rows_state.appendList(rows)
+            n, low, high = self.kept or (0, rows[0][0], rows[0][0])
+            self.kept = [n + len(rows), min(low, *(r[0] for r in rows)), max(high, *(r[0] for r in rows))]
+        if self.kept and (watermark_us - self.kept[1]) * 4 > self.kept[2] - self.kept[1]:
+            open_ = [tuple(r) for r in self.rows_state.get() if r[0] >= watermark_us]
+            if open_:
+                self.rows_state.put(open_)
+            else:
+                self.rows_state.clear()
+            self.kept = [len(open_), min(r[0] for r in open_), max(r[0] for r in open_)] if open_ else None
+
+    def open_rows(self) -> dict[str, tuple]:
+        """The last version of each row that may change, by its id."""
+        out: dict[str, tuple] = {}
+        for us, key, version, row in self.rows_state.get() if self.kept else ():
+            out[key] = (int(us), key, int(version), row)
+        return out
+
+    def wake(self, at_us: int) -> None:
+        """Set the key's one timer, in event time."""
+        at = -(-at_us // 1000)
+        if at != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(at)
+            self.timer = at
+
+    def store(self) -> None:
+        head = {"older": self.older, "hours": self.totals, "last": self.last, "kept": self.kept, "timer": self.timer}
+        self.head_state.update((json.dumps(head, separators=(",", ":")),))
+
+    def forget(self) -> None:
+        for state in (self.head_state, self.hours_state, self.seen_state, self.rows_state):
+            state.clear()
+        if self.timer is not None:
+            self.handle.deleteTimer(self.timer)
+        self.load()
+
+
+def _entity(column: str, value: Any) -> str:
+    return column if value is None else f"{column}|{value}"
+
+
+class Distinct:
+    """Distinct values of a column in the window before rows that come in order of time."""
+
+    def __init__(self, history: History, column: str, seconds: int) -> None:
+        self.history, self.column, self.width = history, column, seconds * SECOND
+        self.new: OrderedDict[Any, int] = OrderedDict()  #: last sight within the batch, the oldest first
+        self.met: set = set()
+        self.old: list[int] = []  #: last sights before the batch, of values met in it
+
+    def at(self, us: int) -> int:
+        start = us - self.width
+        while self.new and next(iter(self.new.values())) < start:
+            self.new.popitem(last=False)
+        while self.old and self.old[0] < start:
+            heappop(self.old)
+        return self.history.values_since(self.column, start) - len(self.old) + len(self.new)
+
+    def add(self, value: Any, us: int) -> None:
+        if value is None:
+            return
+        if value not in self.met:
+            self.met.add(value)
+            sight = self.history.sight(self.column, value)
+            if sight is not None and sight[1] // HOUR_US in self.history.totals:
+                heappush(self.old, sight[1])
+        self.new[value] = us
+        self.new.move_to_end(value)
 
-def _state_rows(events: pd.DataFrame) -> list[tuple]:
-    """Absent fields are nulls in the state, whatever pandas has made of them."""
-    plain = events[EVENT_FIELDS].astype(object).where(events[EVENT_FIELDS].notna(), None)
-    return [(int(e.us), e.transaction_id, int(e.cents), e.lat, e.lon, e.merchant_id, e.country, e.city, e.device_id) for e in plain.itertuples()]
 
+class _Keyed(StatefulProcessor):
+    """What both processors share: order, late rows, folding and timers."""
 
-def _number(value) -> float | None:
-    return None if pd.isna(value) else float(value)
+    fields: list[str]
+    idle_us: int | None = None  #: without an event for so long, a key starts anew
+    totals_matter = True  #: whether a key is worth keeping once all its hours are folded
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "transaction_id", "sent"], ignore_index=True)
+        batch = _plain(batch, [*self.fields, "row"])
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        history = self.history
+        history.load()
+        out: list[dict] = []
+        for part in self._parts(batch):
+            if self.idle_us is not None and history.last is not None and part[0]["us"] - history.last[0] > self.idle_us:
+                history.forget()
+            events = [self._event(r) for r in part]
+            if history.last is None or part[0]["us"] > history.last[0]:
+                found = self._in_order(part)
+                history.add(events)
+                versions = [0] * len(part)
+            else:
+                part, versions = self._changed(part)
+                history.add(events)
+                found = self._anew(part)
+            out += [{**r, **f, "version": v} for r, f, v in zip(part, found, versions, strict=True)]
+            history.keep_rows([(r["us"], r["transaction_id"], v, r["row"]) for r, v in zip(part, versions, strict=True) if r["us"] >= watermark], watermark)
+        yield self._frame(key[0], out)
+        self._tidy(watermark)
+
+    def _parts(self, batch: list[dict]) -> Iterator[list[dict]]:
+        """The batch, cut where the key has been idle for too long."""
+        start = 0
+        for k in range(1, len(batch)):
+            if self.idle_us is not None and batch[k]["us"] - batch[k - 1]["us"] > self.idle_us:
+                yield batch[start:k]
+                start = k
+        yield batch[start:]
+
+    def _changed(self, part: list[dict]) -> tuple[list[dict], list[int]]:
+        """The rows of the batch and the stored rows after its first, with their versions."""
+        held = self.history.open_rows()
+        own = {r["transaction_id"]: r for r in part}
+        later = [(us, key, version, row) for us, key, version, row in held.values() if us > part[0]["us"] and key not in own]
+        rows = [{"us": us, "transaction_id": key, "row": row, "_version": version + 1} for us, key, version, row in later]
+        rows += [{**r, "_version": held[k][2] + 1 if k in held and held[k][3] == r["row"] else 0} for k, r in own.items()]
+        rows.sort(key=lambda r: (r["us"], r["transaction_id"]))
+        return rows, [r.pop("_version") for r in rows]
+
+    def _tidy(self, watermark: int) -> None:
+        history = self.history
+        history.fold(watermark - history.horizon)
+        if history.last is not None:
+            history.wake(history.last[0] + (self._life() if history.totals else self.idle_us or self._life()))
+        history.store()
+
+    def _life(self) -> int:
+        return self.history.horizon + HOUR_US
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        history, watermark = self.history, timerValues.getCurrentWatermarkInMs() * 1000
+        history.load()
+        history.timer = None
+        if history.last is not None and self.idle_us is not None and watermark >= history.last[0] + self.idle_us:
+            history.forget()
+        elif history.last is not None:
+            history.keep_rows([], watermark)
+            history.fold(watermark - history.horizon)
+            if not history.totals and not self.totals_matter:
+                history.forget()
+                return
+            if history.totals or self.idle_us is not None:
+                history.wake(max(history.last[0] + (self.idle_us or self._life()), watermark + HOUR_US))
+            history.store()
+        return
+        yield
 
-class CustomerHistory(StatefulProcessor):
-    """Per customer: events of the last 30 days, totals of older ones, first sight of each entity.
+    def close(self) -> None:
+        pass
 
-    ``entity_days`` forgets an entity that many days after its first sight was last written (wall clock); None keeps all.
-    """
 
-    def __init__(self, entity_days: int | None = None) -> None:
-        self.entity_ttl = None if entity_days is None else entity_days * 86_400_000
+class CustomerHistory(_Keyed):
+    """Per customer: events of the last 30 days by the hour, totals of older ones, sights of each entity."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", EVENT_STATE)
-        self.older = handle.getValueState("older", "n long, cents string, squares string, us long, transaction_id string, lat double, lon double")
-        self.first_seen = handle.getMapState("first_seen", "entity string", "us long", self.entity_ttl)
+    fields = EVENT_FIELDS
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True)
-        held = pd.DataFrame(list(self.recent.get()) if self.recent.exists() else [], columns=EVENT_FIELDS)
-        old = self.older.get() if self.older.exists() else (0, "0", "0", None, None, None, None)
-        events = pd.concat([held, batch[EVENT_FIELDS]], ignore_index=True) if len(held) else batch[EVENT_FIELDS]
-        events = events.sort_values(["us", "transaction_id"], ignore_index=True)
-        batch = batch.sort_values(["us", "transaction_id"], ignore_index=True)
-
-        for name in NOVELTY.values():
-            for value, us in batch.groupby(batch[name].fillna(""))["us"].min().items():
-                known = self.first_seen.getValue((f"{name}|{value}",)) if self.first_seen.containsKey((f"{name}|{value}",)) else None
-                if known is None or us < known[0]:
-                    self.first_seen.updateValue((f"{name}|{value}",), (int(us),))
-        yield self._answer(key[0], batch, events, old)
-
-        cutoff = int(events["us"].iloc[-1]) - HORIZON_US
-        expired = events[events["us"] < cutoff]
-        if not _worth_rewriting(len(expired), len(events)):
-            self.recent.appendList(_state_rows(batch))
-            return
-        cents = [int(c) for c in expired["cents"]]
-        last = expired.iloc[-1]
-        self.older.update((
-            int(old[0]) + len(expired), str(int(old[1]) + sum(cents)), str(int(old[2]) + sum(c * c for c in cents)),
-            int(last["us"]), last["transaction_id"], _number(last["lat"]), _number(last["lon"])))
-        self.recent.put(_state_rows(events[events["us"] >= cutoff]))
-
-    def _answer(self, customer: str, batch: pd.DataFrame, events: pd.DataFrame, old) -> pd.DataFrame:
-        us, now = events["us"].to_numpy(np.int64), batch["us"].to_numpy(np.int64)
-        cents = [int(c) for c in events["cents"]]
-        sums, squares = np.zeros(len(us) + 1, dtype=object), np.zeros(len(us) + 1, dtype=object)
-        sums[1:], squares[1:] = np.cumsum(np.array(cents, dtype=object)), np.cumsum(np.array([c * c for c in cents], dtype=object))
-        end = np.searchsorted(us, now, "left")
-        out = {
-            "us": now, "transaction_id": batch["transaction_id"], "customer_id": customer,
-            "n_past": int(old[0]) + end,
-            "cents_past": [float(int(old[1]) + sums[e]) for e in end],
-        }
-        spread = [n * (int(old[2]) + squares[e]) - (int(old[1]) + sums[e]) ** 2 for n, e in zip(out["n_past"], end)]
-        out["std_cents"] = [float(s) ** 0.5 / n if n > 0 else None for s, n in zip(map(lambda v: max(v, 0), spread), out["n_past"])]
-        previous = [
-            (int(us[e - 1]), events["transaction_id"][e - 1], _number(events["lat"][e - 1]), _number(events["lon"][e - 1])) if e > 0
-            else (old[3], old[4], old[5], old[6]) for e in end]
-        for i, name in enumerate(("prev_us", "prev_id", "prev_lat", "prev_lon")):
-            out[name] = [p[i] for p in previous]
-        for name, seconds in COUNT_WINDOWS.items():
-            out[f"n_{name}"] = end - np.searchsorted(us, now - seconds * SECOND, "left")
-        for name, seconds in SUM_WINDOWS.items():
-            start = np.searchsorted(us, now - seconds * SECOND, "left")
-            out[f"cents_{name}"] = [int(sums[e] - sums[s]) for s, e in zip(start, end)]
-        for name, (column, seconds) in DISTINCT_WINDOWS.items():
-            values = events[column].astype(object).where(events[column].notna(), None).to_numpy(dtype=object)
-            start = np.searchsorted(us, now - seconds * SECOND, "left")
-            out[f"d_{name}"] = [len(set(values[s:e]) - {None}) for s, e in zip(start, end)]
-        for name, column in NOVELTY.items():
-            values = batch[column].fillna("")
-            first = {v: self.first_seen.getValue((f"{column}|{v}",))[0] for v in values.unique()}
-            out[f"new_{name}"] = [t <= first[v] for t, v in zip(now, values)]
-        out["row"] = batch["row"]
-        return pd.DataFrame(out)[[f.name for f in STATS.fields]].astype({"prev_us": "Int64"})
+    def __init__(self, idle_days: int | None = None) -> None:
+        if idle_days is not None and idle_days * DAY_US < HORIZON_US:
+            raise ValueError(f"idle_days must reach over the longest window, {HORIZON_US // DAY_US} days")
+        self.idle_us = None if idle_days is None else idle_days * DAY_US
 
-    def close(self) -> None:
-        pass
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.history = History(handle, [c for c, _ in DISTINCT_WINDOWS.values()], list(NOVELTY.values()), HORIZON_US)
+
+    def _event(self, r: dict) -> list:
+        place = [None if r[c] is None else float(r[c]) for c in ("lat", "lon")]
+        return [r["us"], r["transaction_id"], int(r["cents"]), *place, *(r[c] for c in self.history.columns)]
+
+    def _in_order(self, part: list[dict]) -> list[dict]:
+        """Answers for rows later than all that is held."""
+        history = self.history
+        times, cents = [r["us"] for r in part], [int(r["cents"]) for r in part]
+        sums, squares = [0, *accumulate(cents)], [0, *accumulate(c * c for c in cents)]
+        held, held_squares = (history.older["n"] + history.sums[0][-1], history.older["cents"] + history.sums[1][-1]), history.squares()
+        distinct = {n: Distinct(history, c, seconds) for n, (c, seconds) in DISTINCT_WINDOWS.items()}
+        first: dict[tuple[str, str], int] = {}
+        for r in part:
+            for c in NOVELTY.values():
+                first.setdefault((c, r[c] or ""), r["us"])
+
+        def before(x: int) -> tuple[int, int]:
+            k = bisect_left(times, x)
+            n, total = history.before(x) if x <= times[0] else held
+            return n + k, total + sums[k]
+
+        out = []
+        for us, same in groupby(part, key=lambda r: r["us"]):
+            same, k = list(same), bisect_left(times, us)
+            n, total = before(us)
+            edges = {s: before(us - s * SECOND) for s in {*COUNT_WINDOWS.values(), *SUM_WINDOWS.values()}}
+            previous = [part[k - 1][c] for c in ("us", "transaction_id", "lat", "lon")] if k else history.last
+            answer = _answer(n, total, held_squares + squares[k], previous, edges, {name: d.at(us) for name, d in distinct.items()})
+            for r in same:
+                news = {f"new_{name}": self._is_new(c, r[c], us, first) for name, c in NOVELTY.items()}
+                out.append(answer | news)
+            for name, d in distinct.items():
+                for r in same:
+                    d.add(r[DISTINCT_WINDOWS[name][0]], us)
+        return out
+
+    def _is_new(self, column: str, value: str | None, us: int, first: dict) -> bool:
+        return us <= first[column, value or ""] and self.history.first(column, value) is None
+
+    def _anew(self, part: list[dict]) -> list[dict]:
+        """Answers for any rows that are held already, from all hours."""
+        history = self.history
+        events = history.all_events()
+        times = [e[0] for e in events]
+        sums, squares = [0, *accumulate(e[2] for e in events)], [0, *accumulate(e[2] ** 2 for e in events)]
+        older = history.older
+        column_at = {c: 5 + k for k, c in enumerate(history.columns)}
+        by_id = {(e[0], e[1]): e for e in events}
+
+        def before(x: int) -> tuple[int, int]:
+            k = bisect_left(times, x)
+            return older["n"] + k, older["cents"] + sums[k]
+
+        spans = {name: _sliding(times, [e[column_at[c]] for e in events], sorted({r["us"] for r in part}), seconds * SECOND) for name, (c, seconds) in DISTINCT_WINDOWS.items()}
+        out = []
+        for r in part:
+            us, k = r["us"], bisect_left(times, r["us"])
+            n, total = before(us)
+            edges = {s: before(us - s * SECOND) for s in {*COUNT_WINDOWS.values(), *SUM_WINDOWS.values()}}
+            previous = [events[k - 1][j] for j in (0, 1, 3, 4)] if k else older["last"]
+            event = by_id[us, r["transaction_id"]]
+            news = {f"new_{name}": us <= history.first(c, event[column_at[c]]) for name, c in NOVELTY.items()}
+            out.append(_answer(n, total, older["squares"] + squares[k], previous, edges, {name: d[us] for name, d in spans.items()}) | news)
+        return out
+
+    def _frame(self, key: str, out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(out).assign(customer_id=key)[[f.name for f in STATS.fields]].astype({"prev_us": "Int64", "prev_lat": float, "prev_lon": float})
+
+
+def _answer(n: int, total: int, squares: int, previous: list | None, edges: dict[int, tuple[int, int]], distinct: dict[str, int]) -> dict:
+    """The statistics of one row: what lies before it, less what lies before its windows."""
+    out = {"n_past": n, "cents_past": float(total), "std_cents": float(max(n * squares - total * total, 0)) ** 0.5 / n if n else None}
+    out |= dict(zip(("prev_us", "prev_id", "prev_lat", "prev_lon"), previous or (None,) * 4, strict=True))
+    out |= {f"n_{name}": n - edges[s][0] for name, s in COUNT_WINDOWS.items()}
+    out |= {f"cents_{name}": total - edges[s][1] for name, s in SUM_WINDOWS.items()}
+    return out | {f"d_{name}": v for name, v in distinct.items()}
+
+
+def _sliding(times: list[int], values: list, at: list[int], width: int) -> dict[int, int]:
+    """Distinct values of the events in [t - width, t) for each t, in order."""
+    held: dict[Any, int] = {}
+    low = high = 0
+    out = {}
+    for t in at:
+        while high < len(times) and times[high] < t:
+            held[values[high]] = held.get(values[high], 0) + 1
+            high += 1
+        while low < high and times[low] < t - width:
+            held[values[low]] -= 1
+            if not held[values[low]]:
+                del held[values[low]]
+            low += 1
+        out[t] = len(held) - (None in held)
+    return out
 
 
 DEVICE_STATS = T.StructType([
     T.StructField("transaction_id", T.StringType()), T.StructField("device_id", T.StringType()),
-    T.StructField("device_customers", T.LongType()), T.StructField("row", T.StringType()),
+    T.StructField("device_customers", T.LongType()), T.StructField("version", T.LongType()), T.StructField("row", T.StringType()),
 ])
 
 
-class DeviceCustomers(StatefulProcessor):
-    """Per device: (time, customer) of the last 24 hours.
-
-    ``idle_hours`` drops what a device has not added to for so long (wall clock), so idle devices leave the state.
-    """
+class DeviceCustomers(_Keyed):
+    """Per device: customers of the last 24 hours. A device without an event for so long leaves no state."""
 
-    def __init__(self, idle_hours: int | None = None) -> None:
-        self.ttl = None if idle_hours is None else idle_hours * 3_600_000
+    fields = ["us", "transaction_id", "customer_id"]
+    totals_matter = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us long, customer_id string", self.ttl)
+        self.history = History(handle, ["customer_id"], [], DEVICE_WINDOW * SECOND)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "transaction_id"], ignore_index=True)
-        held = list(self.recent.get()) if self.recent.exists() else []
-        events = sorted([(int(u), c) for u, c in held] + list(zip(batch["us"].astype(int), batch["customer_id"])))
-        us = np.array([e[0] for e in events], dtype=np.int64)
-        now = batch["us"].to_numpy(np.int64)
-        start, end = np.searchsorted(us, now - DEVICE_WINDOW * SECOND, "left"), np.searchsorted(us, now, "left")
-        yield pd.DataFrame({
-            "transaction_id": batch["transaction_id"], "device_id": key[0],
-            "device_customers": [len({c for _, c in events[s:e]}) for s, e in zip(start, end)], "row": batch["row"]})
-        cutoff = int(us[-1]) - DEVICE_WINDOW * SECOND
-        kept = [e for e in events if e[0] >= cutoff]
-        if _worth_rewriting(len(events) - len(kept), len(events)):
-            self.recent.put(kept)
-        else:
-            self.recent.appendList(list(zip(now.tolist(), batch["customer_id"])))
+    def _event(self, r: dict) -> list:
+        return [r["us"], r["transaction_id"], 0, None, None, r["customer_id"]]
 
-    def close(self) -> None:
-        pass
+    def _in_order(self, part: list[dict]) -> list[dict]:
+        distinct, out = Distinct(self.history, "customer_id", DEVICE_WINDOW), []
+        for us, same in groupby(part, key=lambda r: r["us"]):
+            same = list(same)
+            out += [{"device_customers": distinct.at(us)}] * len(same)
+            for r in same:
+                distinct.add(r["customer_id"], us)
+        return out
+
+    def _anew(self, part: list[dict]) -> list[dict]:
+        events = self.history.all_events()
+        found = _sliding([e[0] for e in events], [e[5] for e in events], sorted({r["us"] for r in part}), DEVICE_WINDOW * SECOND)
+        return [{"device_customers": found[r["us"]]} for r in part]
 
+    def _frame(self, key: str, out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(out).assign(device_id=key)[[f.name for f in DEVICE_STATS.fields]]
 
-def stream_customer_features(events: DataFrame, entity_days: int | None = None) -> DataFrame:
-    """Customer history statistics of a stream of transactions, finished into the named features."""
+
+def stream_customer_features(events: DataFrame, idle_days: int | None = None) -> DataFrame:
+    """Customer history statistics of a stream of transactions, finished into the named features, with ``version``.
+
+    The stream needs a watermark on ``timestamp``, as ``dedupe_stream`` sets it.
+    """
     from riskloom.operators.history import RAW_STATS, finish_history
 
     schema = T.StructType([f for f in events.schema.fields])
     shaped = events.withColumns({"us": micros(F.col("timestamp")), "cents": (F.col("amount") * 100).cast("long")})
-    keyed = shaped.select("customer_id", *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
+    keyed = shaped.select("customer_id", "timestamp", F.lit(0).cast("long").alias("sent"), *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
     stats = keyed.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=CustomerHistory(entity_days), outputStructType=STATS, outputMode="Append",
-        timeMode="None" if entity_days is None else "ProcessingTime")
+        statefulProcessor=CustomerHistory(idle_days), outputStructType=STATS, outputMode="Append", timeMode="EventTime")
     known = F.struct(F.col("prev_us").alias("us"), F.col("prev_id").alias("transaction_id"), F.col("prev_lat").alias("lat"), F.col("prev_lon").alias("lon"))
     rest = [c for c in stats.columns if c not in ("row", "transaction_id", "customer_id") and not c.startswith("prev_")]
     opened = stats.select(
@@ -194,13 +526,22 @@ def stream_customer_features(events: DataFrame, entity_days: int | None = None)
     return finished.drop(*RAW_STATS, "cents_past", "us")
 
 
-def stream_device_features(events: DataFrame, idle_hours: int | None = None) -> DataFrame:
-    """Adds device_customer_count to a stream; keeps every other column. Rows without a device share one key, as in batch."""
+def stream_device_features(events: DataFrame) -> DataFrame:
+    """Adds device_customer_count and device_version to a stream with a watermark on ``timestamp``; keeps every other column.
+
+    Rows without a device share one key, as in batch.
+    """
     schema = T.StructType([f for f in events.schema.fields])
-    keyed = events.select(F.coalesce("device_id", F.lit("")).alias("device_id"), "transaction_id", "customer_id", micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
+    sent = F.col("version") if "version" in events.columns else F.lit(0).cast("long")
+    keyed = events.select(F.coalesce("device_id", F.lit("")).alias("device_id"), "timestamp", "transaction_id", "customer_id", sent.alias("sent"), micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
     stats = keyed.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=DeviceCustomers(idle_hours), outputStructType=DEVICE_STATS, outputMode="Append",
-        timeMode="None" if idle_hours is None else "ProcessingTime")
-    return stats.select(
-        F.from_json("row", schema, JSON).alias("r"), F.greatest(F.lit(1), F.col("device_customers")).alias("device_customer_count")
-    ).select("r.*", "device_customer_count")
+        statefulProcessor=DeviceCustomers(), outputStructType=DEVICE_STATS, outputMode="Append", timeMode="EventTime")
+    count = F.greatest(F.lit(1), F.col("device_customers")).alias("device_customer_count")
+    return stats.select(F.from_json("row", schema, JSON).alias("r"), count, F.col("version").alias("device_version")).select("r.*", "device_customer_count", "device_version")
+
+
+def latest_rows(rows: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Of each transaction the row of the highest version. Rows that late ones have changed are stored again."""
+    versions = [c for c in ("version", "device_version") if c in rows.columns]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*versions)).alias("r"))
+    return best.select("r.*")
