@@ -87,30 +87,41 @@ def first_write_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str |
 
     Rows that share keys form chains, which are resolved in rounds: a row that is first on all its keys stays, and
     those that share a key with it go. The first row of all always stays, so every round decides some; there are as
-    many rounds as the longest chain needs. A null key is shared with nothing.
+    many rounds as the longest chain needs, none where no row shares a key. A null key is shared with nothing. No key's
+    rows are gathered: first places are aggregated and joined back.
     """
-    if len(keys) == 1:
-        return first_per_key(rows.where(F.col(keys[0]).isNotNull()), keys[0], order).unionByName(rows.where(F.col(keys[0]).isNull()))
     placed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "write-order")
-    left = placed.select("_row", *keys, F.struct(*order, "_row").alias("_place"))
-    stayed = []
-    while True:
-        for key in keys:
-            first = F.min("_place").over(Window.partitionBy(key))
-            left = left.withColumn(f"_first_{key}", F.col(key).isNull() | (F.col("_place") == first))
-        first_on_all = F.expr(" and ".join(f"`_first_{key}`" for key in keys))
-        left = materialise(left, "write-order")
+    left = _with_firsts(placed.select("_row", *keys, F.struct(*order, "_row").alias("_place")), keys)
+    # Most rows share no key with another: they stay, and only the others go through rounds.
+    alone = F.expr(" and ".join(f"coalesce(`_n_{key}`, 1) = 1" for key in keys))
+    stayed = [left.where(alone).select("_row", *keys)]
+    left = left.where(~alone)
+    while left.limit(1).count():
+        first_on_all = F.expr(" and ".join(f"(`{key}` is null or `_place` = `_first_{key}`)" for key in keys))
         stayed.append(left.where(first_on_all).select("_row", *keys))
         rest = left.where(~first_on_all).select("_row", *keys, "_place")
         for key in keys:
             rest = rest.join(stayed[-1].select(key).where(F.col(key).isNotNull()), key, "left_anti")
+        # A key of many rows seldom outlives a round: from here on windows do, with rows that lack the key spread out.
+        for key in keys:
+            own = F.when(F.col(key).isNull(), F.col("_row")).otherwise(F.lit(-1))
+            rest = rest.withColumn(f"_first_{key}", F.min("_place").over(Window.partitionBy(key, own)))
         left = materialise(rest, "write-order")
-        if not left.limit(1).count():
-            break
     ids = reduce(DataFrame.unionByName, [s.select("_row") for s in stayed])
     return placed.join(ids, "_row", "left_semi").select(*rows.columns)
 
 
+def _with_firsts(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add each key's first place and number of rows, counted in the tasks first; rows without a key join nothing and
+    are spread by their number."""
+    for key in keys:
+        firsts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias(f"_first_{key}"), F.count("*").alias(f"_n_{key}"))
+        firsts = firsts.withColumn("_salt", F.lit(-1).cast("long"))
+        salted = left.withColumn("_own", F.when(F.col(key).isNull(), F.col("_row")).otherwise(F.lit(-1)))
+        left = salted.join(firsts, (F.col("_own") == F.col("_salt")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_own", "_salt", "_key")
+    return materialise(left, "write-order")
+
+
 def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The rows to append: not present under any key in the table, and of the batch's rows those whose write wins."""
     fresh = rows

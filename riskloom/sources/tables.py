@@ -63,19 +63,32 @@ def append_audit(events: DataFrame, path: str) -> None:
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows whose keys the table does not hold yet: a repeated batch adds nothing, whenever it comes.
 
-    The check reads the key columns of the whole table. Within the batch the first write wins. Returns the batch's
+    The check reads the key columns of the whole table, once. Within the batch the first write wins. Returns the batch's
     rows that the table now holds: those appended, and those of an earlier delivery of the same batch.
     """
-    from riskloom.operators.store import insert_if_absent
+    from riskloom.operators.store import first_write_wins
 
     spark = df.sparkSession
     dated = df.withColumn("event_date", F.to_date("timestamp"))
     known = read_appended(spark, path, dated.schema)
-    fresh = materialise(insert_if_absent(known, dated, keys, ["timestamp", "transaction_id"]), "append")
+    fresh = dated
+    for key in keys:
+        fresh = fresh.join(known.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    fresh = materialise(first_write_wins(fresh, keys, ["timestamp", "transaction_id"]).select(*dated.columns), "append")
     write_dated(fresh, path)
-    now = read_appended(spark, path, dated.schema).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    old = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return df.join(now, reduce(lambda a, b: a & b, same), "left_semi")
+    again = df.join(old, reduce(lambda a, b: a & b, same), "left_semi")
+    return fresh.select(*df.columns).unionByName(again)
+
+
+def append_dated(df: DataFrame, path: str, key: str) -> None:
+    """The same for one key whose rows always come under the same day: only the days of the batch are looked at."""
+    spark = df.sparkSession
+    dated = df.withColumn("event_date", F.to_date("timestamp"))
+    days = [r[0] for r in dated.select("event_date").distinct().collect()]
+    known = read_appended(spark, path, dated.schema).where(F.col("event_date").isin(days)).select(key)
+    write_dated(dated.dropDuplicates([key]).join(known, key, "left_anti").select(*dated.columns), path)
 
 
 def read_appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

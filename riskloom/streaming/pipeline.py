@@ -12,13 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom.functions import policy
 from riskloom.operators.history import point_features
 from riskloom.plans.scoring import Scorer, decide_features, decision_rows, prediction_rows
+from riskloom.schemas import FEATURES
 from riskloom.session import materialise
-from riskloom.sources.tables import append_new
+from riskloom.sources.tables import append_dated, append_new
 from riskloom.streaming.events import DEDUPE_HORIZON, dedupe_stream, parse_events, read_stream, route_dead_letters, route_missing, write_stream
 from riskloom.streaming.state import stream_customer_features, stream_device_features
 
 #: What a row must carry to become a decision.
 SCORED = ["calibrated_probability", "anomaly_score", "risk_score", "decision"]
+#: What a row must carry to be scored: every feature that is never null.
+NEEDED = [f for f in FEATURES if f not in ("customer_std_amount", "customer_avg_amount", "customer_amount_zscore", "amount_to_avg_ratio")]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -108,17 +111,29 @@ def persist_decision(layout: Layout):
             kept = append_new(batch.select(*fields), layout.at("transactions"), ["transaction_id", "idempotency_key"])
             rows = materialise(batch.join(kept.select("transaction_id", "idempotency_key"), ["transaction_id", "idempotency_key"], "left_semi"), "persist")
             rows = rows.dropDuplicates(["transaction_id"])
-            append_new(prediction_rows(rows, ["timestamp"]), layout.at("predictions"), ["transaction_id"])
-            append_new(decision_rows(rows, ["timestamp"]), layout.at("risk_decisions"), ["transaction_id"])
+            append_dated(prediction_rows(rows, ["timestamp"]), layout.at("predictions"), "transaction_id")
+            append_dated(decision_rows(rows, ["timestamp"]), layout.at("risk_decisions"), "transaction_id")
         finally:
             cached.unpersist()
 
     return write
 
 
+def score_and_persist(layout: Layout, scorer: Scorer | None = None):
+    """foreachBatch sink of the features: rows that lack what scoring needs become dead letters of the scoring step."""
+    persist = persist_decision(layout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ready, dead = route_missing(batch, NEEDED, "scoring")
+        dead.write.mode("overwrite").parquet(layout.at(f"dead_letters_scoring/batch={batch_id}"))
+        persist(stream_score(ready, scorer), batch_id)
+
+    return write
+
+
 def decision_query(spark: SparkSession, layout: Layout, scorer: Scorer | None = None, options=None) -> StreamingQuery:
-    scored = stream_score(_hop(spark, layout.at("features"), options), scorer)
-    return (scored.writeStream.foreachBatch(persist_decision(layout)).option("checkpointLocation", layout.checkpoint("decisions"))
+    features = _hop(spark, layout.at("features"), options)
+    return (features.writeStream.foreachBatch(score_and_persist(layout, scorer)).option("checkpointLocation", layout.checkpoint("decisions"))
             .trigger(availableNow=True).start())
 
 
