@@ -138,8 +138,11 @@ def planted(
     """(kind, label, features) of values of ``kinds`` (all by default), put into texts of ``docs``."""
     common = frozenset(dictionary(docs) if known is None else known)
     wanted = sorted(kinds or secret_kinds.KINDS)
-    texts = docs.select(F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, 2000).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("place"))
-    texts = materialise(texts.distinct().orderBy(F.xxhash64("text", "place"), "text", "place").limit(contexts), "secret-contexts")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("place"))
+    texts = texts.withColumn("mark", F.xxhash64("text", "place"))
+    marks = [r["mark"] for r in texts.select("mark").distinct().orderBy("mark").limit(contexts).collect()]
+    chosen = texts.where(F.col("mark").isin(marks)).dropDuplicates(["mark"]).select(F.substring("text", 1, 2000).alias("text"), "place")
+    texts = materialise(chosen, "secret-contexts")
     if not (rows := texts.count()):
         texts, rows = docs.sparkSession.createDataFrame([("", "")], "text string, place string"), 1
     draws = -(-drawn // rows)
