@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import linspace, rounded
 from riskloom.operators.evaluate import average_precision
 from riskloom.operators.ordered import range_prefix
+from riskloom.session import materialise
 
 # Drift limits. -----------------------------------------------------------------------
 PSI_MODERATE, PSI_CRITICAL, KS_CRITICAL = 0.10, 0.25, 0.15
 RETRAIN_PR_AUC = 0.75
+#: Sizes of two samples multiplied, up to which the KS p-value is exact.
+EXACT_CELLS = 10_000
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -92,8 +97,30 @@ def psi_from(points: DataFrame, buckets: int = 10, epsilon: float = 1e-4) -> Dat
     return total.select("feature", F.when(usable, F.greatest(F.lit(0.0), F.col("psi"))).otherwise(0.0).alias("psi"))
 
 
-def ks_from(points: DataFrame, terms: int = 100) -> DataFrame:
-    """Two-sample KS distance (exact) and p-value (asymptotic series) per feature."""
+def exact_ks_p_value(n: int, m: int, d: float) -> float:
+    """The chance of a distance of at least ``d`` between samples of n and m values without ties, by lattice paths.
+
+    A path from (0, 0) to (n, m) is an order of all values. P(i, j) is the share of paths to (i, j) that stay nearer to
+    the diagonal than d; the last step comes from (i - 1, j) with probability i / (i + j).
+    """
+    far = round(d * n * m)
+    if far <= 0:
+        return 1.0
+    inside = np.zeros(m + 1)
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if abs(i * m - j * n) >= far:
+                inside[j] = 0.0
+            elif i + j:
+                inside[j] = inside[j] * i / (i + j) + (inside[j - 1] * j / (i + j) if j else 0.0)
+            else:
+                inside[j] = 1.0
+    return float(min(1.0, max(0.0, 1.0 - inside[m])))
+
+
+def ks_from(points: DataFrame, terms: int = 100, exact_cells: int = EXACT_CELLS) -> DataFrame:
+    """Two-sample KS distance (exact) and p-value per feature: by lattice paths where the samples' sizes multiply to at
+    most ``exact_cells``, and by the asymptotic series above."""
     ref = (F.col("before_r") + F.col("r")) / F.nullif("total_r", F.lit(0))
     cur = (F.col("before_c") + F.col("c")) / F.nullif("total_c", F.lit(0))
     dist = points.groupBy("feature").agg(
@@ -105,6 +132,12 @@ def ks_from(points: DataFrame, terms: int = 100) -> DataFrame:
     scored = dist.withColumn("lam2", lam2)
     empty = (F.col("n") == 0) | (F.col("m") == 0)
     p = F.when(empty | (F.col("lam2") < 1e-3), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, m: pd.Series, d: pd.Series) -> pd.Series:  # one row for each feature
+        return pd.Series([exact_ks_p_value(int(a), int(b), float(x)) if a * b <= exact_cells else None for a, b, x in zip(n, m, d, strict=True)], dtype=float)
+
+    small = ~empty & (F.col("n") * F.col("m") <= exact_cells)
+    p = F.when(small, exact("n", "m", "d")).otherwise(p)
     return scored.select("feature", F.when(empty, 0.0).otherwise(F.col("d")).alias("ks_statistic"), p.alias("p_value"))
 
 
@@ -158,10 +191,41 @@ def sliding_average_precision(df: DataFrame, label: str, score: str, days: int =
     return average_precision(points, ["window_end"])
 
 
-def retrain_trigger(df: DataFrame, label: str, score: str, report: DataFrame, top_features: Sequence[str],
-                    days: int = 7) -> DataFrame:
-    """Per window end: PR-AUC, worst PSI among the top features, and whether to retrain."""
-    worst = report.where(F.col("feature").isin(*top_features)).select(F.coalesce(F.max("psi"), F.lit(0.0))).scalar()
-    areas = sliding_average_precision(df, label, score, days)
-    return areas.withColumn("worst_psi", worst).withColumn(
-        "retrain", (F.col("pr_auc") < RETRAIN_PR_AUC) | (F.col("worst_psi") > PSI_CRITICAL))
+def sliding_psi(df: DataFrame, reference: Column, features: Sequence[str], days: int = 7, buckets: int = 10, epsilon: float = 1e-4) -> DataFrame:
+    """(window_end, feature, psi) of the ``days`` days ending with each day, against the rows where ``reference`` holds.
+
+    Rows are counted once, by (day, feature, bin) on the reference's quantile edges; windows are sums of those counts,
+    at most ``days`` times as many, whatever the number of rows.
+    """
+    used = [f for f in features if f in df.columns]
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in used]))
+    tall = df.select(F.to_date("timestamp").alias("day"), reference.alias("ref"), values.alias("p")).select("day", "ref", "p.*")
+    tall = tall.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))))
+    tall = tall.withColumn("value", F.col("value") + F.lit(0.0))
+    counted = tall.where("ref").groupBy("feature", "value").agg(F.count("*").alias("r"))
+    edges = F.broadcast(_edges(range_prefix(counted, ["feature"], ["value"], ["r"]), buckets))  # one row for each feature
+    bin_ = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    daily = tall.join(edges, "feature").groupBy("feature", "day", bin_.alias("bin"), (F.size("edges") + 1).alias("bins")).agg(
+        F.count("*").alias("c"), F.count_if("ref").alias("r"))
+    daily = materialise(daily, "daily-bins")
+    last = daily.select(F.max("day")).scalar()
+    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_add(F.col("day"), i)))
+    windows = daily.select("feature", "bin", "bins", "c", ends.alias("window_end")).where(F.col("window_end") <= last)
+    windows = windows.groupBy("window_end", "feature", "bins", "bin").agg(F.sum("c").alias("c"))
+    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("bin", c)))
+    current = windows.groupBy("window_end", "feature", "bins").agg(as_map("c").alias("cm"), F.sum("c").alias("tc"))
+    of_reference = daily.groupBy("feature", "bin").agg(F.sum("r").alias("r")).groupBy("feature").agg(as_map("r").alias("rm"), F.sum("r").alias("tr"))
+    both = current.join(of_reference, "feature")
+    share = lambda m, total, k: (F.coalesce(F.try_element_at(m, k), F.lit(0)) / F.col(total) + epsilon) / (1.0 + F.col("bins") * epsilon)
+    term = lambda k: (share("cm", "tc", k) - share("rm", "tr", k)) * F.log(share("cm", "tc", k) / share("rm", "tr", k))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("bins") - 1), F.lit(0.0), lambda acc, k: acc + term(k))
+    usable = (F.col("bins") >= 2) & (F.col("tr") > 0)
+    return both.select("window_end", "feature", rounded(F.when(usable, F.greatest(F.lit(0.0), total)).otherwise(0.0), 4).alias("psi"))
+
+
+def retrain_trigger(df: DataFrame, label: str, score: str, windows: DataFrame, top_features: Sequence[str], days: int = 7) -> DataFrame:
+    """Per window end: PR-AUC, the worst PSI of the window (``sliding_psi``) among the top features, and whether to retrain."""
+    worst = windows.where(F.col("feature").isin(*top_features)).groupBy("window_end").agg(F.max("psi").alias("worst_psi"))
+    areas = sliding_average_precision(df, label, score, days).join(worst, "window_end", "left")
+    worst_psi = F.coalesce("worst_psi", F.lit(0.0))
+    return areas.withColumn("worst_psi", worst_psi).withColumn("retrain", (F.col("pr_auc") < RETRAIN_PR_AUC) | (worst_psi > PSI_CRITICAL))

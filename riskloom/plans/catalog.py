@@ -546,16 +546,42 @@ def _(spark, sf):
     return drift.drift_overall(drift.drift_report(_sides(spark, sf), FEATURES))
 
 
+TOP_DRIFT = ["amount", "amount_to_avg_ratio"]
+_WINDOW_PSI = f"""wt AS (SELECT CAST("timestamp" AS DATE) + CAST(k AS INTEGER) AS window_end, feature, value FROM
+   (SELECT "timestamp", unnest(['amount', 'amount_to_avg_ratio']) AS feature, unnest([CAST(amount AS DOUBLE), amount_to_avg_ratio]) AS value FROM feat), (SELECT unnest(range(7)) AS k)),
+ wc AS (SELECT CAST(window_end AS DATE) AS window_end, feature, len(list_filter(e, lambda x: x <= value)) AS bin, count(*) AS c FROM wt JOIN edges USING (feature)
+   WHERE window_end <= (SELECT max(CAST("timestamp" AS DATE)) FROM feat) GROUP BY 1, 2, 3),
+ wb AS (SELECT x.window_end, b.feature, b.bin, nb, r, coalesce(wc.c, 0) AS c, sum(coalesce(wc.c, 0)) OVER (PARTITION BY x.window_end, b.feature) AS tc
+   FROM (SELECT DISTINCT window_end, feature FROM wc) x JOIN cnts b USING (feature) LEFT JOIN wc USING (window_end, feature, bin)),
+ ws AS (SELECT window_end, feature, (r / tr::DOUBLE + 1e-4) / (1 + nb * 1e-4) AS e, (c / wb.tc::DOUBLE + 1e-4) / (1 + nb * 1e-4) AS a FROM wb JOIN tot USING (feature)),
+ wp AS (SELECT window_end, feature, {o.r('greatest(0.0::DOUBLE, sum((a - e) * ln(a / e)))', 4)} AS psi FROM ws GROUP BY 1, 2)"""
+
+
+def _window_psi(spark, sf):
+    return drift.sliding_psi(feat(spark, sf), F.col("timestamp") < F.lit(DRIFT_REF_END), TOP_DRIFT)
+
+
+#: The name that the report over all features had.
+@query("X3_drift_report_all_features", sel(o.DRIFT, "feature, psi, ks_statistic, p_value, status", "rep"))
+def _(spark, sf):
+    return QUERIES["X3_drift_report"](spark, sf)
+
+
 @query("X5_retrain_trigger", f"""WITH {o.DRIFT}, d AS (SELECT p_raw, is_fraud, CAST("timestamp" AS DATE) AS day FROM txn),
  w AS (SELECT CAST(day + CAST(k AS INTEGER) AS DATE) AS window_end, p_raw, is_fraud FROM d, (SELECT unnest(range(7)) AS k)),
  pp AS (SELECT window_end, p_raw AS score, count(*) FILTER (is_fraud) AS pos, count(*) FILTER (NOT is_fraud) AS neg FROM w WHERE window_end <= (SELECT max(day) FROM d) GROUP BY 1, 2),
  cc AS (SELECT *, sum(pos) OVER (PARTITION BY window_end ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY window_end ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY window_end) AS p FROM pp),
  ap AS (SELECT window_end, {o.r('coalesce(sum(pos / nullif(p, 0)::DOUBLE * tp / (tp + fp)::DOUBLE), 0)', 4)} AS pr_auc FROM cc GROUP BY 1),
- ps AS (SELECT coalesce(max(psi), 0) AS worst_psi FROM rep WHERE feature IN ('amount', 'amount_to_avg_ratio'))
- SELECT window_end, pr_auc, worst_psi, pr_auc < 0.75 OR worst_psi > 0.25 AS retrain FROM ap, ps""")
+ {_WINDOW_PSI},
+ ps AS (SELECT window_end, max(psi) AS worst_psi FROM wp GROUP BY window_end)
+ SELECT window_end, pr_auc, coalesce(worst_psi, 0) AS worst_psi, pr_auc < 0.75 OR coalesce(worst_psi, 0) > 0.25 AS retrain FROM ap LEFT JOIN ps USING (window_end)""")
+def _(spark, sf):
+    return drift.retrain_trigger(txn(spark, sf), "is_fraud", "p_raw", _window_psi(spark, sf), TOP_DRIFT)
+
+
+@query("X5_window_psi", f"WITH {o.DRIFT}, {_WINDOW_PSI} SELECT window_end, feature, psi FROM wp")
 def _(spark, sf):
-    report = drift.drift_report(_sides(spark, sf), FEATURES)
-    return drift.retrain_trigger(txn(spark, sf), "is_fraud", "p_raw", report, ["amount", "amount_to_avg_ratio"])
+    return _window_psi(spark, sf)
 
 
 # -- exploration ------------------------------------------------------------------------------------
@@ -790,7 +816,7 @@ def _(spark, sf):
     return monitor.bucket_histogram(txn(spark, sf), "p_raw", monitor.PROBABILITY_EDGES)
 
 
-_LAT = "lat_t AS (SELECT event_type AS step, value / 1000 AS seconds, value AS latency_ms, ts FROM events)"
+LAT_SQL = _LAT = "lat_t AS (SELECT event_type AS step, value / 1000 AS seconds, value AS latency_ms, ts FROM events)"
 
 
 @query("O2_latency_histogram", f"WITH {_LAT}, e AS (SELECT unnest([{', '.join(repr(x) + '::DOUBLE' for x in monitor.STAGE_EDGES)}, 'inf'::DOUBLE]) AS upper_edge) "

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import rounded
 from riskloom.operators.history import COLD_START, all_features
 from riskloom.plans import oracles as o
-from riskloom.plans.catalog import query, sel, txn
+from riskloom.plans.catalog import LAT_SQL, query, sel, txn
 from riskloom.schemas import RAW_EVENT
 from riskloom.session import materialise, scratch_path
 from riskloom.sources import star
-from riskloom.streaming import events, pipeline
+from riskloom.streaming import counters, events, pipeline
 from riskloom.streaming.state import latest_rows, stream_device_features
 
 FIELDS = [f.name for f in RAW_EVENT.fields]
@@ -98,6 +98,38 @@ def _(spark, sf):
     return spark.read.schema("transaction_id string").parquet(layout.at("out"))
 
 
+@query("O1_stream_counters", f"WITH {o.TXN} SELECT count(*) + count(*) FILTER (is_fraud) AS received, count(*) AS processed, count(*) FILTER (is_fraud) AS duplicates, 0 AS late FROM txn")
+def _(spark, sf):
+    """Counters of the deduplicating stream, as its listener has them."""
+    pipeline.use_rocksdb(spark)
+    layout = raw_topic(spark, sf, repeat=True)
+    good, _ = events.route_dead_letters(events.parse_events(events.read_stream(spark, "files", layout.at("raw"), SLICE)))
+    once = counters.observed(events.dedupe_stream(counters.observed(good, "received")).select("transaction_id"), "processed")
+    listener = counters.CounterListener()
+    spark.streams.addListener(listener)
+    try:
+        q = pipeline._run(once, layout.at("out"), layout.checkpoint("out"))
+        q.awaitTermination()
+        listener.wait(q)
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.table(spark).drop("query")
+
+
+_PANES = "SELECT time_bucket(INTERVAL 10 MINUTES, ts) - to_minutes(CAST(10 * k AS INTEGER)) AS window_start, step, latency_ms FROM lat_t, (SELECT unnest(range(6)) AS k)"
+
+
+@query("Z7_stream_latency_percentiles", f"WITH {LAT_SQL}, w AS ({_PANES}) SELECT CAST(window_start AS TIMESTAMP) AS window_start, step, count(*) AS samples, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM w GROUP BY 1, 2")
+def _(spark, sf):
+    """Percentiles of one-hour windows from ten-minute panes; windows of fewer values than a sketch keeps are exact."""
+    layout = pipeline.Layout(scratch_path(spark, "stream"))
+    rows = star.latencies(spark, sf).select("timestamp", "step", F.col("latency_ms").cast("double").alias("latency_ms"))
+    rows.write.parquet(layout.at("latencies"))
+    stream = spark.readStream.schema(rows.schema).parquet(layout.at("latencies"))
+    counters.latency_pane_query(stream, layout.at("panes"), layout.checkpoint("panes"), "10 minutes").awaitTermination()
+    return counters.sliding_percentiles(counters.latest_panes(spark, layout.at("panes")), 600, 6, (0.5, 0.95))
+
+
 _HIST = ", ".join(COLD_START)
 
 
