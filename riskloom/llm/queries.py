@@ -74,13 +74,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
     warc.register(spark)
-    records = spark.read.format("warc").load(path)
-    read = F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long")
-    return records.select(
-        warc.page_number("record_id").alias("page_id"), read.alias("payload_bytes"),
-        F.when(F.col("record_type") == "response", warc.payload_digest(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        "record_type", warc.page_number("refers_to").alias("refers_to"),
-    )
+    records = lambda: spark.read.format("warc").load(path)  # noqa: E731  each has pushed predicates of its own
+    # Each kind of record is asked for by its header; revisits are read without payloads.
+    whole = records().where("record_type = 'response'").select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), warc.payload_digest(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))
+    again = records().where("record_type = 'revisit'").select("record_id", "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", "refers_to")
+    both = whole.unionByName(again)
+    return both.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
 ORACLES["op7_warc"] = """

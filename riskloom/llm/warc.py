@@ -5,11 +5,17 @@ the attempts that count, so lost executors leave nothing behind that a reader wo
 each file, the largest first. Record type and header predicates are pushed down: a record's header block is parsed
 first, and the payload of a record that is not wanted, or not asked for, is skipped by its length without decoding.
 
-Paths are URIs that pyarrow's file systems know (file, hdfs, s3, gs), on storage that all executors reach.
+Spark keeps the pushed predicates with what ``load`` returns: a query that reads an archive twice, each time with other
+predicates, calls ``load`` twice.
+
+Files end in .warc or .warc.gz (which are read from their start, as they can't be sought in). Paths are URIs that
+pyarrow's file systems know (file, hdfs, s3, gs), on storage that all executors reach.
 
 Columns: record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes (of the full payload, also for
-revisits), payload. Nulls: a null payload is written as an empty one; a null URI or reference has no header and reads
-back as null. Rows are records: repeated rows are repeated records. An empty table gives no file and no rows.
+revisits), http_headers (of records that hold an HTTP message; the payload is what follows them), payload (binary: any
+bytes). Nulls: a null payload is written as an empty one; a null URI or reference has no header and reads back as null.
+Rows are records: repeated rows are repeated records, ties of equal payloads and ids included. An empty table gives no
+file and no rows. A payload of any length is written and read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from riskloom.llm.columns import let
 from riskloom.session import materialise
 
-SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload string"
+SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, http_headers string, payload binary"
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,7 +92,7 @@ class WarcReader(DataSourceReader):
 
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        files = [f for f in found if f.is_file and f.base_name.endswith(".warc") and f.base_name[0] not in "._"]
+        files = [f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and f.base_name[0] not in "._"]
         return [WarcFile(f.path, f.size) for f in sorted(files, key=lambda f: (-f.size, f.path))]
 
     def read(self, partition: InputPartition | None) -> Iterator[tuple]:
@@ -95,7 +101,8 @@ class WarcReader(DataSourceReader):
         if partition is None:  # Spark asks for one partition where there is no file
             return
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(partition.path) as raw:
+        packed = partition.path.endswith(".gz")
+        with store.open_input_stream(partition.path, compression="gzip") if packed else store.open_input_file(partition.path) as raw:
             yield from records(_Buffered(raw), self.wanted, self.columns, self.payloads)
 
 
@@ -143,7 +150,7 @@ class Written(WriterCommitMessage):
 def record(row: dict[str, Any]) -> bytes:
     """One record; a revisit carries no payload."""
     revisit = row["record_type"] == "revisit"
-    payload = b"" if revisit else (row["payload"] or "").encode()
+    payload = b"" if revisit else row["payload"] or b""
     lines = [VERSION, *(f"{header}: {_line(row[c])}" for c, header in HEADERS.items() if row.get(c) is not None)]
     lines += [f"WARC-Date: {DATE}", f"{LENGTH}: {row['payload_bytes']}", "Content-Type: text/html; charset=utf-8"]
     if revisit:
@@ -158,16 +165,19 @@ def records(source: _Buffered, wanted: dict[str, set], columns: list[str], paylo
             raise ValueError(f"no WARC record where one should begin: {version[:40]!r}")
         head: dict[str, str] = {}
         while line := source.line():
-            name, _, value = line.decode().partition(":")
+            name, _, value = line.decode(errors="replace").partition(":")
             head[name.strip().lower()] = _unline(value.strip())
         size = int(head["content-length"])
         row: dict[str, Any] = {c: head.get(h.lower()) for c, h in HEADERS.items()}
         if any(row[c] not in values for c, values in wanted.items()):
             source.skip(size + 4)
             continue
+        if head.get("content-type", "").startswith("application/http"):
+            http = source.until(b"\r\n\r\n", size)
+            row["http_headers"], size = http.decode("latin-1").removesuffix("\r\n\r\n"), size - len(http)
         row["payload_bytes"] = int(head.get(LENGTH.lower(), size))
         if payloads and "payload" in columns:
-            row["payload"] = source.take(size).decode()
+            row["payload"] = source.take(size)
             source.skip(4)
         else:
             source.skip(size + 4)
@@ -191,9 +201,17 @@ class _Buffered:
         out, self.at = self.have[self.at : end], end + 2
         return out
 
+    def until(self, mark: bytes, most: int) -> bytes:
+        """Up to a mark and with it, or ``most`` bytes if they hold none."""
+        while (end := self.have.find(mark, self.at, self.at + most)) < 0 and len(self.have) - self.at < most:
+            if not (more := self.raw.read(min(self.BLOCK, most))):
+                break
+            self.have, self.at = self.have[self.at :] + more, 0
+        return self.take(most if end < 0 else end + len(mark) - self.at)
+
     def take(self, n: int) -> bytes:
-        if len(self.have) - self.at < n:
-            self.have, self.at = self.have[self.at :] + self.raw.read(n - (len(self.have) - self.at)), 0
+        while len(self.have) - self.at < n and (more := self.raw.read(n - (len(self.have) - self.at))):
+            self.have, self.at = self.have[self.at :] + more, 0
         out, self.at = self.have[self.at : self.at + n], self.at + n
         return out
 
@@ -201,9 +219,13 @@ class _Buffered:
         ahead = len(self.have) - self.at
         if n <= ahead:
             self.at += n
-        else:
-            self.raw.seek(n - ahead, 1)
-            self.have, self.at = b"", 0
+            return
+        self.have, self.at, left = b"", 0, n - ahead
+        if getattr(self.raw, "seekable", lambda: True)():
+            self.raw.seek(left, 1)
+        else:  # a compressed stream
+            while left and (gone := len(self.raw.read(min(left, self.BLOCK)))):
+                left -= gone
 
 
 def _line(value: str) -> str:
@@ -216,7 +238,7 @@ def _unline(value: str) -> str:
 
 
 def payload_digest(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of the UTF-8 text, five bits a character, by table look-up."""
+    """Upper-case base32 of the SHA-1 of a binary column, five bits a character, by table look-up."""
     letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
     def bits(sha1: Column) -> Column:
@@ -226,7 +248,7 @@ def payload_digest(payload: Column) -> Column:
         places = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(ones, i * 5 + 1, F.lit(5)), 2, 10).cast("int"))
         return F.array_join(F.transform(places, lambda p: F.substring(letters, p + 1, F.lit(1))), "")
 
-    return let(F.sha1(F.encode(payload, "utf-8")), lambda sha1: let(bits(sha1), text))
+    return let(F.sha1(payload), lambda sha1: let(bits(sha1), text))
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -235,9 +257,9 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     Payloads under ``least_bytes`` are all written whole. Only ids and digests are shuffled to find the equal ones;
     the few ids that revisit another are stored, so that Spark knows their size when it joins them to the pages.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    sha1 = F.unhex(F.sha1(F.encode("payload", "utf-8")))
+    sha1 = F.unhex(F.sha1("payload"))
     ids = materialise(rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", sha1.alias("sha1")), "warc-digests")
     whole = ids.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = materialise(ids.join(whole, "sha1").where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct(), "warc-revisits")

@@ -1,7 +1,9 @@
 """Archives written, read back and filtered."""
 
 import base64
+import gzip
 import hashlib
+import os
 
 from riskloom.llm import queries, warc
 from riskloom.session import scratch_path
@@ -38,7 +40,7 @@ def test_round_trip(spark):
         got = read(spark, path)
         assert {(r["p"], r["payload_bytes"], r["payload_digest"].removeprefix("sha1:"), r["record_type"], r["r"]) for r in got} == expected(PAGES, least)
         texts, urls = {p: h or "" for p, _, h in PAGES}, {p: u for p, u, _ in PAGES}
-        assert all(r["payload"] == ("" if r["record_type"] == "revisit" else texts[r["p"]]) and r["target_uri"] == urls[r["p"]] for r in got)
+        assert all(bytes(r["payload"]).decode() == ("" if r["record_type"] == "revisit" else texts[r["p"]]) and r["target_uri"] == urls[r["p"]] for r in got)
 
 
 def test_repeated_id_with_two_payloads(spark):
@@ -47,7 +49,7 @@ def test_repeated_id_with_two_payloads(spark):
     warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
     got = spark.read.format("warc").load(path).select("target_uri", "record_type", "payload_bytes", "payload", warc.page_number("refers_to")).collect()
     assert sorted(tuple(r)[:3] for r in got) == [("u", "response", 10), ("u", "revisit", 9), ("v", "response", 9), ("w", "response", 9)]
-    assert {r["payload"] for r in got if r["record_type"] == "response"} == {"same text", "other text"}
+    assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {b"same text", b"other text"}
     assert [r[4] for r in got if r["record_type"] == "revisit"] == [2]
 
 
@@ -77,10 +79,10 @@ def test_header_predicates_skip_payloads():
         def seek(self, n, whence):
             self.at += n
 
-    row = {"record_id": "a", "record_type": "response", "payload_bytes": 1 << 24, "payload": "x" * (1 << 24)}
-    source = Source(warc.record(row) * 3 + warc.record(row | {"record_type": "resource", "payload": "y", "payload_bytes": 1}))
+    row = {"record_id": "a", "record_type": "response", "payload_bytes": 1 << 24, "payload": b"x" * (1 << 24)}
+    source = Source(warc.record(row) * 3 + warc.record(row | {"record_type": "resource", "payload": b"y", "payload_bytes": 1}))
     got = list(warc.records(warc._Buffered(source), {"record_type": {"resource"}}, ["record_type", "payload"]))
-    assert got == [("resource", "y")] and source.got < 2 << 20
+    assert got == [("resource", b"y")] and source.got < 2 << 20
 
 
 def test_empty_and_nulls(spark):
@@ -93,6 +95,37 @@ def test_empty_and_nulls(spark):
     assert sorted((str(r["p"]), r["record_type"]) for r in got) == [("1", "response"), ("1", "response"), ("None", "response")]
 
 
+def crawled(kind, payload, http=b"", **headers):
+    """A record as a crawler writes it."""
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(http + payload)}"]
+    return "\r\n".join([*lines, "", ""]).encode() + http + payload + b"\r\n\r\n"
+
+
+def test_compressed_files_messages_and_any_bytes(spark):
+    root = scratch_path(spark, "crawl").removeprefix("file:")
+    os.makedirs(root)
+    http = b"HTTP/1.1 200 OK\r\nX-\xe9: y\r\nContent-Length: 7\r\n\r\n"
+    records = [
+        crawled("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        crawled("response", b"\xff\xfe\x00\r\n\r\n", http, Content_Type="application/http; msgtype=response", WARC_Target_URI="http://a/"),
+        crawled("response", b"y" * 700_000, http, Content_Type="application/http;msgtype=response", WARC_Target_URI="http://b/"),
+        crawled("response", b"", b"HTTP/1.1 304 no body", Content_Type="application/http", WARC_Target_URI="http://c/"),
+        crawled("resource", b"plain", WARC_Target_URI="http://d/"),
+    ]
+    with open(f"{root}/crawl.warc.gz", "wb") as out:
+        out.write(b"".join(gzip.compress(r) for r in records))  # one member for each record
+    with open(f"{root}/plain.warc", "wb") as out:
+        out.write(b"".join(records))
+    warc.register(spark)
+    table = spark.read.format("warc").load(f"file://{root}")
+    want = sorted([("http://a/", 7, b"\xff\xfe\x00\r\n\r\n"), ("http://b/", 700_000, b"y" * 700_000), ("http://c/", 0, b"")] * 2)
+    got = table.where("record_type = 'response'").collect()
+    assert sorted((r["target_uri"], r["payload_bytes"], bytes(r["payload"])) for r in got) == want
+    assert {r["http_headers"].splitlines()[0] for r in got} == {"HTTP/1.1 200 OK", "HTTP/1.1 304 no body"}
+    unread = table.where("record_type in ('response', 'resource')").select("target_uri", "payload_bytes").collect()
+    assert sorted(tuple(r) for r in unread) == sorted([*((u, n) for u, n, _ in want), ("http://d/", 5), ("http://d/", 5)])
+
+
 def test_query(spark, sf):
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op7_warc"](spark, sf).collect()} == expected(pages)
