@@ -64,6 +64,16 @@ def _(spark, sf):
     return back.select("transaction_id", "customer_id", "amount", F.col("event_date").cast("string").alias("event_date"))
 
 
+_ASKED = ["TXN-100-2", "TXN-7-0", "TXN-9999999-0", "TXN-4321-0", *(f"TXN-{k}-0" for k in range(500, 520))]
+
+
+@query("K2_point_lookup", sel(o.TXN, "transaction_id, customer_id, CAST(amount AS DOUBLE) AS amount", "txn", f"WHERE transaction_id IN ({', '.join(repr(k) for k in _ASKED)})"))
+def _(spark, sf):
+    path = scratch(spark, "lookup")
+    tables.write_lookup_table(txn(spark, sf), path)
+    return tables.look_up(spark, path, _ASKED).select("transaction_id", "customer_id", "amount")
+
+
 @query("S2_write_csv", sel(o.TXN, "transaction_id, CAST(amount AS DOUBLE) AS amount", "txn"))
 def _(spark, sf):
     path = scratch(spark, "csv")

@@ -12,6 +12,8 @@ from riskloom import schemas
 from riskloom.session import materialise
 
 
+#: Keys of one pushed filter: beyond ten, Spark pushes only their bounds.
+LOOK_UP = 10
 REPORT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -38,6 +40,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
         raise ValueError("format must be parquet or csv")
 
 
+def write_lookup_table(df: DataFrame, path: str, key: str = "transaction_id", row_group_bytes: int = 16 << 20, mode: str = "errorifexists") -> None:
+    """Parquet for point look-ups: files hold ranges of the key and row groups are sorted by it, so that their bounds
+    rule out nearly all of them; Bloom filters rule out keys that lie within the bounds but are not there."""
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    writer = ordered.write.mode(mode).option("parquet.block.size", row_group_bytes).option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.option(f"parquet.bloom.filter.adaptive.enabled#{key}", "true").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, values: list[str], key: str = "transaction_id") -> DataFrame:
+    """The rows of some keys. Few keys at a time are asked for as equalities, which reach the row groups' filters."""
+    table = spark.read.parquet(path)
+    parts = [values[k : k + LOOK_UP] for k in range(0, len(values), LOOK_UP)] or [[]]
+    return reduce(DataFrame.unionByName, [table.where(F.col(key).isin(part)) for part in parts])
+
+
 def write_profiles(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom import session
 from riskloom.operators import evaluate, store
-from riskloom.sources.tables import append_new
+from riskloom.sources.tables import append_new, look_up, write_lookup_table
 from riskloom.streaming import events, pipeline
 
 
@@ -47,6 +47,23 @@ def test_raw_events_may_come_from_a_topic(spark, monkeypatch):
     assert asked == {"source": "kafka", "where": "raw-events", "options": {"kafka.bootstrap.servers": "b:9092", "maxOffsetsPerTrigger": "9"}}
 
 
+def test_a_point_lookup_reads_one_row_group(spark):
+    path = session.scratch_path(spark, "test-lookup")
+    rows = spark.range(200_000).select(F.concat(F.lit("T"), F.lpad((F.col("id") * 2).cast("string"), 9, "0")).alias("transaction_id"), F.md5(F.col("id").cast("string")).alias("body"))
+    write_lookup_table(rows.orderBy("body"), path, row_group_bytes=1 << 20)
+
+    def read(keys):
+        found = look_up(spark, path, keys)
+        n = len(found.collect())
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        return n, sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+    there, scanned = read(["T000100000"])
+    assert there == 1 and scanned <= 25_000  # of 200,000
+    assert read(["T000100001"]) == (0, 0)  # within the bounds of a row group, but in no Bloom filter
+    assert read([f"T{2 * k:09d}" for k in range(25)])[0] == 25 and read([])[0] == 0
+
+
 def test_a_shared_folder_must_be_named():
     class Unset:
         conf = type("C", (), {"get": staticmethod(lambda *_: None)})
