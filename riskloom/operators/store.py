@@ -180,8 +180,12 @@ def risk_distribution(decisions: DataFrame) -> DataFrame:
         F.concat("start", F.lit("-"), F.col("start") + 10).alias("bucket"), F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
-def search(listing: DataFrame, term: str, decision: str = "ALL") -> DataFrame:
+def search(listing: DataFrame, term: str, decision: str = "ALL", candidates: DataFrame | None = None) -> DataFrame:
+    """Rows whose ids contain the term in any case. ``candidates`` (keys, as ``sources.tables.search_candidates`` finds them)
+    narrow the rows before they are looked at."""
     needle = F.lit(term.lower())
+    if candidates is not None:
+        listing = listing.join(candidates.select(F.col("key").alias("transaction_id")), "transaction_id", "left_semi")
     found = listing.where(F.contains(F.lower("transaction_id"), needle) | F.contains(F.lower("customer_id"), needle))
     return found if decision == "ALL" else found.where(F.col("decision") == decision)
 

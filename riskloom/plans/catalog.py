@@ -760,6 +760,14 @@ def _(spark, sf):
     return store.search(d, "Txn-10", "APPROVE").select("transaction_id", "customer_id", "decision")
 
 
+@query("K9_search_indexed", f"WITH {o.STORE} SELECT transaction_id, customer_id, decision FROM decisions WHERE contains(lower(transaction_id), '-123') OR contains(lower(customer_id), '-123')")
+def _(spark, sf):
+    _, d, _ = tables(spark, sf)
+    path = scratch_path(spark, "search")
+    tables_io.write_search_index(d, path, ["transaction_id", "customer_id"])
+    return store.search(d, "-123", candidates=tables_io.search_candidates(spark, path, "-123")).select("transaction_id", "customer_id", "decision")
+
+
 @query("K10_merge_live", f"""WITH {o.TXN}, live AS (SELECT * FROM txn WHERE is_fraud), st AS (SELECT * FROM txn WHERE "timestamp" < TIMESTAMP '2024-01-30 12:00:00'),
  u AS (SELECT *, 'live' AS source FROM live WHERE transaction_id NOT IN (SELECT transaction_id FROM st) UNION ALL SELECT *, 'stored' FROM st)
  SELECT transaction_id, source, "timestamp" FROM u ORDER BY source, us DESC, transaction_id DESC LIMIT 30""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,32 @@ def look_up(spark: SparkSession, path: str, values: list[str], key: str = "trans
     return reduce(DataFrame.unionByName, [table.where(F.col(key).isin(part)) for part in parts])
 
 
+def write_search_index(df: DataFrame, path: str, columns: Sequence[str], key: str = "transaction_id") -> None:
+    """Postings (gram, key) of every three characters of the lower-case columns, sorted by gram, and how many there are of
+    each. Nulls and texts of fewer characters have none."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    of = lambda c: F.when(F.length(c) >= 3, grams(c)).otherwise(F.array().cast("array<string>"))
+    found = df.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*[of(F.lower(c)) for c in columns])))).alias("gram"))
+    write_lookup_table(found, f"{path}/postings", "gram")
+    postings = df.sparkSession.read.parquet(f"{path}/postings")
+    postings.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/grams")
+
+
+def search_candidates(spark: SparkSession, path: str, term: str, grams: int = 2) -> DataFrame | None:
+    """Keys of rows that may hold the term: those in the postings of its rarest grams. None for a term of fewer than three
+    characters, which needs a scan."""
+    term = term.lower()
+    wanted = sorted({term[i : i + 3] for i in range(len(term) - 2)})
+    if not wanted:
+        return None
+    known = spark.read.parquet(f"{path}/grams").where(F.col("gram").isin(wanted)).collect()
+    if len(known) < len(wanted):  # one of them is nowhere
+        return look_up(spark, f"{path}/postings", [], "gram").select("key")
+    rarest = [r["gram"] for r in sorted(known, key=lambda r: (r["n"], r["gram"]))[:grams]]
+    found = look_up(spark, f"{path}/postings", rarest, "gram").groupBy("key").agg(F.count_distinct("gram").alias("n"))
+    return found.where(F.col("n") == len(rarest)).select("key")
+
+
 def write_profiles(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom import session
 from riskloom.operators import evaluate, store
-from riskloom.sources.tables import append_new, look_up, write_lookup_table
+from riskloom.sources.tables import append_new, look_up, search_candidates, write_lookup_table, write_search_index
 from riskloom.streaming import events, pipeline
 
 
@@ -64,6 +64,19 @@ def test_a_point_lookup_reads_one_row_group(spark):
     assert read([f"T{2 * k:09d}" for k in range(25)])[0] == 25 and read([])[0] == 0
 
 
+def test_search_by_postings_finds_the_same_rows(spark):
+    path = session.scratch_path(spark, "test-search")
+    ids = [(f"TXN-{k}-é{k % 7}", None if k % 11 == 0 else f"Cust-{k * 37 % 1000}", "BLOCK") for k in range(2000)] + [("ab", "C", "BLOCK"), ("TXN-5-é5", "cust-0", "APPROVE")]
+    listing = spark.createDataFrame(ids, "transaction_id string, customer_id string, decision string")
+    write_search_index(listing, path, ["transaction_id", "customer_id"])
+    for term in ("N-19", "-É", "é3", "CUST-77", "t-999", "nowhere", "xn-1999-é4", "ab", "b"):
+        want = sorted(map(tuple, store.search(listing, term).collect()), key=str)
+        candidates = search_candidates(spark, path, term)
+        assert (candidates is None) == (len(term) < 3)
+        assert sorted(map(tuple, store.search(listing, term, candidates=candidates).collect()), key=str) == want
+        assert candidates is None or candidates.count() <= max(3 * len(want), 300)
+
+
 def test_a_shared_folder_must_be_named():
     class Unset:
         conf = type("C", (), {"get": staticmethod(lambda *_: None)})
