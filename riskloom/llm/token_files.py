@@ -37,7 +37,8 @@ def write_token_files(
 ) -> None:
     """Encode ``docs(doc_id, text)`` and write the ids to ``path``.
 
-    Each file is one range of document ids in ascending order; ``part`` numbers the ranges and ``part_start`` counts
+    Each file is one range of document ids in ascending order (rows of one id by a hash of their texts, so that an id of
+    many rows spreads over files); ``part`` numbers the ranges and ``part_start`` counts
     the ids before a document within its range. ``encoding`` is "dictionary" or "delta".
     """
 
@@ -55,7 +56,9 @@ def write_token_files(
             )
             before += int(bounds[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id, or of none, are ranged by a hash of their texts.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     dictionary = {"dictionary": "true", "delta": "false"}[encoding]
     (
         ordered.mapInArrow(encode, FILE_SCHEMA)

@@ -177,3 +177,19 @@ def test_queries(spark, sf):
         ids = whole(encoder, docs[d])
         assert (rows[d]["start"], rows[d]["n_tokens"], rows[d]["ids_crc32"]) == (at, len(ids), crc(ids))
         at += len(ids)
+
+
+def test_an_id_of_many_rows_spreads_over_files(spark):
+    rows = [(7, f"text number {k}") for k in range(400)] + [(None, f"without id {k}") for k in range(400)] + [(k, "x") for k in range(20)]
+    path = scratch_path(spark, "token-files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, WORDS)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = spark.read.parquet(path)
+    for only in ("doc_id = 7", "doc_id IS NULL"):
+        assert stored.where(only).select("part").distinct().count() > 1
+    digests = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in token_files.token_digests(spark, path).collect())
+    assert [d[2] for d in digests] == sorted(d[2] for d in digests)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(digests, digests[1:], strict=False))
