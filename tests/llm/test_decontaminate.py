@@ -51,8 +51,8 @@ def test_automaton_finds_all_windows():
         assert got == want
 
 
-@pytest.mark.parametrize("shard_words", [50_000, 12])
-def test_scan(spark, shard_words):
+@pytest.mark.parametrize(("shard_words", "pass_words"), [(50_000, 4_000_000), (12, 4_000_000), (12, 40)])
+def test_scan(spark, shard_words, pass_words):
     rng = random.Random(7)
     vocabulary = ["an", "Of", "the", "É", "x9", "to"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -60,7 +60,7 @@ def test_scan(spark, shard_words):
     docs = [(1, None), (2, ""), (3, "one two three"), (4, f"{items[0][1]} zz {items[1][1]}"), (4, "lonely item here again"), (None, items[6][1]), (7, text(3000)), (8, " ".join([items[1][1]] * 300))]
     got = decontaminate.scan(
         spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, items string"),
-        spark.createDataFrame(items, "item_id long, text string"), shard_words=shard_words,
+        spark.createDataFrame(items, "item_id long, text string"), shard_words=shard_words, pass_words=pass_words,
     )
     rows = [(r["doc_id"], r["n_words"], sum(h["last"] - h["first"] + 1 for h in r["hits"]), tuple(sorted(map(str, r["items"])))) for r in got.collect()]
     assert sorted(rows, key=str) == plain(docs, items)
@@ -68,6 +68,29 @@ def test_scan(spark, shard_words):
     assert [r["hits"] for r in decontaminate.scan(got.select("doc_id", "text"), empty).collect()] == [[]] * len(docs)
 
 
+def test_many_shards_take_one_pass(spark, tmp_path):
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(40))) for k in range(60)]
+    items += [(1000 + k, items[0][1]) for k in range(500)]  # copies: one segment, many ids
+    docs = [(d, " ".join([rng.choice(items)[1], f"zz{d}", rng.choice(items)[1]]) if d % 3 else f"clean {d}") for d in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    found = decontaminate.scan(spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(items, "item_id long, text string"), shard_words=100)
+    rows = [(r["doc_id"], r["n_words"], sum(h["last"] - h["first"] + 1 for h in r["hits"]), tuple(sorted(map(str, r["items"])))) for r in found.collect()]
+    assert sorted(rows, key=str) == plain(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 1 and f"{tmp_path}/docs" in plan
+
+
+def test_pairs_stop_at_segments():
+    import pyarrow as pa
+
+    words = decontaminate.np.array([0, 1, 2, 2, 0, 1], decontaminate.np.int32)
+    known = decontaminate.Segments(pa.array([b"a", b"b", b"c"]), words, decontaminate.np.array([0, 3, 4, 6]), decontaminate.np.array([7, 9, 7]), decontaminate.np.array([0, 1, 1, 3]), 2, 3)
+    assert known.shards() == [range(0, 1), range(1, 3)]
+    assert known.pairs(range(0, 3)).tolist() == [1, 5] and known.pairs(range(1, 2)).tolist() == []
+    assert known.least(range(0, 3)) == 1 and known.listed({0, 2}) == [7, 9] and known.listed({1}) == []
+
+
 def test_spans_are_cut_and_covered_documents_go(spark):
     item = " ".join(f"w{i}" for i in range(60))
     filler = " ".join(f"é{i}" for i in range(2000))
