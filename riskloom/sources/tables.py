@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from riskloom import schemas
 from riskloom.session import materialise
+from riskloom.sources.key_index import KeyIndex
 
 
 #: Keys of one pushed filter: beyond ten, Spark pushes only their bounds.
@@ -107,18 +108,15 @@ def append_audit(events: DataFrame, path: str) -> None:
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows whose keys the table does not hold yet: a repeated batch adds nothing, whenever it comes.
 
-    The check reads the key columns of the whole table, once. Within the batch the first write wins. Returns the batch's
-    rows that the table now holds: those appended, and those of an earlier delivery of the same batch.
+    The stored rows that share a key come from the table's ``KeyIndex``; the table itself is not read. Within the batch the
+    first write wins. Returns the batch's rows that the table now holds: those appended, and those of an earlier delivery
+    of the same batch.
     """
-    from riskloom.operators.store import first_write_wins
+    from riskloom.operators.store import insert_if_absent
 
-    spark = df.sparkSession
     dated = df.withColumn("event_date", F.to_date("timestamp"))
-    known = read_appended(spark, path, dated.schema)
-    fresh = dated
-    for key in keys:
-        fresh = fresh.join(known.select(key).where(F.col(key).isNotNull()), key, "left_anti")
-    fresh = materialise(first_write_wins(fresh, keys, ["timestamp", "transaction_id"]).select(*dated.columns), "append")
+    known = materialise(KeyIndex(df.sparkSession, path, keys).matching(dated), "known-keys")
+    fresh = materialise(insert_if_absent(known, dated, keys, ["timestamp", "transaction_id"]), "append")
     write_dated(fresh, path)
     old = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
