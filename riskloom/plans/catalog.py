@@ -23,6 +23,7 @@ from riskloom.schemas import FEATURES, TRANSACTION
 from riskloom.session import prepare, scratch_path
 from riskloom.sources import star
 from riskloom.sources import tables as tables_io
+from riskloom.sources.key_index import KeyIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -682,6 +683,18 @@ def _(spark, sf):
     return store.insert_if_absent(stored, sent, ["transaction_id", "idempotency_key"], ["timestamp", "transaction_id"]).select("transaction_id", "idempotency_key")
 
 
+@query("K3_key_index", f"""WITH {o.TXN}, k AS (SELECT transaction_id, us, "timestamp", customer_id || '|' || strftime("timestamp", '%Y-%m-%d %H') AS idempotency_key FROM txn),
+ stored AS (SELECT * FROM k WHERE "timestamp" < TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY us, transaction_id) = 1),
+ b AS (SELECT * FROM k WHERE "timestamp" >= TIMESTAMP '2024-01-15')
+ SELECT transaction_id, idempotency_key FROM stored
+ WHERE transaction_id IN (SELECT transaction_id FROM b) OR idempotency_key IN (SELECT idempotency_key FROM b)""")
+def _(spark, sf):
+    stored, sent = _batch(spark, sf)
+    path = scratch_path(spark, "key-index")
+    stored.select("transaction_id", "idempotency_key").write.parquet(path)
+    return KeyIndex(spark, path, ["transaction_id", "idempotency_key"]).matching(sent)
+
+
 def _crossing(t):
     """Every transaction under the key of its customer and hour, and again with the id of the customer's one before."""
     keyed = t.withColumn("idempotency_key", F.concat(F.col("customer_id"), F.lit("|"), F.date_format("timestamp", "yyyy-MM-dd HH")))
