@@ -1,6 +1,7 @@
 """History features: worked examples, brute force, hot-key parity, no leakage, plan shape."""
 
 import math
+import re
 import random
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
@@ -161,3 +162,17 @@ def test_ordinary_plan_shuffles_twice(spark):
     prepared = df._jdf.queryExecution().executedPlan().toString()
     assert prepared.count("Exchange hashpartitioning") == 2
     assert "SinglePartition" not in prepared and "CartesianProduct" not in physical
+
+
+@pytest.mark.parametrize("skew", [SkewPolicy(), HOT])
+def test_partitions_of_keyed_steps_follow_the_rows(spark, monkeypatch, skew):
+    """A task's share does not grow with the table: the session's number of partitions is no upper limit."""
+    from riskloom.operators import skew as dealing
+
+    df = frame(spark, skewed_rows())
+    want = features_of(df, skew)
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    plan = history.build_features(df, skew=skew)._jdf.queryExecution().executedPlan().toString()
+    given = [int(n) for n in re.findall(r"hashpartitioning\([^\n]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert len(given) >= 2 and max(given) >= df.count() // 10 > 8
+    assert features_of(df, skew) == want
