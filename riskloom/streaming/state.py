@@ -3,7 +3,8 @@
 A key's state is a head (count, sum of amounts, and per column the values last seen, of each hour that has events), the
 events of each hour, the first and last sight of every value, and the rows that may still change. A trigger whose rows
 are later than all before them reads the head, the hours at the edges of its windows and the values it holds, so a key
-with many events costs about as much as one with few. Every row is answered from strictly earlier events: rows of the
+with many events costs about as much as one with few. A key of at most ``SMALL`` events and sights has its events in one entry and
+its sights in the head: each access to the state is a round trip, and such a key needs few. Every row is answered from strictly earlier events: rows of the
 same time never see each other. The statistics are the raw ones of ``operators.history``, which finishes them with the
 same column code as in batch.
 
@@ -28,7 +29,7 @@ from itertools import accumulate, groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -40,6 +41,8 @@ HOUR_US = 3600 * SECOND
 DAY_US = 24 * HOUR_US
 HORIZON_US = max(seconds for _, seconds in DISTINCT_WINDOWS.values()) * SECOND
 EVENT_FIELDS = ["us", "transaction_id", "cents", "lat", "lon", "merchant_id", "country", "city", "device_id"]
+#: Events and sights up to which a key is a small one, and where its events are.
+SMALL, ALL = 600, -1
 #: Row payloads travel as JSON with microseconds kept.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATS = T.StructType([
@@ -100,6 +103,11 @@ class History:
         self.last, self.kept, self.timer = head.get("last"), head.get("kept"), head.get("timer")
         self.hours: dict[int, Hour] = {}
         self.seen: dict[tuple[str, Any], tuple[int, int] | None] = {}
+        #: Of a small key the events of each hour and the sights; None once they lie in states of their own.
+        small = not head or "sights" in head
+        self.sights: dict[str, Any] | None = head.get("sights", {}) if small else None
+        self.packed: dict[int, list[list]] | None = self._all_events() if small and self.totals else {} if small else None
+        self.changed = False
         self._order()
 
     def _order(self) -> None:
@@ -109,14 +117,59 @@ class History:
 
     def hour(self, h: int) -> Hour:
         if h not in self.hours:
-            self.hours[h] = Hour(json.loads(self.hours_state.getValue((h,))[0]) if h in self.totals else [])
+            self.hours[h] = Hour(self._events_of(h) if h in self.totals else [])
         return self.hours[h]
 
+    def _all_events(self) -> dict[int, list[list]]:
+        events = json.loads(self.hours_state.getValue((ALL,))[0])
+        return {h: list(own) for h, own in groupby(events, key=lambda e: e[0] // HOUR_US)}
+
+    def _events_of(self, h: int) -> list[list]:
+        return json.loads(self.hours_state.getValue((h,))[0]) if self.packed is None else self.packed[h]
+
+    def _put_events(self, h: int, events: list[list]) -> None:
+        if self.packed is None:
+            self.hours_state.updateValue((h,), (json.dumps(events, separators=(",", ":")),))
+        else:
+            self.packed[h], self.changed = events, True
+
+    def _drop_events(self, h: int) -> None:
+        if self.packed is None:
+            self.hours_state.removeKey((h,))
+        else:
+            del self.packed[h]
+            self.changed = True
+
+    def _put_sight(self, entity: str, sight: tuple[int, int]) -> None:
+        if self.sights is None:
+            self.seen_state.updateValue((entity,), sight)
+        else:
+            self.sights[entity] = sight
+
+    def _drop_sight(self, entity: str) -> None:
+        if self.sights is None:
+            self.seen_state.removeKey((entity,))
+        else:
+            self.sights.pop(entity, None)
+
+    def _unpack(self) -> None:
+        """Give each hour and each sight its own place: the key has grown."""
+        packed, sights = self.packed, self.sights
+        self.packed = self.sights = None
+        self.hours_state.removeKey((ALL,))
+        for h, events in packed.items():
+            self._put_events(h, events)
+        for entity, sight in sights.items():
+            self._put_sight(entity, tuple(sight))
+
     def sight(self, column: str, value: Any) -> tuple[int, int] | None:
         """First and last time of a value."""
         if (column, value) not in self.seen:
-            key = (_entity(column, value),)
-            found = self.seen_state.getValue(key) if self.seen_state.containsKey(key) else None
+            entity = _entity(column, value)
+            if self.sights is not None:
+                found = self.sights.get(entity)
+            else:
+                found = self.seen_state.getValue((entity,)) if self.seen_state.containsKey((entity,)) else None
             self.seen[column, value] = None if found is None else (int(found[0]), int(found[1]))
         return self.seen[column, value]
 
@@ -161,7 +214,7 @@ class History:
             if not fresh:
                 continue
             self.hours[h] = Hour([*hour.events, *fresh])
-            self.hours_state.updateValue((h,), (json.dumps(self.hours[h].events, separators=(",", ":")),))
+            self._put_events(h, self.hours[h].events)
             total = self.totals.setdefault(h, [0] * (3 + len(self.counted)))
             total[0] += len(fresh)
             total[1] += sum(e[2] for e in fresh)
@@ -183,7 +236,7 @@ class History:
                 self.totals[known[1] // HOUR_US][at] -= 1
             self.totals[last // HOUR_US][at] += 1
         if (first, last) != known and (value is not None or column in self.known):
-            self.seen_state.updateValue((_entity(column, value),), (first, last))
+            self._put_sight(_entity(column, value), (first, last))
         self.seen[column, value] = (first, last)
 
     def fold(self, before_us: int) -> None:
@@ -197,9 +250,9 @@ class History:
             for k, column in enumerate(self.columns):
                 for value in {e[5 + k] for e in hour.events} if column not in self.known else ():
                     if value is not None and (sight := self.sight(column, value)) and sight[1] // HOUR_US <= h:
-                        self.seen_state.removeKey((_entity(column, value),))
+                        self._drop_sight(_entity(column, value))
                         self.seen[column, value] = None
-            self.hours_state.removeKey((h,))
+            self._drop_events(h)
             self.hours.pop(h, None)
         self._order()
 
@@ -234,7 +287,16 @@ class History:
             self.timer = at
 
     def store(self) -> None:
+        if self.packed is not None and self.sums[0][-1] + len(self.sights) > SMALL:
+            self._unpack()
         head = {"older": self.older, "hours": self.totals, "last": self.last, "kept": self.kept, "timer": self.timer}
+        if self.packed is not None:
+            head["sights"] = self.sights
+            if self.changed and self.packed:
+                events = [e for h in self.order for e in self.packed[h]]
+                self.hours_state.updateValue((ALL,), (json.dumps(events, separators=(",", ":")),))
+            elif self.changed:
+                self.hours_state.removeKey((ALL,))
         self.head_state.update((json.dumps(head, separators=(",", ":")),))
 
     def forget(self) -> None:
@@ -287,7 +349,10 @@ class _Keyed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "transaction_id", "sent"], ignore_index=True)
-        batch = _plain(batch, [*self.fields, "row"])
+        yield self._frame(key[0], self.answers(_plain(batch, [*self.fields, "row"]), timerValues))
+
+    def answers(self, batch: list[dict], timerValues) -> list[dict]:  # noqa: N803
+        """Rows of the current key, in order, with their statistics and versions."""
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         history = self.history
         history.load()
@@ -306,8 +371,8 @@ class _Keyed(StatefulProcessor):
                 found = self._anew(part)
             out += [{**r, **f, "version": v} for r, f, v in zip(part, found, versions, strict=True)]
             history.keep_rows([(r["us"], r["transaction_id"], v, r["row"]) for r, v in zip(part, versions, strict=True) if r["us"] >= watermark], watermark)
-        yield self._frame(key[0], out)
         self._tidy(watermark)
+        return out
 
     def _parts(self, batch: list[dict]) -> Iterator[list[dict]]:
         """The batch, cut where the key has been idle for too long."""
@@ -505,6 +570,28 @@ class DeviceCustomers(_Keyed):
         return pd.DataFrame(out).assign(device_id=key)[[f.name for f in DEVICE_STATS.fields]]
 
 
+class ByRow(StatefulProcessor):
+    """Runs a keyed processor on rows: with many small keys, a table for each costs more than its rows do."""
+
+    def __init__(self, keyed: _Keyed, key: str, schema: T.StructType) -> None:
+        self.keyed, self.key, self.names = keyed, key, [f.name for f in schema.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.keyed.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        made = Row(*self.names)
+        batch = sorted((r.asDict() for r in rows), key=lambda r: (r["us"], r["transaction_id"], r["sent"]))
+        for r in self.keyed.answers(batch, timerValues):
+            yield made(*[key[0] if n == self.key else r[n] for n in self.names])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self.keyed.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def close(self) -> None:
+        self.keyed.close()
+
+
 def stream_customer_features(events: DataFrame, idle_days: int | None = None) -> DataFrame:
     """Customer history statistics of a stream of transactions, finished into the named features, with ``version``.
 
@@ -515,8 +602,8 @@ def stream_customer_features(events: DataFrame, idle_days: int | None = None) ->
     schema = T.StructType([f for f in events.schema.fields])
     shaped = events.withColumns({"us": micros(F.col("timestamp")), "cents": (F.col("amount") * 100).cast("long")})
     keyed = shaped.select("customer_id", "timestamp", F.lit(0).cast("long").alias("sent"), *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
-    stats = keyed.groupBy("customer_id").transformWithStateInPandas(
-        statefulProcessor=CustomerHistory(idle_days), outputStructType=STATS, outputMode="Append", timeMode="EventTime")
+    stats = keyed.groupBy("customer_id").transformWithState(
+        statefulProcessor=ByRow(CustomerHistory(idle_days), "customer_id", STATS), outputStructType=STATS, outputMode="Append", timeMode="EventTime")
     known = F.struct(F.col("prev_us").alias("us"), F.col("prev_id").alias("transaction_id"), F.col("prev_lat").alias("lat"), F.col("prev_lon").alias("lon"))
     rest = [c for c in stats.columns if c not in ("row", "transaction_id", "customer_id") and not c.startswith("prev_")]
     opened = stats.select(
@@ -534,8 +621,8 @@ def stream_device_features(events: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in events.schema.fields])
     sent = F.col("version") if "version" in events.columns else F.lit(0).cast("long")
     keyed = events.select(F.coalesce("device_id", F.lit("")).alias("device_id"), "timestamp", "transaction_id", "customer_id", sent.alias("sent"), micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
-    stats = keyed.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=DeviceCustomers(), outputStructType=DEVICE_STATS, outputMode="Append", timeMode="EventTime")
+    stats = keyed.groupBy("device_id").transformWithState(
+        statefulProcessor=ByRow(DeviceCustomers(), "device_id", DEVICE_STATS), outputStructType=DEVICE_STATS, outputMode="Append", timeMode="EventTime")
     count = F.greatest(F.lit(1), F.col("device_customers")).alias("device_customer_count")
     return stats.select(F.from_json("row", schema, JSON).alias("r"), count, F.col("version").alias("device_version")).select("r.*", "device_customer_count", "device_version")
 

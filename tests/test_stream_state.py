@@ -243,3 +243,27 @@ def test_a_trigger_reads_as_much_of_a_large_key_as_of_a_small_one():
         held = sum(len(str(e)) for e in stream.handle.states["hours"].entries.values())
         assert n == 300 or read[n] < held / 25  # the head, the hours at the windows' edges, and the rows that may change
     assert read[60_000] < 20 * read[300]
+
+
+@pytest.mark.parametrize("small", [0, 60, 10**6])
+def test_small_and_large_keys_give_the_same(monkeypatch, small):
+    """A key's state moves to entries of its own once it has grown, also between late rows."""
+    monkeypatch.setattr(state, "SMALL", small)
+    rows = events(140, 2)
+    stream = Stream(CustomerHistory(), 400 * DAY_US)
+    out = [g for b in shuffled_batches(rows, 2) for g in stream.send(b)]
+    check_customer(rows, latest(out))
+    assert (state.ALL,) in stream.handle.states["hours"].entries or small < 10**6
+    assert len(stream.handle.states["hours"].entries) > 1 or small == 10**6
+
+
+def test_a_small_key_needs_few_accesses(monkeypatch):
+    """Each access to the state is a round trip: their number must not follow the rows of a small key."""
+    calls = []
+    for name in ("exists", "get", "update", "put", "appendList", "containsKey", "getValue", "updateValue", "removeKey"):
+        monkeypatch.setattr(Fake, name, lambda self, *a, own=getattr(Fake, name): calls.append(1) or own(self, *a))
+    rows, stream = events(72, 5), Stream(CustomerHistory(), 400 * DAY_US)
+    for start in range(0, 72, 24):
+        calls.clear()
+        stream.send(rows[start : start + 24])
+        assert len(calls) <= 8
