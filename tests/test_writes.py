@@ -1,5 +1,7 @@
 """Idempotent writes, null scores and the shared folder."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,39 @@ def test_first_write_wins_over_several_keys(spark):
     assert store.first_write_wins(rows.limit(0), ["t", "k"], ["n"]).collect() == []
 
 
+def _written(rows):
+    """Plain first write wins: rows (n, t, k) in order of n."""
+    kept, seen = [], (set(), set())
+    for row in sorted(rows, key=lambda r: r[0]):
+        if not any(v in s for v, s in zip(row[1:], seen, strict=True)):
+            kept.append(row)
+            for v, s in zip(row[1:], seen, strict=True):
+                s.update(() if v is None else (v,))
+    return kept
+
+
+def test_rounds_do_not_follow_the_chain(spark):
+    n = 300  # each row shares a key with the one before
+    rows = [(i, f"t{(i + 1) // 2}", f"k{i // 2}") for i in range(n)] + [(n + i, "t7", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "n int, t string, k string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    kept = store.first_write_wins(df, ["t", "k"], ["n"]).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(map(tuple, kept), key=lambda r: r[0]) == _written(rows)
+    assert jobs < 250  # some 150 rounds before, each with several jobs
+
+
+def test_long_chains_go_by_slices(spark):
+    rng = random.Random(5)
+    value = lambda letter, many: None if rng.random() < 0.1 else f"{letter}{rng.randrange(many)}"
+    rows = [(i, value("t", 120), value("k", 150)) for i in range(400)] + [(400 + i, f"x{(i + 1) // 2}", f"y{i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "n int, t string, k string").repartition(5)
+    for chain_rows in (7, 1000):
+        kept = store.first_write_wins(df, ["t", "k"], ["n"], chain_rows).collect()
+        assert sorted(map(tuple, kept), key=lambda r: r[0]) == _written(rows)
+
+
 def test_a_repeat_after_thirty_days_is_one_row(spark):
     path = session.scratch_path(spark, "test-append")
     first = spark.createDataFrame([("t1", "k1", "2024-01-01 10:00:00")], "transaction_id string, idempotency_key string, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
