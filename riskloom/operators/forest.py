@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clip
@@ -74,9 +74,7 @@ def isolation_forest_fit(df: DataFrame, id_column: str = "transaction_id", featu
     share = min(1.0, tree_rows / max(total, 1))
     # A row joins a tree by two numbers from a hash of its id: reproducible after a lost executor, no random state.
     digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
-    number = lambda k: F.conv(F.substring("digest", k, 7), 16, 10).cast("long")
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (number(1) + number(8) * t) % PRIME < F.lit(int(share * PRIME)))
-    members = points.withColumn("digest", digest).select(F.explode(drawn).alias("tree"), "id", *names)
+    members = points.select(F.explode(_trees_of(digest, trees, int(share * PRIME))).alias("tree"), "id", *names)
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("id")[names].to_numpy(dtype=float)
@@ -84,11 +82,19 @@ def isolation_forest_fit(df: DataFrame, id_column: str = "transaction_id", featu
 
     nodes = materialise(members.groupBy("tree").applyInPandas(grow, NODES), "forest")
     forest = IsolationForest(nodes, tuple(names), share * total)
-    raw = raw_scores(forest, points)
-    marks = exact_percentiles(raw.select("raw"), [], "raw", {"low": 0.01, "high": 0.99}).first()
+    raw = materialise(raw_scores(forest, points).select("raw"), "raw-scores")  # scored once: later filters would score again
+    marks = exact_percentiles(raw, [], "raw", {"low": 0.01, "high": 0.99}).first()
     return IsolationForest(nodes, tuple(names), share * total, marks["low"], marks["high"])
 
 
+def _trees_of(digest: Column, trees: int, most: int) -> Column:
+    """Trees that a row joins. Its two numbers are taken once: within a lambda over the trees they would be for each tree."""
+    number = lambda d, k: F.conv(F.substring(d, k, 7), 16, 10).cast("long")
+    numbers = F.transform(F.array(digest), lambda d: F.struct(number(d, 1).alias("a"), number(d, 8).alias("b")))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    return F.flatten(F.transform(numbers, lambda n: F.filter(every, lambda t: (n["a"] + n["b"] * t) % PRIME < F.lit(most))))
+
+
 def _packed(forest: IsolationForest) -> dict[str, np.ndarray]:
     """The forest as flat arrays with absolute child positions."""
     pdf = forest.nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
@@ -98,10 +104,10 @@ def _packed(forest: IsolationForest) -> dict[str, np.ndarray]:
     own = np.arange(len(pdf))
     return {
         "roots": start,
-        "feature": np.where(leaf, 0, pdf["feature"]).astype(np.int32),
+        "feature": np.where(leaf, 0, pdf["feature"]).astype(np.intp),
         "threshold": pdf["threshold"].to_numpy(),
-        "left": np.where(leaf, own, pdf["left_node"] + base).astype(np.int32),
-        "right": np.where(leaf, own, pdf["right_node"] + base).astype(np.int32),
+        # The right child, then the left one of each node.
+        "children": np.column_stack([np.where(leaf, own, pdf["right_node"] + base), np.where(leaf, own, pdf["left_node"] + base)]).astype(np.intp).ravel(),
         "path": pdf["path"].to_numpy(),
         "depth": int(math.ceil(math.log2(max(pdf["n_rows"].max(), 2)))) + 1,
     }
@@ -117,12 +123,13 @@ def raw_scores(forest: IsolationForest, df: DataFrame) -> DataFrame:
         f = shared.value
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            rows, total = np.arange(len(x)), np.zeros(len(x))
+            flat, begins, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
             for root in f["roots"]:
-                at = np.full(len(x), root, dtype=np.int32)
+                at = np.full(len(x), root, dtype=np.intp)
                 for _ in range(f["depth"]):
-                    at = np.where(x[rows, f["feature"][at]] <= f["threshold"][at], f["left"][at], f["right"][at])
-                total += f["path"][at]
+                    goes_left = flat.take(begins + f["feature"].take(at)) <= f["threshold"].take(at)
+                    at = f["children"].take(at + at + goes_left)
+                total += f["path"].take(at)
             yield pd.Series(-np.power(2.0, -(total / len(f["roots"])) / norm))
 
     inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.features]

@@ -111,3 +111,27 @@ def test_top_drivers(spark):
     r = attribution.with_top_drivers(df, 3).first()
     assert [d["feature"] for d in r["shap_positive_drivers"]] == ["c", "a"]
     assert [d["feature"] for d in r["shap_negative_drivers"]] == ["d", "b"]
+
+
+def test_isolation_forest_scores_a_row_once(spark, monkeypatch):
+    table = spark.range(0, 2000, 1, 4).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") % 97).cast("double").alias("amount"), (F.col("id") % 11).cast("double").alias("hour_of_day"))
+    scored, raw_scores = spark.sparkContext.accumulator(0), forest.raw_scores
+
+    def counted(model, df):
+        look = F.udf(lambda x: scored.add(1) or x, "double")
+        return raw_scores(model, df).withColumn("raw", look("raw"))
+
+    monkeypatch.setattr(forest, "raw_scores", counted)
+    forest.isolation_forest_fit(table, features=["amount", "hour_of_day"], trees=5, tree_rows=64)
+    assert scored.value == 2000
+
+
+def test_trees_of_a_row_are_drawn_from_its_two_numbers(spark):
+    rows = spark.range(50).select(F.md5(F.col("id").cast("string").cast("binary")).alias("digest"))
+    column = forest._trees_of(F.col("digest"), 120, 60_000)
+    out = rows.select("digest", column.alias("trees"))
+    for r in out.collect():
+        a, b = int(r["digest"][:7], 16), int(r["digest"][7:14], 16)
+        assert r["trees"] == [t for t in range(120) if (a + b * t) % forest.PRIME < 60_000]
+    each = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in each[each.index("filter(") :]
