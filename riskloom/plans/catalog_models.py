@@ -219,7 +219,8 @@ def _(spark, sf):
 
 @query("M8_isolation_forest_score")
 def _(spark, sf):
-    return forest.isolation_forest_score(isolation(spark, sf), history.build_features(txn(spark, sf), star.customers(spark, sf))).select("transaction_id", "is_fraud", "anomaly_score")
+    # The stored features of all rows, which the forest was fitted on a part of.
+    return forest.isolation_forest_score(isolation(spark, sf), training_table(spark, sf)).select("transaction_id", "is_fraud", "anomaly_score")
 
 
 @query("M9_anomaly_separation", f"WITH {o.SCORED} SELECT {o.r('avg(anomaly) FILTER (NOT is_fraud)', 6)} AS mean_legitimate, {o.r('avg(anomaly) FILTER (is_fraud)', 6)} AS mean_fraud, "

@@ -135,3 +135,11 @@ def test_trees_of_a_row_are_drawn_from_its_two_numbers(spark):
         assert r["trees"] == [t for t in range(120) if (a + b * t) % forest.PRIME < 60_000]
     each = out._jdf.queryExecution().optimizedPlan().toString()
     assert "conv(" not in each[each.index("filter(") :]
+
+
+def test_scored_rows_read_the_features_that_the_forest_was_fitted_on(spark):
+    from riskloom.plans import catalog, catalog_models
+
+    sf = "/root/testdata/sf0.001"
+    out = catalog.QUERIES["M8_isolation_forest_score"](spark, sf)
+    assert out.inputFiles() and set(out.inputFiles()) == set(catalog_models.training_table(spark, sf).inputFiles())
