@@ -119,3 +119,23 @@ def test_a_shared_folder_must_be_named():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Unset)
+
+
+def test_repeats_in_a_batch_are_dropped_before_it_is_stored(spark, monkeypatch):
+    from riskloom.operators.history import all_features
+    from riskloom.sources import star
+
+    t = star.transactions(spark, "/root/testdata/sf0.001").where("event_id < 20").withColumn("idempotency_key", F.col("transaction_id"))
+    scored = session.materialise(pipeline.stream_score(all_features(t)), "scored")
+    stored, materialise = {}, pipeline.materialise
+
+    def kept(df, label):
+        out = materialise(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pipeline, "materialise", kept)
+    layout = pipeline.Layout(session.scratch_path(spark, "test-sink"))
+    pipeline.persist_decision(layout)(scored.unionByName(scored), 0)
+    tables = [spark.read.parquet(layout.at(name)).count() for name in ("transactions", "predictions", "risk_decisions")]
+    assert tables == [scored.count()] * 3 and stored["persist"] == scored.count()
