@@ -45,6 +45,17 @@ def test_champion_and_attribution_add_up(spark, table):
     assert np.allclose(base, attribution.expected_value(nodes), atol=1e-9)
 
 
+def test_forest_does_not_depend_on_how_its_rows_are_stored(table):
+    """The rows of a share and their order follow from the rows, so that bagging does too, and shares are equal."""
+    stored = table.repartition(1), table.repartition(11, "transaction_id")
+    trees = [models.random_forest_baseline(df, NAMES, 5, 4).stages[-1].toDebugString for df in stored]
+    assert trees[0].split("\n", 1)[1] == trees[1].split("\n", 1)[1]
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    for at_most, shares in ((1500, cores), (100, 2 * cores)):
+        sizes = [len(part) for part in models.in_waves(table.repartition(3), 1500, at_most).rdd.glom().collect()]
+        assert len(sizes) == shares and sum(sizes) == 1500 and max(sizes) <= 2 * 1500 / shares
+
+
 def test_attribution_of_a_saved_forest(spark, table):
     model = models.random_forest_baseline(table, NAMES, 5, 4)
     path = scratch_path(spark, "test-forest")
