@@ -75,20 +75,17 @@ class Encoder:
         pieces, distinct = dictionary(data, np.append(at, len(data)))
         bounds = np.searchsorted(at, offsets)
         bounds[offsets >= len(data)] = len(at)
-        coded = self._coded(distinct.to_pylist())
+        coded = self._coded(distinct.to_numpy(zero_copy_only=False).tolist())
         if self.end is not None:
             pieces = np.insert(pieces, bounds[1:], len(coded))
             bounds = bounds + np.arange(len(bounds))
             coded.append(self.end.to_bytes(4, "little"))
-        lengths = np.fromiter(map(len, coded), np.int32, len(coded)) >> 2
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        begins = np.cumsum(lengths, dtype=np.int32) - lengths
-        sizes = lengths[pieces]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat((begins[pieces] - (ends - sizes)).astype(np.int32), sizes)
-        source += np.arange(total, dtype=np.int32)
-        return flat[source], np.concatenate([[0], ends])[bounds]
+        if not len(pieces):
+            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+        # The pieces' ids as bytes, one after another, are the values of the array that take makes of them.
+        _, ends, flat = pa.array(coded, pa.large_binary()).take(pa.array(pieces)).buffers()
+        ends = np.frombuffer(ends, np.int64, len(pieces) + 1) >> 2
+        return np.frombuffer(flat, "<u4", int(ends[-1])), ends[bounds]
 
     def _added_in(self, data: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
         """Where added tokens stand, none of them across two texts."""
@@ -116,7 +113,7 @@ class Encoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
             ends = np.cumsum([0, *map(len, ids)]) * 4
             flat = np.fromiter(chain.from_iterable(ids), "<u4", int(ends[-1]) // 4).tobytes()
-            known.update((p, flat[a:b]) for p, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            known.update(zip(new, map(flat.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())), strict=True))
         return list(map(known.__getitem__, pieces))
 
 
