@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.columns import carried, restored, tidy
@@ -191,7 +191,7 @@ def _components(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent:
     sketches = materialise(reps.join(home, "rep", "left_semi").select("rep", "sketch").dropDuplicates(["rep"]), "near-sketches")
     texts = _marked(docs).join(one.join(home, "rep", "left_semi"), ["doc_id", "mark"]).select("rep", "text")
     sets = materialise(texts.mapInArrow(_sets, "rep long, elements binary").dropDuplicates(["rep"]), "near-sets")
-    labels = spark.createDataFrame([], "rep long, component long")
+    labels = no_labels(spark)
     # Same id, different texts: linked by the id.
     twice = linked_by_id(signed, classes)
     if twice is not None:
@@ -212,6 +212,11 @@ def _components(docs: DataFrame, signed: DataFrame, classes: DataFrame, percent:
     return merge(labels, materialise(_sweep(members, labels, home, sketches, sets, percent), "near-links"))
 
 
+def no_labels(spark: SparkSession) -> DataFrame:
+    """No groups (rep, component), known as empty to the planner: rows given from Python would start workers at each use."""
+    return spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("component"))
+
+
 def _known(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their groups, of the buckets that hold several groups."""
     known = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -303,26 +308,27 @@ def _close(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (ids, of, x), (others, others_of, y) = (_columns(row[c]) for c in ("x", "y"))
+            for k in range(batch.num_rows):  # one unit's documents at a time
+                unit = batch.slice(k, 1)
+                (ids, of, x), (others, others_of, y) = (_columns(unit.column(c).flatten()) for c in ("x", "y"))
                 a, b = [], []
                 for i in range(len(ids)):
                     near = ((y == x[i]).sum(axis=1) >= least) & (others_of != of[i])
-                    if row["left"] == row["right"]:
+                    if unit.column("left") == unit.column("right"):
                         near &= others > ids[i]
                     b.append(others[near])
                     a.append(np.full(len(b[-1]), ids[i]))
                 a, b = np.concatenate(a), np.concatenate(b)
                 if len(a):
                     kind = pa.list_(pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([row["left"]]), pa.array([row["right"]]), pa.array([a], kind), pa.array([b], kind)], names=["left", "right", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([unit.column("left"), unit.column("right"), pa.array([a], kind), pa.array([b], kind)], names=["left", "right", "a", "b"])
 
     return run
 
 
-def _columns(docs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sketch = np.frombuffer(b"".join(d["sketch"] for d in docs), np.uint8).reshape(len(docs), -1)
-    return np.array([d["rep"] for d in docs]), np.array([d["component"] for d in docs]), sketch
+def _columns(docs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rep, component, sketch = docs.flatten()
+    return rep.to_numpy(), component.to_numpy(), np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(docs), -1)
 
 
 def _exact(percent: int):

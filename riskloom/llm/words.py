@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -58,7 +59,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker idles for a minute beside the tasks of later stages, and the C library
+    alone keeps what a task took at most."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def process_cache() -> dict:

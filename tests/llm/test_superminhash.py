@@ -123,3 +123,9 @@ def test_an_id_with_different_texts(spark):
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {tuple(r) for r in queries.QUERIES["op10_superminhash"](spark, sf).collect()} == plain(docs)
+
+
+def test_no_groups_take_no_python_workers(spark):
+    empty = superminhash.no_labels(spark)
+    assert empty.columns == ["rep", "component"] and [k for _, k in empty.dtypes] == ["bigint", "bigint"]
+    assert "ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString() and not empty.collect()

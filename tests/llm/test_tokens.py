@@ -1,5 +1,6 @@
 """Token ids piece by piece against whole texts; packing and token files against plain encoding."""
 
+import pathlib
 import random
 import re
 import zlib
@@ -193,3 +194,16 @@ def test_an_id_of_many_rows_spreads_over_files(spark):
     digests = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in token_files.token_digests(spark, path).collect())
     assert [d[2] for d in digests] == sorted(d[2] for d in digests)
     assert all(a[0] + a[1] == b[0] for a, b in zip(digests, digests[1:], strict=False))
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    before = held()
+    taken = [bytes(4000) for _ in range(50_000)]
+    last = [taken[k] for k in range(0, len(taken), 1000)]  # what stays keeps the C library from shrinking its heap
+    del taken
+    assert held() > before + 100
+    assert not list(slices(iter([])))
+    assert held() < before + 60 and len(last) == 50
