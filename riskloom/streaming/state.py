@@ -3,8 +3,9 @@
 A key's state is a head (count, sum of amounts, and per column the values last seen, of each hour that has events), the
 events of each hour, the first and last sight of every value, and the rows that may still change. A trigger whose rows
 are later than all before them reads the head, the hours at the edges of its windows and the values it holds, so a key
-with many events costs about as much as one with few. A key of at most ``SMALL`` events and sights has its events in one entry and
-its sights in the head: each access to the state is a round trip, and such a key needs few. Every row is answered from strictly earlier events: rows of the
+with many events costs about as much as one with few. Each access to the state is a round trip, so they are few: sights lie in
+parts of about ``SIGHTS`` by a hash, and rows that may change in parts of up to ``ROWS``. A key of at most ``SMALL`` events and
+sights has its events in one entry and its sights in the head, and all states of a key are one entry while they are short (``Packed``). Every row is answered from strictly earlier events: rows of the
 same time never see each other. The statistics are the raw ones of ``operators.history``, which finishes them with the
 same column code as in batch.
 
@@ -26,10 +27,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import accumulate, groupby
+from operator import itemgetter
 from typing import Any
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -40,9 +43,14 @@ from riskloom.operators.history import COUNT_WINDOWS, DEVICE_WINDOW, DISTINCT_WI
 HOUR_US = 3600 * SECOND
 DAY_US = 24 * HOUR_US
 HORIZON_US = max(seconds for _, seconds in DISTINCT_WINDOWS.values()) * SECOND
+WIDTHS = {*COUNT_WINDOWS.values(), *SUM_WINDOWS.values()}
 EVENT_FIELDS = ["us", "transaction_id", "cents", "lat", "lon", "merchant_id", "country", "city", "device_id"]
 #: Events and sights up to which a key is a small one, and where its events are.
 SMALL, ALL = 600, -1
+#: Sights and rows of a part, parts of rows from which on neighbours are joined, and answers of an output row.
+SIGHTS, ROWS, PARTS, ANSWERS = 200, 256, 8, 200
+#: Characters up to which all states of a key are one entry.
+PACKED = 100_000
 #: Row payloads travel as JSON with microseconds kept.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 STATS = T.StructType([
@@ -91,16 +99,19 @@ class History:
         self.handle = handle
         self.head_state = handle.getValueState("head", "json string")
         self.hours_state = handle.getMapState("hours", "hour long", "events string")
-        self.seen_state = handle.getMapState("seen", "entity string", "first long, last long")
-        self.rows_state = handle.getListState("rows", "us long, transaction_id string, version long, row string")
+        self.seen_state = handle.getMapState("seen", "part long", "sights string")
+        self.rows_state = handle.getMapState("rows", "part long", "rows string")
 
     def load(self) -> None:
         """Read the head; all else is read when it is asked for."""
-        head = json.loads(self.head_state.get()[0]) if self.head_state.exists() else {}
+        found = self.head_state.get()
+        head = json.loads(found[0]) if found else {}
         self.older = head.get("older", {"n": 0, "cents": 0, "squares": 0, "last": None})
         #: Per hour: events, their cents, squares, and for each counted column the values last seen then.
         self.totals = {int(h): v for h, v in head.get("hours", {}).items()}
-        self.last, self.kept, self.timer = head.get("last"), head.get("kept"), head.get("timer")
+        self.last, self.timer = head.get("last"), head.get("timer")
+        #: Parts of the rows that may change: number, rows, their first and last time; what was stored later comes later.
+        self.kept: list[list[int]] = head.get("kept", [])
         self.hours: dict[int, Hour] = {}
         self.seen: dict[tuple[str, Any], tuple[int, int] | None] = {}
         #: Of a small key the events of each hour and the sights; None once they lie in states of their own.
@@ -108,10 +119,15 @@ class History:
         self.sights: dict[str, Any] | None = head.get("sights", {}) if small else None
         self.packed: dict[int, list[list]] | None = self._all_events() if small and self.totals else {} if small else None
         self.changed = False
+        #: Of a large key how many parts its sights lie in, how many there are, the parts that were read, and those that have changed.
+        self.parts, self.n_sights = head.get("parts", (1, 0))
+        self.read: dict[int, dict[str, Any]] = {}
+        self.written: set[int] = set()
         self._order()
 
     def _order(self) -> None:
         self.order = sorted(self.totals)
+        self.lasts: dict[tuple[str, int], list[int]] = {}
         width = 3 + len(self.counted)
         self.sums = [[0, *accumulate(self.totals[h][k] for h in self.order)] for k in range(width)]
 
@@ -140,36 +156,62 @@ class History:
             del self.packed[h]
             self.changed = True
 
+    def _place(self, entity: str) -> int:
+        return crc32(entity.encode("utf-8", "surrogatepass")) % self.parts
+
+    def _sights_of(self, part: int) -> dict[str, Any]:
+        if part not in self.read:
+            self.read[part] = json.loads(self.seen_state.getValue((part,))[0])
+        return self.read[part]
+
     def _put_sight(self, entity: str, sight: tuple[int, int]) -> None:
         if self.sights is None:
-            self.seen_state.updateValue((entity,), sight)
+            part = self._place(entity)
+            held = self._sights_of(part)
+            self.n_sights += entity not in held
+            held[entity] = sight
+            self.written.add(part)
         else:
             self.sights[entity] = sight
 
     def _drop_sight(self, entity: str) -> None:
         if self.sights is None:
-            self.seen_state.removeKey((entity,))
+            part = self._place(entity)
+            if self._sights_of(part).pop(entity, None) is not None:
+                self.n_sights -= 1
+                self.written.add(part)
         else:
             self.sights.pop(entity, None)
 
     def _unpack(self) -> None:
-        """Give each hour and each sight its own place: the key has grown."""
+        """Give each hour its own place, and the sights theirs: the key has grown."""
         packed, sights = self.packed, self.sights
         self.packed = self.sights = None
         self.hours_state.removeKey((ALL,))
         for h, events in packed.items():
             self._put_events(h, events)
-        for entity, sight in sights.items():
-            self._put_sight(entity, tuple(sight))
+        self.parts, self.n_sights, self.read, self.written = 1, len(sights), {0: sights}, {0}
+
+    def _store_sights(self) -> None:
+        """Write the parts that have changed; with more than twice or less than an eighth of the sights that parts are for, deal
+        them out anew."""
+        fit = max(1, -(-self.n_sights // SIGHTS))
+        if fit > 2 * self.parts or 8 * fit < self.parts:
+            every = [item for part in range(self.parts) for item in self._sights_of(part).items()]
+            for part in range(fit, self.parts):
+                self.seen_state.removeKey((part,))
+            self.parts, self.read, self.written = fit, {part: {} for part in range(fit)}, set(range(fit))
+            for entity, sight in every:
+                self.read[self._place(entity)][entity] = sight
+        for part in sorted(self.written):
+            self.seen_state.updateValue((part,), (json.dumps(self.read[part], separators=(",", ":")),))
+        self.written = set()
 
     def sight(self, column: str, value: Any) -> tuple[int, int] | None:
         """First and last time of a value."""
         if (column, value) not in self.seen:
             entity = _entity(column, value)
-            if self.sights is not None:
-                found = self.sights.get(entity)
-            else:
-                found = self.seen_state.getValue((entity,)) if self.seen_state.containsKey((entity,)) else None
+            found = (self._sights_of(self._place(entity)) if self.sights is None else self.sights).get(entity)
             self.seen[column, value] = None if found is None else (int(found[0]), int(found[1]))
         return self.seen[column, value]
 
@@ -197,16 +239,24 @@ class History:
         i = bisect_right(self.order, x // HOUR_US)
         n = sums[-1] - sums[i]
         if i and self.order[i - 1] == x // HOUR_US:
-            hour, at = self.hour(self.order[i - 1]), 5 + self.columns.index(column)
-            sights = {(e[at], e[0]) for e in hour.events[bisect_left(hour.us, x) :] if e[at] is not None}
-            n += sum(self.sight(column, value)[1] == us for value, us in sights)
+            last = self._last_sights(column, self.order[i - 1])
+            n += len(last) - bisect_left(last, x)
         return n
 
+    def _last_sights(self, column: str, h: int) -> list[int]:
+        """When values were last seen, of those whose last sight is in an hour: the times in order."""
+        if (column, h) not in self.lasts:
+            at = 5 + self.columns.index(column)
+            sights = {(e[at], e[0]) for e in self.hour(h).events if e[at] is not None}
+            self.lasts[column, h] = sorted(us for value, us in sights if self.sight(column, value)[1] == us)
+        return self.lasts[column, h]
+
     def all_events(self) -> list[list]:
         return [e for h in self.order for e in self.hour(h).events]
 
     def add(self, events: list[list]) -> None:
         """Put events in their places; ones that are there already stay as they are."""
+        spans: dict[tuple[str, Any], tuple[int, int]] = {}
         for h, own in groupby(sorted(events, key=lambda e: (e[0], e[1])), key=lambda e: e[0] // HOUR_US):
             hour = self.hour(h)
             there = {(e[0], e[1]) for e in hour.events}
@@ -219,12 +269,13 @@ class History:
             total[0] += len(fresh)
             total[1] += sum(e[2] for e in fresh)
             total[2] += sum(e[2] ** 2 for e in fresh)
-            for k, column in enumerate(self.columns):
-                for value, found in groupby(sorted(fresh, key=lambda e: (e[5 + k] is not None, e[5 + k] or "")), key=lambda e: e[5 + k]):
-                    times = [e[0] for e in found]
-                    self._sighted(column, value, min(times), max(times))
+            for e in fresh:  # in order of time
+                for at in zip(self.columns, e[5:], strict=True):
+                    spans[at] = (spans[at][0] if at in spans else e[0], e[0])
             if self.last is None or fresh[-1][:2] > self.last[:2]:
                 self.last = [fresh[-1][0], fresh[-1][1], fresh[-1][3], fresh[-1][4]]
+        for (column, value), (low, high) in spans.items():
+            self._sighted(column, value, low, high)
         self._order()
 
     def _sighted(self, column: str, value: Any, low: int, high: int) -> None:
@@ -241,7 +292,8 @@ class History:
 
     def fold(self, before_us: int) -> None:
         """Move the hours that end at ``before_us`` or earlier into the totals."""
-        for h in [h for h in self.order if (h + 1) * HOUR_US <= before_us]:
+        gone = [h for h in self.order if (h + 1) * HOUR_US <= before_us]
+        for h in gone:
             hour, total = self.hour(h), self.totals.pop(h)
             self.older["n"] += total[0]
             self.older["cents"] += total[1]
@@ -254,33 +306,56 @@ class History:
                         self.seen[column, value] = None
             self._drop_events(h)
             self.hours.pop(h, None)
-        self._order()
+        if gone:
+            self._order()
 
     def keep_rows(self, rows: list[tuple], watermark_us: int) -> None:
-        """Remember rows that may change: appending is cheap, so the list is rewritten once about a quarter may go."""
-        if rows:
-            self.rows_state.appendList(rows)
-            n, low, high = self.kept or (0, rows[0][0], rows[0][0])
-            self.kept = [n + len(rows), min(low, *(r[0] for r in rows)), max(high, *(r[0] for r in rows))]
-        if self.kept and (watermark_us - self.kept[1]) * 4 > self.kept[2] - self.kept[1]:
-            open_ = [tuple(r) for r in self.rows_state.get() if r[0] >= watermark_us]
-            if open_:
-                self.rows_state.put(open_)
+        """Remember rows that may change, which come in order of time. A part goes unread once the watermark has passed all of it;
+        many small ones are joined."""
+        for start in range(0, len(rows), ROWS):
+            self.kept.append(self._put_rows(max((p[0] for p in self.kept), default=-1) + 1, rows[start : start + ROWS]))
+        passed = [p[0] for p in self.kept if p[3] < watermark_us]
+        for number in passed:
+            self.rows_state.removeKey((number,))
+        self.kept = [p for p in self.kept if p[0] not in passed] if passed else self.kept
+        if len(self.kept) > PARTS + 2 * sum(p[1] for p in self.kept) // ROWS:
+            self._join_parts(watermark_us)
+
+    def _put_rows(self, number: int, rows: list) -> list[int]:
+        self.rows_state.updateValue((number,), (_lines([r[:3] for r in rows], [r[3] for r in rows]),))
+        return [number, len(rows), min(r[0] for r in rows), max(r[0] for r in rows)]
+
+    def _rows_of(self, number: int) -> list[list]:
+        about, *rows = self.rows_state.getValue((number,))[0].split("\n")
+        return [[*values, row] for values, row in zip(json.loads(about), rows, strict=True)]
+
+    def _join_parts(self, watermark_us: int) -> None:
+        """Join neighbouring parts of no more than ``ROWS`` rows together, without the rows that the watermark has passed."""
+        runs: list[list[list[int]]] = []
+        for part in self.kept:
+            if runs and sum(p[1] for p in runs[-1]) + part[1] <= ROWS:
+                runs[-1].append(part)
             else:
-                self.rows_state.clear()
-            self.kept = [len(open_), min(r[0] for r in open_), max(r[0] for r in open_)] if open_ else None
+                runs.append([part])
+        self.kept = []
+        for run in runs:
+            if len(run) == 1:
+                self.kept += run
+                continue
+            rows = [r for p in run for r in self._rows_of(p[0]) if r[0] >= watermark_us]
+            for p in run if not rows else run[1:]:
+                self.rows_state.removeKey((p[0],))
+            if rows:
+                self.kept.append(self._put_rows(run[0][0], rows))
 
     def open_rows(self) -> dict[str, tuple]:
         """The last version of each row that may change, by its id."""
-        out: dict[str, tuple] = {}
-        for us, key, version, row in self.rows_state.get() if self.kept else ():
-            out[key] = (int(us), key, int(version), row)
-        return out
+        return {key: (us, key, version, row) for p in self.kept for us, key, version, row in self._rows_of(p[0])}
 
     def wake(self, at_us: int) -> None:
-        """Set the key's one timer, in event time."""
+        """Set the key's one timer, in event time. One that is due before stays: the key sets the next when it fires."""
         at = -(-at_us // 1000)
-        if at != self.timer:
+        if self.timer is None or at < self.timer:
             if self.timer is not None:
                 self.handle.deleteTimer(self.timer)
             self.handle.registerTimer(at)
@@ -297,6 +372,9 @@ class History:
                 self.hours_state.updateValue((ALL,), (json.dumps(events, separators=(",", ":")),))
             elif self.changed:
                 self.hours_state.removeKey((ALL,))
+        else:
+            self._store_sights()
+            head["parts"] = [self.parts, self.n_sights]
         self.head_state.update((json.dumps(head, separators=(",", ":")),))
 
     def forget(self) -> None:
@@ -307,6 +385,11 @@ class History:
         self.load()
 
 
+def _lines(about: list, rows: list[str]) -> str:
+    """Values of all rows as a line of JSON, then each row's JSON as it is: JSON has no raw line ends."""
+    return "\n".join([json.dumps(about, separators=(",", ":")), *rows])
+
+
 def _entity(column: str, value: Any) -> str:
     return column if value is None else f"{column}|{value}"
 
@@ -369,7 +452,9 @@ class _Keyed(StatefulProcessor):
                 part, versions = self._changed(part)
                 history.add(events)
                 found = self._anew(part)
-            out += [{**r, **f, "version": v} for r, f, v in zip(part, found, versions, strict=True)]
+            for r, f, v in zip(part, found, versions, strict=True):
+                f["us"], f["transaction_id"], f["row"], f["version"] = r["us"], r["transaction_id"], r["row"], v
+            out += found
             history.keep_rows([(r["us"], r["transaction_id"], v, r["row"]) for r, v in zip(part, versions, strict=True) if r["us"] >= watermark], watermark)
         self._tidy(watermark)
         return out
@@ -455,15 +540,16 @@ class CustomerHistory(_Keyed):
                 first.setdefault((c, r[c] or ""), r["us"])
 
         def before(x: int) -> tuple[int, int]:
+            if x <= times[0]:
+                return history.before(x)
             k = bisect_left(times, x)
-            n, total = history.before(x) if x <= times[0] else held
-            return n + k, total + sums[k]
+            return held[0] + k, held[1] + sums[k]
 
         out = []
         for us, same in groupby(part, key=lambda r: r["us"]):
             same, k = list(same), bisect_left(times, us)
-            n, total = before(us)
-            edges = {s: before(us - s * SECOND) for s in {*COUNT_WINDOWS.values(), *SUM_WINDOWS.values()}}
+            n, total = held[0] + k, held[1] + sums[k]
+            edges = {s: before(us - s * SECOND) for s in WIDTHS}
             previous = [part[k - 1][c] for c in ("us", "transaction_id", "lat", "lon")] if k else history.last
             answer = _answer(n, total, held_squares + squares[k], previous, edges, {name: d.at(us) for name, d in distinct.items()})
             for r in same:
@@ -474,8 +560,8 @@ class CustomerHistory(_Keyed):
                     d.add(r[DISTINCT_WINDOWS[name][0]], us)
         return out
 
-    def _is_new(self, column: str, value: str | None, us: int, first: dict) -> bool:
-        return us <= first[column, value or ""] and self.history.first(column, value) is None
+    def _is_new(self, column: str, value: str | None, us: int, first: dict) -> int:
+        return int(us <= first[column, value or ""] and self.history.first(column, value) is None)
 
     def _anew(self, part: list[dict]) -> list[dict]:
         """Answers for any rows that are held already, from all hours."""
@@ -496,10 +582,10 @@ class CustomerHistory(_Keyed):
         for r in part:
             us, k = r["us"], bisect_left(times, r["us"])
             n, total = before(us)
-            edges = {s: before(us - s * SECOND) for s in {*COUNT_WINDOWS.values(), *SUM_WINDOWS.values()}}
+            edges = {s: before(us - s * SECOND) for s in WIDTHS}
             previous = [events[k - 1][j] for j in (0, 1, 3, 4)] if k else older["last"]
             event = by_id[us, r["transaction_id"]]
-            news = {f"new_{name}": us <= history.first(c, event[column_at[c]]) for name, c in NOVELTY.items()}
+            news = {f"new_{name}": int(us <= history.first(c, event[column_at[c]])) for name, c in NOVELTY.items()}
             out.append(_answer(n, total, older["squares"] + squares[k], previous, edges, {name: d[us] for name, d in spans.items()}) | news)
         return out
 
@@ -556,7 +642,7 @@ class DeviceCustomers(_Keyed):
         distinct, out = Distinct(self.history, "customer_id", DEVICE_WINDOW), []
         for us, same in groupby(part, key=lambda r: r["us"]):
             same = list(same)
-            out += [{"device_customers": distinct.at(us)}] * len(same)
+            out += [{"device_customers": n} for n in [distinct.at(us)] * len(same)]
             for r in same:
                 distinct.add(r["customer_id"], us)
         return out
@@ -570,28 +656,133 @@ class DeviceCustomers(_Keyed):
         return pd.DataFrame(out).assign(device_id=key)[[f.name for f in DEVICE_STATS.fields]]
 
 
+class Packed:
+    """A processor's handle that keeps all states of a key in one entry, as long as that is short: one access reads them and one
+    writes them. Values and map entries are single texts without separators (characters 30 and 31), map keys whole numbers."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.registerTimer, self.deleteTimer = handle.registerTimer, handle.deleteTimer  # noqa: N815
+        self.entry = handle.getValueState("packed", "entries string")
+        self.handle, self.maps = handle, {}
+        self.held: dict[tuple[str, str], str] = {}
+        self.limit = PACKED
+        self.stored = self.own = False  #: whether the key has an entry, and whether its maps have entries of their own
+
+    def getValueState(self, name: str, schema: str) -> PackedState:  # noqa: N802
+        return PackedState(self, name, None)
+
+    def getMapState(self, name: str, key: str, schema: str) -> PackedState:  # noqa: N802
+        self.maps[name] = self.handle.getMapState(name, key, schema)
+        return PackedState(self, name, self.maps[name])
+
+    def begin(self) -> None:
+        """Read what the current key has."""
+        found = self.entry.get()
+        self.stored, lines = bool(found), found[0].split("\x1e") if found and found[0] else []
+        self.held = {(name, at): value for name, at, value in (line.split("\x1f", 2) for line in lines)}
+        self.own = self.held.pop(("own", ""), None) is not None
+
+    def end(self) -> None:
+        if not self.held:  # forgotten
+            if self.stored:
+                self.entry.clear()
+            return
+        if not self.own and sum(map(len, self.held.values())) > self.limit:
+            self.own = True
+            for name, at in [k for k in self.held if k[0] in self.maps]:
+                self.maps[name].updateValue((int(at),), (self.held.pop((name, at)),))
+        lines = [f"{name}\x1f{at}\x1f{value}" for (name, at), value in self.held.items()]
+        self.entry.update(("\x1e".join([*lines, "own\x1f\x1f"] if self.own else lines),))
+
+
+class PackedState:
+    """A value or a map of ``Packed``."""
+
+    def __init__(self, pack: Packed, name: str, own: Any) -> None:
+        self.pack, self.name, self.own = pack, name, own
+
+    def get(self) -> tuple | None:
+        found = self.pack.held.get((self.name, ""))
+        return None if found is None else (found,)
+
+    def update(self, value: tuple) -> None:
+        self.pack.held[self.name, ""] = value[0]
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802
+        return self.own.getValue(key) if self.pack.own else (self.pack.held[self.name, str(key[0])],)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        if self.pack.own:
+            self.own.updateValue(key, value)
+        else:
+            self.pack.held[self.name, str(key[0])] = value[0]
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        if self.pack.own:
+            self.own.removeKey(key)
+        else:
+            self.pack.held.pop((self.name, str(key[0])), None)
+
+    def clear(self) -> None:
+        if self.own is not None and self.pack.own:
+            self.own.clear()
+        self.pack.held = {k: v for k, v in self.pack.held.items() if k[0] != self.name}
+
+
 class ByRow(StatefulProcessor):
-    """Runs a keyed processor on rows: with many small keys, a table for each costs more than its rows do."""
+    """Runs a keyed processor on rows, as with many small keys a table for each costs more than its rows do. Each cell and each
+    row that passes between Spark and Python costs as well: an event comes as JSON, and answers leave together (see ``_answers``)."""
 
-    def __init__(self, keyed: _Keyed, key: str, schema: T.StructType) -> None:
-        self.keyed, self.key, self.names = keyed, key, [f.name for f in schema.fields]
+    def __init__(self, keyed: _Keyed, schema: T.StructType) -> None:
+        self.keyed, self.fields = keyed, {k: itemgetter(*names, names[0]) for k, names in _by_kind(schema).items()}  # a tuple for one name as well
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.keyed.init(handle)
+        self.pack = Packed(handle)
+        self.keyed.init(self.pack)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        made = Row(*self.names)
-        batch = sorted((r.asDict() for r in rows), key=lambda r: (r["us"], r["transaction_id"], r["sent"]))
-        for r in self.keyed.answers(batch, timerValues):
-            yield made(*[key[0] if n == self.key else r[n] for n in self.names])
+        blank, batch = dict.fromkeys(self.keyed.fields), []
+        for r in rows:
+            event, row = r[-1].split("\t", 1)
+            batch.append({**blank, **json.loads(event), "row": row})
+        batch.sort(key=lambda r: (r["us"], r["transaction_id"], r["sent"]))
+        self.pack.begin()
+        made, found = Row("answers"), self.keyed.answers(batch, timerValues)
+        self.pack.end()
+        for start in range(0, len(found), ANSWERS):
+            part = found[start : start + ANSWERS]
+            yield made(_lines([{k: take(a) for k, take in self.fields.items()} for a in part], [a["row"] for a in part]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.pack.begin()
         yield from self.keyed.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        self.pack.end()
 
     def close(self) -> None:
         self.keyed.close()
 
 
+def _by_kind(schema: T.StructType) -> dict[str, list[str]]:
+    """Names of an answer's whole numbers (and truth values), of its numbers and of its texts."""
+    kinds = {T.LongType: "n", T.BooleanType: "n", T.DoubleType: "x", T.StringType: "t"}
+    found = {k: [f.name for f in schema.fields if kinds[type(f.dataType)] == k and f.name != "row"] for k in "nxt"}
+    return {k: names for k, names in found.items() if names}
+
+
+def _answers(events: DataFrame, key: str, sent: Column, processor: _Keyed, schema: T.StructType) -> DataFrame:
+    """What the processor answers to the events of each key. Events need ``key``, ``timestamp``, ``row`` and the processor's fields;
+    ``schema`` has what is taken of an answer."""
+    # One cell, as each is read by itself: the event, and after a tab the row, which is only handed on.
+    event = F.concat(F.to_json(F.struct(*processor.fields, sent.alias("sent"))), F.lit("\t"), "row")
+    found = events.select(key, "timestamp", event.alias("event")).groupBy(key).transformWithState(
+        statefulProcessor=ByRow(processor, schema), outputStructType=T.StructType([T.StructField("answers", T.StringType())]), outputMode="Append", timeMode="EventTime")
+    lines = found.select(F.split("answers", "\n").alias("lines"))
+    about = F.from_json(F.col("lines")[0], "array<struct<n: array<bigint>, x: array<double>, t: array<string>>>")
+    each = lines.select(F.explode(F.arrays_zip(about.alias("a"), F.slice("lines", F.lit(2), F.size("lines") - 1).alias("row"))).alias("e")).select("e.*")
+    place = {n: F.get(F.col(f"a.{k}"), F.lit(i)) for k, names in _by_kind(schema).items() for i, n in enumerate(names)} | {"row": F.col("row")}
+    return each.select(*[place[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def stream_customer_features(events: DataFrame, idle_days: int | None = None) -> DataFrame:
     """Customer history statistics of a stream of transactions, finished into the named features, with ``version``.
 
@@ -601,9 +792,8 @@ def stream_customer_features(events: DataFrame, idle_days: int | None = None) ->
 
     schema = T.StructType([f for f in events.schema.fields])
     shaped = events.withColumns({"us": micros(F.col("timestamp")), "cents": (F.col("amount") * 100).cast("long")})
-    keyed = shaped.select("customer_id", "timestamp", F.lit(0).cast("long").alias("sent"), *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
-    stats = keyed.groupBy("customer_id").transformWithState(
-        statefulProcessor=ByRow(CustomerHistory(idle_days), "customer_id", STATS), outputStructType=STATS, outputMode="Append", timeMode="EventTime")
+    keyed = shaped.select("customer_id", "timestamp", *EVENT_FIELDS, F.to_json(F.struct(*events.columns), JSON).alias("row"))
+    stats = _answers(keyed, "customer_id", F.lit(0), CustomerHistory(idle_days), T.StructType([f for f in STATS.fields if f.name != "customer_id"]))
     known = F.struct(F.col("prev_us").alias("us"), F.col("prev_id").alias("transaction_id"), F.col("prev_lat").alias("lat"), F.col("prev_lon").alias("lon"))
     rest = [c for c in stats.columns if c not in ("row", "transaction_id", "customer_id") and not c.startswith("prev_")]
     opened = stats.select(
@@ -621,8 +811,7 @@ def stream_device_features(events: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in events.schema.fields])
     sent = F.col("version") if "version" in events.columns else F.lit(0).cast("long")
     keyed = events.select(F.coalesce("device_id", F.lit("")).alias("device_id"), "timestamp", "transaction_id", "customer_id", sent.alias("sent"), micros(F.col("timestamp")).alias("us"), F.to_json(F.struct(*events.columns), JSON).alias("row"))
-    stats = keyed.groupBy("device_id").transformWithState(
-        statefulProcessor=ByRow(DeviceCustomers(), "device_id", DEVICE_STATS), outputStructType=DEVICE_STATS, outputMode="Append", timeMode="EventTime")
+    stats = _answers(keyed, "device_id", F.col("sent"), DeviceCustomers(), T.StructType([f for f in DEVICE_STATS.fields if f.name != "device_id"]))
     count = F.greatest(F.lit(1), F.col("device_customers")).alias("device_customer_count")
     return stats.select(F.from_json("row", schema, JSON).alias("r"), count, F.col("version").alias("device_version")).select("r.*", "device_customer_count", "device_version")
 

@@ -267,3 +267,39 @@ def test_a_small_key_needs_few_accesses(monkeypatch):
         calls.clear()
         stream.send(rows[start : start + 24])
         assert len(calls) <= 8
+
+
+def test_all_states_of_a_short_key_are_one_entry():
+    """Each access to the state is a round trip: a short key needs one to read and one to write, a long one has entries of its own."""
+    schema = state.T.StructType([f for f in state.STATS.fields if f.name != "customer_id"])
+    answers = {}
+    for limit in (100_000, 3_000, 0):
+        stream, keyed = Stream(CustomerHistory(), 400 * DAY_US), state.ByRow(CustomerHistory(), schema)
+        handle = Handle()
+        keyed.init(handle)
+        keyed.pack.limit = limit
+        for batch in shuffled_batches(events(140, 2), 2):
+            sent = [("K", None, state.json.dumps({n: v for n, v in r.items() if n != "row"} | {"sent": 0}) + "\t" + r["row"]) for r in batch]
+            for out in keyed.handleInputRows(("K",), iter(sent), stream):
+                about, *rows = out["answers"].split("\n")
+                answers.setdefault(limit, []).extend(zip(state.json.loads(about), rows, strict=True))
+        packed = {n for n, s in handle.states.items() if s.rows()} == {"packed"}
+        assert packed == (limit == 100_000)
+    assert answers[0] == answers[3_000] == answers[100_000]
+    about, row = answers[0][0]
+    one = dict(zip(state._by_kind(schema)["n"], about["n"], strict=False))
+    assert one["n_past"] == 0 and one["version"] == 0 and row == "row 0"
+
+
+def test_sights_of_a_large_key_lie_in_parts():
+    """A device with many customers: accesses to the state follow the parts, not the customers."""
+    stream = Stream(DeviceCustomers(), 400 * DAY_US)
+    start, calls = 1_700_000_000 * SECOND, []
+    rows = [events(1)[0] | {"us": start + k * SECOND, "transaction_id": f"T{k:05d}", "customer_id": f"C{k % 3000}"} for k in range(6000)]
+    for a in range(0, 6000, 2000):
+        out = stream.send(rows[a : a + 2000])
+        seen = stream.handle.states["seen"]
+        calls.append(len(seen.entries))
+    assert [g["device_customers"] for g in out][-1] == 3000 and len(out) == 2000
+    assert 0 < max(calls) <= 2 * 3000 / state.SIGHTS + 2
+    assert sum(len(state.json.loads(v[0])) for v in stream.handle.states["seen"].entries.values()) == 3000
