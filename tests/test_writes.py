@@ -139,3 +139,21 @@ def test_repeats_in_a_batch_are_dropped_before_it_is_stored(spark, monkeypatch):
     pipeline.persist_decision(layout)(scored.unionByName(scored), 0)
     tables = [spark.read.parquet(layout.at(name)).count() for name in ("transactions", "predictions", "risk_decisions")]
     assert tables == [scored.count()] * 3 and stored["persist"] == scored.count()
+
+
+def test_the_sink_leaves_no_intermediates_and_decides_rows_without_a_key(spark, tmp_path):
+    import os
+
+    from riskloom.operators.history import all_features
+    from riskloom.sources import star
+
+    t = star.transactions(spark, "/root/testdata/sf0.001").where("event_id < 12")
+    t = t.withColumn("idempotency_key", F.when(F.col("event_id") != 3, F.concat(F.lit("K"), F.least("event_id", F.lit(9)))))
+    scored = session.settled(spark, lambda: pipeline.stream_score(all_features(t)), "scored")
+    root, layout = session._scratch_root(spark), pipeline.Layout(str(tmp_path))
+    before = set(os.listdir(root))
+    for batch_id in (0, 1):
+        pipeline.persist_decision(layout)(scored, batch_id)
+    assert set(os.listdir(root)) == before
+    ids = [sorted(r[0] for r in spark.read.parquet(layout.at(name)).select("transaction_id").collect()) for name in ("transactions", "predictions", "risk_decisions")]
+    assert ids[0] == ids[1] == ids[2] and "TXN-3-0" in ids[0] and not {"TXN-10-0", "TXN-11-0"} & set(ids[0])
